@@ -1,13 +1,14 @@
 """Exact dedup by deterministic block naming.
 
-A text without its white space is cut into fixed-size blocks. The distinct blocks are sorted and numbered: a block's name
-is its rank. Then names of adjacent blocks are paired, the distinct pairs are sorted and numbered in turn, and so on until
-each document has one name. Two documents of equal depth and name are equal to the last character: no hash decides.
+A text without its white space is cut into fixed-size blocks. Blocks are sorted and numbered by their rank, so that equal blocks,
+and only they, share an integer name. Then names of adjacent blocks are paired, the pairs are sorted and named in turn, and so
+on until each document has one name. Two documents of equal depth and name are equal to the last character: no hash decides.
 
-Scale: blocks are counted on the map side before they are shuffled, so a block shared by a third of all rows arrives once a
-task; the join that gives rows their names is one of two shuffled sides, which adaptive execution splits where it is hot.
-Ranks are made per range partition and shifted by the partitions' offsets, a table with one row per partition. A level has
-half the rows of the one before it.
+Scale: a text is shuffled once, as blocks dealt into many small classes by hash; inside its class a block is ranked by sorting, and
+rank and class make one integer. A block that may hold more than a partition's share of all rows would make its class hot:
+such blocks, of which there can only be a few per partition, are named beforehand and matched by a broadcast table, and their
+text isn't shuffled at all. Which blocks those are is estimated on sampled rows; this only decides how a name is found, not
+which rows get one. A level has half the rows of the one before it.
 
 Defined results: null text counts as empty; empty texts are equal to one another; rows that repeat a doc_id each get a row;
 a null doc_id is kept, and stays only if no other row of its length has an id; other columns are ignored, whatever their names.
@@ -15,55 +16,74 @@ a null doc_id is kept, and stays only if no other row of its length has an id; o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import SPACES, blank_null, checkpointed, documents, partitions, written
+from loomline.llm.shared import SPACES, blank_null, checkpointed, documents, partitions
 
 BLOCK_CHARS = 2048
+CLASS_ROWS = 1000
+HOT_SAMPLE = 0.05
 
 
-def ranked(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Each row of `distinct` with its place in the order of `keys`, from 0, checkpointed."""
-    n = partitions(distinct)
-    local = F.monotonically_increasing_id()
-    rows = checkpointed(distinct.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(*keys, F.shiftright(local, 33).alias("_part"), local.bitwiseAND((1 << 33) - 1).alias("_place")))
-    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition: the window is small however large the input.
-    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
-    return rows.join(F.broadcast(offsets), "_part").select(*keys, (F.col("_place") + F.col("_offset")).alias(name))
+def blocks_of(rows: DataFrame, block_chars: int) -> DataFrame:
+    """Rows of _key and _text as (_key, _n, _pos, _block): n blocks each, one at least."""
+    n = F.greatest(F.lit(1), F.ceil(F.length("_text") / F.lit(block_chars)).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.substring("_text", i * block_chars + 1, F.lit(block_chars)))
+    return rows.select("_key", "_text", n.alias("_n")).select("_key", "_n", F.posexplode(cut).alias("_pos", "_block"))
 
 
-def identities(docs: DataFrame, key: Column, text: Column, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(_key, _depth, _name): one row per distinct key; equal texts, and only they, share depth and name."""
+def hot_names(rows: DataFrame, keys: list[str], total: float, share: int) -> DataFrame:
+    """Negative names of the key values that hold more than 1/share of `total` rows: fewer than `share` of them."""
+    heavy = rows.groupBy(*keys).count().filter(F.col("count") * share > total).select(*keys)
+    return checkpointed(heavy.select(*keys, (-F.row_number().over(Window.orderBy(*keys))).cast("long").alias("_hot")))
+
+
+def named(rows: DataFrame, keys: list[str], hot: DataFrame, total: float) -> DataFrame:
+    """`rows` with `keys` replaced by _name, an integer that equal keys share and no others have."""
+    classes = max(partitions(rows), int(total // CLASS_ROWS))
+    is_hot = F.col("_hot").isNotNull()
+    rest = [c for c in rows.columns if c not in keys]
+    dealt = rows.join(F.broadcast(hot), keys, "left").select(
+        *rest, "_hot", *[F.when(~is_hot, F.col(k)).alias(k) for k in keys],
+        F.when(is_hot, classes + F.pmod(F.xxhash64(*rest), F.lit(classes))).otherwise(F.pmod(F.xxhash64(*keys), F.lit(classes))).alias("_class"),
+    )
+    rank = F.dense_rank().over(Window.partitionBy("_class").orderBy(*keys)).cast("long")
+    return dealt.select(*rest, F.coalesce("_hot", rank * classes + F.col("_class")).alias("_name"))
+
+
+def identities(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Of rows (_key, _text): (_key, _copies, _depth, _name), where equal texts, and only they, share depth and name.
+
+    _copies counts the rows of that key; rows of equal key must have equal text. A key's rows may come as several such counts.
+    """
     if block_chars < 1:
         raise ValueError("block_chars must be positive")
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.length("_text") / F.lit(block_chars)).cast("int"))
-    blocks = (
-        docs.select(key.alias("_key"), text.alias("_text"))
-        .select("_key", "_text", n_blocks.alias("_n"))
-        .select("_key", "_n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.substring("_text", i * block_chars + 1, F.lit(block_chars)))).alias("_pos", "_block"))
-    )
-    names = ranked(blocks.select("_block").distinct(), ["_block"], "_name")
-    level = checkpointed(blocks.join(names.hint("merge"), "_block").select("_key", "_n", "_pos", "_name"))
+    share = max(8, partitions(rows))
+    blocks = blocks_of(rows, block_chars)
+    sampled = blocks_of(rows.sample(HOT_SAMPLE, seed=17), block_chars)
+    in_sample = sampled.count()
+    level = checkpointed(named(blocks, ["_block"], hot_names(sampled, ["_block"], in_sample, share), in_sample / HOT_SAMPLE).withColumn("_copies", F.lit(1).cast("long")))
     done, depth = [], 0
     while True:
-        done.append(level.filter("_n = 1").select("_key", F.lit(depth).alias("_depth"), "_name"))
+        done.append(level.filter("_n = 1").select("_key", "_copies", F.lit(depth).alias("_depth"), "_name"))
         rest = level.filter("_n > 1")
-        if rest.isEmpty():
-            break
-        half = F.shiftright("_pos", 1)
         even = F.col("_pos").bitwiseAND(1) == 0
-        # max, not first: repeated rows of one key give the same names again.
-        pairs = rest.groupBy("_key", half.alias("_pos")).agg(F.max("_n").alias("_n"), F.max(F.when(even, F.col("_name"))).alias("_a"), F.coalesce(F.max(F.when(~even, F.col("_name"))), F.lit(-1)).alias("_b"))
-        pairs = checkpointed(pairs.select("_key", F.shiftright(F.col("_n") + 1, 1).alias("_n"), "_pos", "_a", "_b"))
-        names = ranked(pairs.select("_a", "_b").distinct(), ["_a", "_b"], "_name")
-        level = checkpointed(pairs.join(names, ["_a", "_b"]).select("_key", "_n", "_pos", "_name"))
+        # max and sum, not first: equal keys give the same names again, once per copy.
+        pairs = rest.groupBy("_key", F.shiftright("_pos", 1).alias("_pos")).agg(
+            F.max("_n").alias("_n"), F.sum(F.when(even, F.col("_copies"))).alias("_copies"),
+            F.max(F.when(even, F.col("_name"))).alias("_a"), F.max(F.when(~even, F.col("_name"))).alias("_b"),
+        )
+        pairs = checkpointed(pairs.select("_key", F.shiftright(F.col("_n") + 1, 1).alias("_n"), "_pos", "_copies", "_a", F.coalesce("_b", F.lit(0)).alias("_b")))
+        total = pairs.count()
+        if not total:
+            break
+        level = checkpointed(named(pairs, ["_a", "_b"], hot_names(pairs, ["_a", "_b"], total, share), total))
         depth += 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.distinct()
+    return out
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -73,20 +93,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     them carry that keep_id and exactly one is kept.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), blank_null(text_col).alias("_raw"))
-    plain = F.translate("_raw", SPACES, "")
-    sha = F.sha2(plain, 256)
-    # A row is known by its id and its text's digest: rows alike in both have one text, so they can share an identity.
-    meta = base.select("doc_id", F.length("_raw").cast("long").alias("n_chars"), sha.alias("text_sha256"))
-    key = F.struct(F.col("doc_id").alias("id"), sha.alias("sha"))
-    named = identities(base, key, plain, block_chars)
-    rows = written(meta.withColumn("_k", F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))).join(named, F.col("_k").eqNullSafe(F.col("_key"))).select("doc_id", "n_chars", "text_sha256", "_depth", "_name"))
+    plain = base.select("doc_id", F.length("_raw").cast("long").alias("n_chars"), F.translate("_raw", SPACES, "").alias("_text"))
+    # A row is known by its id, length and digest: rows alike in all three have one text, so they can share an identity.
+    keyed = plain.select(F.struct("doc_id", "n_chars", F.unhex(F.sha2("_text", 256)).alias("sha")).alias("_key"), "_text")
+    rows = checkpointed(identities(keyed, block_chars).groupBy("_key", "_depth", "_name").agg(F.sum("_copies").alias("_copies")).select("_key.*", "_depth", "_name", "_copies"))
     best = F.max_by(F.struct("doc_id"), F.struct("n_chars", F.col("doc_id").isNotNull(), -F.col("doc_id")))
-    groups = rows.groupBy("_depth", "_name").agg(F.count(F.lit(1)).alias("group_size"), best["doc_id"].alias("keep_id"), F.max("n_chars").alias("_most"))
+    groups = rows.groupBy("_depth", "_name").agg(F.sum("_copies").alias("group_size"), best["doc_id"].alias("keep_id"), F.max("n_chars").alias("_most"))
     joined = rows.join(groups, ["_depth", "_name"])
     wins = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("_most"))
-    once = joined.filter(wins).groupBy("_depth", "_name", "doc_id", "keep_id", "group_size", "text_sha256", "n_chars").agg(F.count(F.lit(1)).alias("_copies"))
-    winners = once.select("doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_i"), "text_sha256", "n_chars").select("doc_id", "keep_id", "group_size", (F.col("_i") == 1).alias("kept"), "text_sha256", "n_chars")
-    return joined.filter(~wins).select("doc_id", "keep_id", "group_size", F.lit(False).alias("kept"), "text_sha256", "n_chars").unionByName(winners)
+    every = joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return every.select("doc_id", "keep_id", "group_size", (wins & (F.col("_i") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "n_chars")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
