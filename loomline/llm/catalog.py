@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import chat_format, exact_dedup, fingerprints
+from loomline.llm import chat_format, exact_dedup, fingerprints, secrets
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": chat_format.op4_chat_format,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_secrets": secrets.op8_secrets,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {
