@@ -142,10 +142,13 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list[tuple] = []
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            made = [*last, *zip(*columns, sketches(batch.column(3), k), strict=True)]
-            last = made[-1:]
-            yield _emitted(made, k)
+            at = 0
+            for part in in_slices(batch.column(3)):
+                columns = [batch.column(i).slice(at, len(part)).to_pylist() for i in range(4)]
+                at += len(part)
+                made = [*last, *zip(*columns, sketches(part, k), strict=True)]
+                last = made[-1:]
+                yield _emitted(made, k)
 
     tagged = rows.mapInArrow(tag, "bucket int, guest boolean, doc_id long, text string")
     return tagged.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text").mapInArrow(compare, OUT)

@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 import xxhash
 
 SHINGLE_WORDS = 5
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
+SLICE_ROWS = 1000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -26,7 +27,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def in_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
-    """The array in runs of rows of about `most` bytes, one row at least: bounds what numpy holds at once."""
+    """The array in runs of at most SLICE_ROWS rows and about `most` bytes, one row at least: bounds what numpy holds at once."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not len(texts):
         return
@@ -34,7 +35,7 @@ def in_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
     at = 0
     while at < len(texts):
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        to = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(ends, base + most, "right"))))
         yield texts.slice(at, to - at)
         at = to
 
