@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import chat_format, exact_dedup, fingerprints, secrets
+from loomline.llm import chat_format, exact_dedup, fingerprints, mixing, near_dedup, packing, secrets
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +16,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix_sources": mixing.op2_mix_sources,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op6_packing": packing.op6_packing,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_secrets": secrets.op8_secrets,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from types import ModuleType
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +57,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def kept_in_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """A value made once per Python process. Functions reach executors by value, with globals of their own, so it hangs on a module."""
+    cache = vars(sys.modules.setdefault("_loomline_kept", ModuleType("_loomline_kept"))).setdefault("values", {})
+    if key not in cache:
+        cache[key] = make()
+    return cache[key]
