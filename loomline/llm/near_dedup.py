@@ -5,8 +5,8 @@ entry of the signature. An empty bin takes the entry of a filled one, found by a
 densification). Entries are banded into buckets. Documents of equal sets are one class, and only the classes' first documents
 enter buckets. In a bucket each member is paired with one centre only, so pairs grow with members, not with their square; pairs
 are confirmed on full sets. Confirmed links are joined to components; buckets whose members then lie in more than one component
-get other centres, round after round, until what is left is small enough to be compared outright: every pair of members of
-different components that shares `least_bands` buckets. So no link is lost that the buckets hold.
+get other centres once more. What is left open is compared outright: in each cluster of documents that share open buckets, all that
+are not in the largest component are a query set against all, in blocks. So no link is lost that the buckets hold.
 
 Scale: texts are read twice and never shuffled; sets are only made for documents with a candidate. Which ones is told by a Bloom
 filter of fixed size, broadcast; beyond its capacity it lets more sets through but loses none. All joins are of shuffled sides,
@@ -32,8 +32,11 @@ from loomline.llm.words import SHINGLE_WORDS, doc_shingles, in_slices, mixed
 BANDS, ROWS = 32, 5
 #: Links of the contract: 100 * intersection >= 85 * union.
 SIMILARITY = 85
-ROUNDS = 3
-LEAST_BANDS = 2
+ROUNDS = 2
+#: Documents in a block of the last comparison.
+BLOCK = 512
+#: Shingles that are compared at once.
+WIDE = 4096
 BLOOM_WORDS = 1 << 19
 
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -162,7 +165,67 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = SHINGLE_WORDS, rounds: int = ROUNDS, least_bands: int = LEAST_BANDS) -> DataFrame:
+def _hits(queries: list[np.ndarray], rows: list[np.ndarray], similarity: int) -> np.ndarray:
+    """Which query and row have 100 * intersection >= similarity * union: a product of their incidence matrices."""
+    sides = (queries, rows)
+    values = np.unique(np.concatenate(queries))
+    values = values[np.isin(values, np.concatenate(rows))]
+    sizes = [np.array([len(x) for x in side], np.int64) for side in sides]
+    both = np.zeros((len(queries), len(rows)), np.float32)
+    flat = []
+    for side, size in zip(sides, sizes, strict=True):
+        joined, owner = np.concatenate(side), np.repeat(np.arange(len(side)), size)
+        spot = np.minimum(np.searchsorted(values, joined), max(0, len(values) - 1))
+        known = values[spot] == joined if len(values) else np.zeros(len(joined), bool)
+        order = np.argsort(spot[known], kind="stable")
+        flat.append((spot[known][order], owner[known][order]))
+    for at in range(0, len(values), WIDE):
+        part = []
+        for (spot, owner), side in zip(flat, sides, strict=True):
+            a, b = np.searchsorted(spot, (at, at + WIDE))
+            m = np.zeros((len(side), min(WIDE, len(values) - at)), np.float32)
+            m[owner[a:b], spot[a:b] - at] = 1
+            part.append(m)
+        both += part[0] @ part[1].T
+    count = np.rint(both).astype(np.int64)
+    return (count > 0) & (100 * count >= similarity * (sizes[0][:, None] + sizes[1][None, :] - count))
+
+
+def compared(open_: DataFrame, sets: DataFrame, similarity: int, block: int = BLOCK) -> DataFrame:
+    """Links between documents of different components that share a bucket, directly or through others: every one that joins two components.
+
+    open_: bucket, id, component. Documents outside their cluster's largest component are compared with all of the cluster, block by block;
+    what is shuffled is a document once per block of the other side, and no pair is made before it is known to be a link.
+    """
+    first = open_.groupBy("bucket").agg(F.min("id").alias("first"))
+    clusters = components(open_.join(first, "bucket").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    docs = checkpointed(open_.select("id", "component").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"))
+    sizes = docs.groupBy("cluster", "component").count()
+    plan = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("m"), F.max("count").alias("most"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    laid = docs.join(plan, "cluster").withColumn("nd", blocks(F.col("m"))).withColumn("nq", blocks(F.col("m") - F.col("most")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = laid.select("cluster", "id", "component", F.lit(False).alias("query"), every("nq").alias("q"), F.pmod(F.xxhash64("id"), "nd").cast("int").alias("d"))
+    asked = laid.filter("component <> main").select("cluster", "id", "component", F.lit(True).alias("query"), F.pmod(F.xxhash64("id", F.lit(1)), "nq").cast("int").alias("q"), every("nd").alias("d"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+        query = table.column("query").to_numpy(zero_copy_only=False)
+        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        qs, ds = np.flatnonzero(query), np.flatnonzero(~query)
+        out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        if len(qs) and len(ds):
+            hit = _hits([shingles[i] for i in qs], [shingles[i] for i in ds], similarity) & (component[qs][:, None] != component[ds][None, :])
+            x, y = (side[k] for side, k in zip((qs, ds), np.nonzero(hit), strict=True))
+            # One link for two components is enough.
+            _, once = np.unique(np.stack([component[x], component[y]]), axis=1, return_index=True)
+            out = [ids[x[once]], ids[y[once]]]
+        return pa.table({"a": pa.array(out[0]), "b": pa.array(out[1])})
+
+    return rows.unionByName(asked).join(sets, "id").groupBy("cluster", "q", "d").applyInArrow(compare, "a long, b long")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = SHINGLE_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id (least doc_id reachable by links), kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), blank_null(text_col).alias("text"))
     signs = written(signed(texts, bands, rows, words))
@@ -172,32 +235,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = known.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     sets = written(sets_of(texts, bloom(members.select("id").distinct()), words))
     links, open_ = checkpointed(sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)), members
-    tried = None
-    for turn in range(rounds + 1):
-        # The least id is each bucket's first centre, the same one in many buckets; then ids of other ranks.
+    for turn in range(rounds):
+        # The least id is each bucket's first centre, the same one in many buckets; then ids in another order.
         order = F.col("id") if not turn else F.xxhash64("id", F.lit(turn))
-        if turn < rounds:
-            centres = open_.groupBy("bucket").agg(F.min_by("id", order).alias("centre"))
-            pairs = open_.join(centres, "bucket").filter("id <> centre").select("id", "centre", *(["component"] if turn else []))
-            if turn:
-                at = open_.select(F.col("id").alias("centre"), F.col("component").alias("other")).distinct()
-                pairs = pairs.join(at, "centre").filter("component <> other")
-            pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        else:
-            other = open_.select("bucket", F.col("id").alias("b"), F.col("component").alias("other"))
-            pairs = open_.select("bucket", F.col("id").alias("a"), "component").join(other, "bucket").filter("a < b and component <> other").groupBy("a", "b").count().filter(F.col("count") >= least_bands).select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
+        centres = open_.groupBy("bucket").agg(F.min_by("id", order).alias("centre"))
+        pairs = open_.join(centres, "bucket").filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         links = checkpointed(links.unionByName(confirmed(pairs, sets, similarity)))
-        tried = pairs if tried is None else checkpointed(tried.unionByName(pairs))
-        if turn < rounds:
-            found = components(links)
-            placed = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-            split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-            open_ = checkpointed(placed.join(split, "bucket"))
-            if open_.isEmpty():
-                break
+        found = components(links)
+        placed = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        split = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y and n > 2").select("bucket")
+        open_ = checkpointed(placed.join(split, "bucket"))
+        if open_.isEmpty():
+            break
+    else:
+        links = checkpointed(links.unionByName(compared(open_, sets, similarity)))
     found = components(links.unionByName(same))
     placed = signs.select("doc_id", "n_shingles").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
