@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import chat_format, exact_dedup, fingerprints, mixing, near_dedup, packing, secrets
+from loomline.llm import chat_format, exact_dedup, fingerprints, mixing, near_dedup, packing, secrets, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": pipeline,
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_chat_format": chat_format.op4_chat_format,
     "op6_packing": packing.op6_packing,

@@ -87,7 +87,7 @@ def identities(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chars, copies (rows alike in id, length and content).
 
     The row with the most code points in its original text stays, then the smallest id. Should rows repeat id and text, all of
     them carry that keep_id and exactly one is kept.
@@ -102,11 +102,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = rows.join(groups, ["_depth", "_name"])
     wins = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("_most"))
     every = joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return every.select("doc_id", "keep_id", "group_size", (wins & (F.col("_i") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "n_chars")
+    return every.select("doc_id", "keep_id", "group_size", (wins & (F.col("_i") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "n_chars", F.col("_copies").alias("copies"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir))
+    return exact_dedup(documents(spark, sf_dir)).drop("copies")
 
 
 OP10_SQL = r"""

@@ -130,11 +130,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Rows of the same id, source and size share what their mix gives, each in turn.
     """
     word = re.compile(WORD_PATTERN)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "size").orderBy(F.hash("runs"), "passes"))
-    plan = mix_sources(docs, **options).filter("taken > 0").withColumn("_nth", nth).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_nth", "passes", "runs")
+    plan = checkpointed(mix_sources(docs, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_of"), "passes", "runs", "taken"))
     own = docs.withColumn("_size", F.regexp_count(blank_null("text"), F.lit(WORD_PATTERN)).cast("long"))
-    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_size").orderBy(F.xxhash64("text"))))
-    joined = own.join(plan, own["doc_id"].eqNullSafe(plan["_id"]) & (own["_size"] == plan["_size"]) & (own["_nth"] == plan["_nth"])).select(*[own[c] for c in docs.columns], "passes", "runs")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_of"))
+    if not plan.groupBy("_id", "_of").count().filter("count > 1").isEmpty():
+        plan = plan.withColumn("_at", F.row_number().over(Window.partitionBy("_id", "_of").orderBy(F.hash("runs"), "passes")))
+        own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_size").orderBy(F.xxhash64("text"))))
+        same = same & (F.col("_nth") == F.col("_at"))
+    joined = own.join(plan.filter("taken > 0"), same).select(*docs.columns, "passes", "runs")
     whole = F.transform(F.sequence(F.lit(1).cast("long"), F.col("passes")), lambda _: F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end")))
     parts = F.concat(F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")), "runs")
     rows = joined.withColumn("_run", F.explode(parts)).drop("passes", "runs")
