@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.llm.bloom import bloom, in_bloom
 from loomline.llm.graph import components
 from loomline.llm.shared import blank_null, checkpointed, documents, written
 from loomline.llm.words import SHINGLE_WORDS, doc_shingles, in_slices, mixed
@@ -37,7 +38,6 @@ ROUNDS = 2
 BLOCK = 512
 #: Shingles that are compared at once.
 WIDE = 4096
-BLOOM_WORDS = 1 << 19
 
 _SEED = np.uint64(0xA0761D6478BD642F)
 
@@ -102,26 +102,6 @@ def signed(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
-def _bloom_bits(ids: np.ndarray) -> list[np.ndarray]:
-    spread = mixed(ids.astype(np.int64).view(np.uint64))
-    return [spread & np.uint64(0xFFFFFFFF), spread >> np.uint64(32)]
-
-
-def bloom(ids: DataFrame, words: int = BLOOM_WORDS) -> np.ndarray:
-    """A Bloom filter of `words` 64-bit words over doc_id; at most that many rows reach the driver."""
-
-    def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h in _bloom_bits(batch.column(0).to_numpy(zero_copy_only=False)):
-                word, bit = (h >> np.uint64(6)) % np.uint64(words), np.uint64(1) << (h & np.uint64(63))
-                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bit.view(np.int64))], names=["word", "bits"])
-
-    found = ids.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(words, np.uint64)
-    out[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
-    return out
-
-
 def sets_of(docs: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
     """doc_id and shingle set, as bytes, of the documents in the filter `wanted`."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -130,9 +110,7 @@ def sets_of(docs: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
         table = sent.value
         for batch in batches:
             known = batch.filter(batch.column(0).is_valid())
-            hit = np.ones(len(known), bool)
-            for h in _bloom_bits(known.column(0).to_numpy(zero_copy_only=False)):
-                hit &= (table[(h >> np.uint64(6)) % np.uint64(len(table))] >> (h & np.uint64(63))) & np.uint64(1) == 1
+            hit = in_bloom(table, known.column(0).to_numpy(zero_copy_only=False))
             known, at = known.filter(pa.array(hit)), 0
             for part in in_slices(known.column(1)):
                 hashes, starts = doc_shingles(part, words)
@@ -233,7 +211,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     members = checkpointed(classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id")).distinct().transform(_shared))
     same = known.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    sets = written(sets_of(texts, bloom(members.select("id").distinct()), words))
+    sets = written(sets_of(texts, bloom(members.select("id").distinct(), "id"), words))
     links, open_ = checkpointed(sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)), members
     for turn in range(rounds):
         # The least id is each bucket's first centre, the same one in many buckets; then ids in another order.
