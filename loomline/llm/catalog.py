@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import chat_format, exact_dedup, fingerprints, mixing, near_dedup, packing, secrets, substring_dedup, toxicity
+from loomline.llm import chat_format, exact_dedup, fingerprints, hpy_lm, mixing, near_dedup, packing, secrets, substring_dedup, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_hpy_lm": hpy_lm.op3_hpy_lm,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_packing": packing.op6_packing,
