@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import SPACES, blank_null, checkpointed, documents, partitions
+from loomline.llm.shared import SPACES, blank_null, checkpointed, documents, few, partitions, sweep
 
 BLOCK_CHARS = 2048
 CLASS_ROWS = 1000
@@ -78,7 +78,9 @@ def identities(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         total = pairs.count()
         if not total:
             break
-        level = checkpointed(named(pairs, ["_a", "_b"], hot_names(pairs, ["_a", "_b"], total, share), total))
+        pairs = few(pairs, total)
+        level = checkpointed(few(named(pairs, ["_a", "_b"], hot_names(pairs, ["_a", "_b"], total, share), total), total))
+        sweep(rows.sparkSession)
         depth += 1
     out = done[0]
     for part in done[1:]:

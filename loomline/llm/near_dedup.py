@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.bloom import bloom, in_bloom
 from loomline.llm.graph import components
-from loomline.llm.shared import blank_null, checkpointed, documents, written
+from loomline.llm.shared import blank_null, checkpointed, documents, sweep, written
 from loomline.llm.words import SHINGLE_WORDS, doc_shingles, in_slices, mixed
 
 BANDS, ROWS = 32, 5
@@ -223,6 +223,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         placed = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         split = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y and n > 2").select("bucket")
         open_ = checkpointed(placed.join(split, "bucket"))
+        sweep(docs.sparkSession)
         if open_.isEmpty():
             break
     else:

@@ -45,6 +45,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """In as many partitions as `rows` rows fill, 8 at least: small tables that are shuffled again and again leave fewer files."""
+    n = max(8, -(-rows // each))
+    return df.coalesce(n) if n < partitions(df) else df
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that Spark's cleaner removes shuffles and checkpoints that nothing refers to any more."""
+    spark._jvm.System.gc()
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables made by written() that no later plan reads, and lets Spark clear the shuffles that made them."""
     for table in tables:
@@ -53,7 +64,7 @@ def forget(*tables: DataFrame) -> None:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        sweep(tables[0].sparkSession)
 
 
 def blank_null(name: str) -> Column:
