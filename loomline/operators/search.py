@@ -103,7 +103,7 @@ def is_lock_file(path: Column, patterns: list[str]) -> Column:
 
 def glossary(texts: DataFrame, text: str, core: list[str], limit: int = 50, least: int = 4) -> DataFrame:
     """XS11: core terms, then the longest identifiers of the texts in what slots are left."""
-    words = texts.select(F.explode(F.regexp_extract_all(text, F.lit(rf"\b[A-Za-z_][A-Za-z0-9_]{{{least - 1},}}\b"), 0)).alias("term")).distinct().filter(~F.col("term").isin(core) if core else F.lit(True))
+    words = texts.select(F.explode(F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{{{least - 1},}}(?![A-Za-z0-9_])"), 0)).alias("term")).distinct().filter(~F.col("term").isin(core) if core else F.lit(True))
     slots = max(0, limit - len(core))
     return words.orderBy(F.desc(F.length("term")), "term").limit(slots)
 
