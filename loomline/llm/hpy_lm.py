@@ -104,10 +104,13 @@ class Seating:
             label[todo[good]] = guess[good]
             todo = todo[~good]
         new = np.flatnonzero(opens)
-        label[new] = self.tables[dish[new]]
-        for k in new[self.taken[base[new] + label[new]] > 0]:  # as tables were left empty, another label is free
-            own = self.taken[base[k] : base[k] + n[k] + 1]
-            label[k] = int(np.flatnonzero(own == 0)[0])
+        # As tables were left empty, the label after the last one may be in use: then the next free one, of which there is one among n + 1.
+        fresh_label = self.tables[dish[new]]
+        busy = np.flatnonzero(self.taken[base[new] + fresh_label])
+        while len(busy):
+            fresh_label[busy] = (fresh_label[busy] + 1) % (n[new[busy]] + 1)
+            busy = busy[self.taken[base[new[busy]] + fresh_label[busy]] > 0]
+        label[new] = fresh_label
         self.seat[base + n] = label
         self.taken[base + label] += 1
         self.customers[dish] += 1
