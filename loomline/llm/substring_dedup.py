@@ -12,7 +12,7 @@ the first of equal ones. Equal strings own equal anchors at equal distance. Neig
 2. Runs of repeated anchors are counted by all of their bytes: a run that occurs twice repeats as a whole.
 3. Only where one anchor has different runs, their places are named and counted one by one, one occurrence of each run.
 
-Scale: fingerprints are numpy sums over slices of a few megabytes; texts are read once per step and never shuffled, save those with
+Scale: fingerprints are numpy sums over slices of a megabyte; texts are read once per step and never shuffled, save those with
 something to remove, to meet their runs. Counts are taken on the map side first, so a passage that a third of all rows share is a row
 per task; joins are of shuffled sides. Bloom filters of bounded size tell tasks which anchors, runs and documents matter; beyond their
 capacity more rows pass and the exact joins drop them.
@@ -36,7 +36,7 @@ from loomline.llm.shared import blank_null, documents, forget, kept_in_worker, w
 from loomline.llm.words import mixed
 
 LENGTH = 200
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _P = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
