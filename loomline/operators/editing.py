@@ -480,7 +480,7 @@ def ignored(path: str, patterns: Iterable[str]) -> bool:
         only_dir = p.endswith("/")
         body = p.strip("/")
         rooted = "/" in p.rstrip("/")
-        made = "".join({"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t) or (t if t.startswith("[") and len(t) > 1 else re.escape(t)) for t in re.findall(r"\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]+\]|.", body))
+        made = "".join({"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t) or (t if t.startswith("[") and len(t) > 1 else re.escape(t)) for t in re.findall(r"/\*\*/|\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]+\]|.", body))
         if re.match(("" if rooted else "(?:.*/)?") + made + ("/.*" if only_dir else "(?:/.*)?") + r"\Z", path.lstrip("/")):
             out = not negated
     return out

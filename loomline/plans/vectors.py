@@ -70,7 +70,9 @@ def _(t, spark):
     return t("documents").select("doc_id", V.segment_hash(F.col("doc_id").cast("string"), F.lit(1), lines, F.col("text")).alias("digest"))
 
 
-@query("vs11_point_id")
+@query("vs11_point_id", """
+WITH h AS (SELECT doc_id, sha1(unhex('f47ac10b58cc4372a5670e02b2c3d479') || encode(sha256(text))) AS r FROM documents)
+SELECT doc_id, r[1:8] || '-' || r[9:12] || '-5' || r[14:16] || '-' || substring('89ab', ((strpos('0123456789abcdef', r[17:17]) - 1) % 4 + 1)::INT, 1) || r[18:20] || '-' || r[21:32] AS id FROM h""")
 def _(t, spark):
     return t("documents").select("doc_id", V.point_id(F.sha2("text", 256)).alias("id"))
 
