@@ -35,7 +35,9 @@ def debounced(events: DataFrame, path: str, ts: str, change: str, gap: str = "50
     """ST1: bursts of changes that are closed by a pause, with the last change of each path. One timer serves all paths; per_path gives
     each its own, which lets bursts run in parallel."""
     kind = events if not events.isStreaming else events.withWatermark(ts, delay)
-    keys = [F.session_window(ts, gap).alias("w"), F.col(path).alias("k") if per_path else F.lit(1).alias("k")]
+    # Streams don't take a session window alone, nor beside a key that the optimizer sees to be constant.
+    one = F.coalesce(F.length(F.col(path).cast("string")) * 0, F.lit(0))
+    keys = [F.session_window(ts, gap).alias("w"), (F.col(path) if per_path else one).alias("k")]
     last = F.max_by(F.col(change), F.col(ts))
     if per_path:
         return kind.groupBy(*keys).agg(last.alias("change"), F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("start"), F.col("k").alias("path"), "change", "events")
@@ -65,7 +67,7 @@ class Cooldown(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "ts long", ttlDurationMs=86_400_000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
         frame = pd.concat(list(rows)).sort_values("ts")
         last = self.last.get()[0] if self.last.exists() else None
         out = []
@@ -137,7 +139,7 @@ class Dwell(StatefulProcessor):
         self.seen.updateValue((key,), (since,))
         return [(viewer, key, since)]
 
-    def handleInputRows(self, key, rows, timer):  # noqa: N802, ANN001
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803, ANN001
         out = []
         for shown, ts in pd.concat(list(rows)).sort_values("ts")[["shown", "ts"]].itertuples(index=False):
             out += self._leave(key[0], int(ts))
@@ -145,8 +147,8 @@ class Dwell(StatefulProcessor):
             self.handle.registerTimer(int(ts) + self.least_ms)
         yield pd.DataFrame(out, columns=["viewer", "shown", "since"])
 
-    def handleExpiredTimer(self, key, timer, expired):  # noqa: N802, ANN001
-        yield pd.DataFrame(self._leave(key[0], expired.getExpiryTimeInMs()), columns=["viewer", "shown", "since"])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803, ANN001
+        yield pd.DataFrame(self._leave(key[0], expiredTimerInfo.getExpiryTimeInMs()), columns=["viewer", "shown", "since"])
 
     def close(self) -> None:
         pass

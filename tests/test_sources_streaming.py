@@ -94,7 +94,10 @@ def events(spark, tmp_path):
     folder.mkdir()
     for k in range(2):
         next((tmp_path / f"p{k}").glob("*.parquet")).rename(folder / f"{k}.parquet")
-    return J.file_stream(spark, str(folder), schema), spark.createDataFrame(rows, schema)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # each has state of its own
+    yield J.file_stream(spark, str(folder), schema), spark.createDataFrame(rows, schema)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_stream_equals_batch(spark, events):
