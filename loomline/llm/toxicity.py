@@ -43,13 +43,14 @@ LEXICON = dict.fromkeys(("idiot", "moron", "stupid", "worthless", "pathetic", "d
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "sore loser bracket", "stupid simple", "scum line")
 CURVE = (-3.0, 2.5, 0.3)
 
-# Letters of other scripts that look like Latin ones, and the digits put for letters.
+# Letters of other scripts that look like Latin ones, and the digits put for letters. As 1 stands for i and for l, these two fold together.
 _ALIKE = {
+    "l": "i",
     "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ɡ": "g", "ո": "n", "ս": "u", "ѵ": "v", "ԝ": "w",
-    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɩ": "i", "ℓ": "l",
+    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɩ": "i", "ℓ": "i",
 }
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
-_WIDE = {chr(0xFF41 + i): chr(0x61 + i) for i in range(26)}
+_WIDE = {chr(0xFF41 + i): "i" if i == 11 else chr(0x61 + i) for i in range(26)}
 _HIDDEN = {c: None for c in "​‌‍⁠﻿­"}
 _FOLD = str.maketrans({**_ALIKE, **_DIGITS, **_WIDE, **_HIDDEN})
 _MARKS = {"@": "a", "$": "s"}
@@ -66,11 +67,15 @@ def fold(text: str) -> str:
     return _APART.sub(lambda m: _GAP.sub("", m[0]), out)
 
 
+#: The built-in entries as they look folded.
+BUILTIN = {fold(word): weight for word, weight in LEXICON.items()}
+
+
 @dataclass
 class Model:
     """What a score needs. weights: entry to log-odds; exceptions: phrases; curve: of constant, raw and relative weight."""
 
-    weights: dict[str, float] = field(default_factory=lambda: dict(LEXICON))
+    weights: dict[str, float] = field(default_factory=lambda: dict(BUILTIN))
     exceptions: tuple[str, ...] = EXCEPTIONS
     curve: tuple[float, float, float] = CURVE
 
@@ -80,11 +85,9 @@ class Matcher:
         import ahocorasick
 
         self.model, self.automaton = model, ahocorasick.Automaton()
-        for entry, weight in model.weights.items():
+        entries = {fold(entry): weight for entry, weight in model.weights.items()}
+        for entry, weight in {**{fold(phrase): None for phrase in model.exceptions}, **entries}.items():
             self.automaton.add_word(entry, (len(entry), weight))
-        for phrase in model.exceptions:
-            if phrase not in model.weights:
-                self.automaton.add_word(phrase, (len(phrase), None))
         self.automaton.make_automaton()
 
     def hits(self, folded: str) -> list[tuple[int, float]]:
@@ -182,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_p
     least = max(least_docs, -(-toxic // 250))
     counted = sample.mapInArrow(count, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / clean)
-    builtin = F.col("stem").isin(*LEXICON)
+    builtin = F.col("stem").isin(*BUILTIN)
     found = {r["stem"]: (r["toxic"], r["clean"]) for r in counted.filter(((F.col("toxic") >= least) & (lift >= min(least_lift, clean / toxic * least))) | builtin).collect()}
     odds = lambda t, c: float(np.log((t + 0.5) / (toxic - t + 0.5)) - np.log((c + 0.5) / (clean - c + 0.5)))
     able = {s for s, (t, c) in found.items() if t >= least and (t / toxic) / ((c + 0.5) / clean) >= min(least_lift, clean / toxic * least)}
@@ -209,8 +212,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_p
                 covered[i] += 1
                 if covered[i] == cover:
                     gains.subtract(h)
-    weights = {s: w for s, w in LEXICON.items() if s not in found}
-    weights |= {s: w for s in {*chosen, *(set(LEXICON) & set(found))} if (w := odds(*found[s])) > 0.5}
+    weights = {s: w for s, w in BUILTIN.items() if s not in found}
+    weights |= {s: w for s in {*chosen, *(set(BUILTIN) & set(found))} if (w := odds(*found[s])) > 0.5}
     model = Model(weights=weights)
 
     def phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
