@@ -492,4 +492,6 @@ def seen_files(files: DataFrame, path: str, patterns: list[str]) -> DataFrame:
     return files.filter(~hidden(path))
 
 
-terminal_text = mapped(lambda t: None if t is None else backspaces(carriage_returns(t)), StringType())
+def terminal_text(text: Column) -> Column:
+    """SF6, SF7 as a column: what a terminal shows."""
+    return mapped(lambda t: None if t is None else backspaces(carriage_returns(t)), StringType())(text)

@@ -10,7 +10,7 @@ from loomline.operators import aggregates as A
 from loomline.operators import budgets as B
 from loomline.operators import sequences as S
 from loomline.plans.registry import query
-from loomline.plans.relational import PASSED, SQL_PASSED
+from loomline.plans.relational import SQL_PASSED, passed
 from loomline.streaming import jobs as J
 
 
@@ -19,7 +19,7 @@ SELECT o_custkey, sum(l_quantity) AS quantity, round(sum(l_extendedprice), 2) AS
 FROM (SELECT *, {SQL_PASSED} AS passed FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def _(t, spark):
     """Sums of a run's metrics, and its verdicts; a task without one failed."""
-    tasks = t("lineitem").withColumn("passed", PASSED)
+    tasks = t("lineitem").withColumn("passed", passed())
     runs = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey")
     out = A.run_totals(tasks, runs, "o_custkey", "o_orderkey", "l_orderkey", sums=("l_quantity", "l_extendedprice"))
     return out.select("o_custkey", F.col("l_quantity").alias("quantity"), F.round("l_extendedprice", 2).alias("price"), "passed", "failed")
@@ -28,7 +28,7 @@ def _(t, spark):
 @query("ag02_language_scores", """
 SELECT l_suppkey, coalesce(avg(CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE ELSE 0 END) FILTER (l_linestatus = 'O'), 0) AS "O", coalesce(avg(CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE ELSE 0 END) FILTER (l_linestatus = 'F'), 0) AS "F" FROM lineitem GROUP BY 1""")
 def _(t, spark):
-    return A.language_scores(t("lineitem").withColumn("passed", PASSED), "l_suppkey", "l_linestatus", "passed", ["O", "F"])
+    return A.language_scores(t("lineitem").withColumn("passed", passed()), "l_suppkey", "l_linestatus", "passed", ["O", "F"])
 
 
 def _usage(t):
@@ -45,7 +45,7 @@ def _(t, spark):
 SELECT l_suppkey, count(*) AS total, count(*) FILTER (p) AS passed, count(*) FILTER (NOT p) AS failed, count(p) AS completed, count(*) - count(p) AS remaining, count(*) FILTER (p) * 100.0::DOUBLE / nullif(count(p), 0) AS pass_rate, count(*) FILTER (l_linestatus = 'F') AS finished
 FROM (SELECT *, {SQL_PASSED} AS p FROM lineitem) GROUP BY 1""")
 def _(t, spark):
-    return A.run_stats(t("lineitem").withColumn("passed", PASSED), "l_suppkey", "passed", F.col("l_linestatus") == "F")
+    return A.run_stats(t("lineitem").withColumn("passed", passed()), "l_suppkey", "passed", F.col("l_linestatus") == "F")
 
 
 @query("ag07_last_value", "SELECT user_id, arg_max(value, (ts, event_id)) FILTER (value > 0 AND event_type <> 'error') AS last_value FROM events GROUP BY 1")
@@ -122,7 +122,7 @@ def _(t, spark):
 @query("ag18_counters", "SELECT count(*) FILTER (l_returnflag NOT IN ('A', 'R')) AS incomplete, count(*) FILTER (l_shipdate < TIMESTAMP '1995-06-01' - INTERVAL 30 DAY) AS old FROM lineitem")
 def _(t, spark):
     old = F.col("l_shipdate") < F.lit(datetime(1995, 6, 1)).cast("timestamp_ntz") - F.expr("INTERVAL 30 DAYS")
-    return t("lineitem").agg(F.count_if(PASSED.isNull()).alias("incomplete"), F.count_if(old).alias("old"))
+    return t("lineitem").agg(F.count_if(passed().isNull()).alias("incomplete"), F.count_if(old).alias("old"))
 
 
 @query("ag19_purge", """

@@ -11,10 +11,13 @@ from loomline.plans.registry import query
 
 NOW = datetime(1995, 6, 1)
 #: A tri-state verdict: returned lines failed, accepted ones passed, the rest have none.
-PASSED = F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False)
 SQL_PASSED = "CASE l_returnflag WHEN 'A' THEN TRUE WHEN 'R' THEN FALSE END"
 
 
+def passed():
+    return F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False)
+
+
 @query("sc01_runs_newest_first", "SELECT o_orderkey, o_totalprice, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def _(t, spark):
     return R.with_metrics(t("orders"), t("customer"), "o_custkey", "c_custkey", newest_first="o_orderkey").select("o_orderkey", "o_totalprice", "c_mktsegment")
@@ -39,7 +42,7 @@ def _(t, spark):
 
 @query("sc19_failed_logs", "SELECT l_orderkey, l_linenumber, l_orderkey::VARCHAR || '/' || l_linestatus || '/' || l_linenumber::VARCHAR || '.log' AS path FROM lineitem WHERE l_returnflag = 'R'")
 def _(t, spark):
-    return R.failed_files(t("lineitem"), PASSED, ["l_orderkey", "l_linestatus", "l_linenumber"]).select("l_orderkey", "l_linenumber", "path")
+    return R.failed_files(t("lineitem"), passed(), ["l_orderkey", "l_linestatus", "l_linenumber"]).select("l_orderkey", "l_linenumber", "path")
 
 
 @query("fl01_timeframe", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-06-01' - INTERVAL 90 DAY")
@@ -59,7 +62,7 @@ def _(t, spark):
 
 @query("fl04_incomplete", "SELECT l_orderkey FROM lineitem WHERE l_returnflag NOT IN ('A', 'R')")
 def _(t, spark):
-    return R.incomplete(t("lineitem").withColumn("passed", PASSED), "passed", "l_orderkey")
+    return R.incomplete(t("lineitem").withColumn("passed", passed()), "passed", "l_orderkey")
 
 
 @query("fl05_old_runs", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' - INTERVAL 30 DAY")
@@ -91,7 +94,7 @@ def _(t, spark):
 @query("fl10_status", f"SELECT CASE WHEN passed = FALSE THEN 'failed' WHEN passed THEN 'passed' WHEN l_linestatus = 'O' THEN 'in_progress' ELSE 'not_started' END AS status, count(*) AS n FROM (SELECT *, {SQL_PASSED} AS passed FROM lineitem) GROUP BY 1")
 def _(t, spark):
     started = F.when(F.col("l_linestatus") == "O", F.col("l_shipdate"))
-    return t("lineitem").select(R.task_status(PASSED, started, F.lit(None)).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return t("lineitem").select(R.task_status(passed(), started, F.lit(None)).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("fl16_columns", "SELECT c_custkey FROM customer WHERE c_acctbal IS NULL")
