@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.text import path_segments
@@ -42,14 +46,38 @@ def search(points: DataFrame, query: list[float], prefix: str | None = None, min
 
 
 def search_many(points: DataFrame, queries: DataFrame, limit: int, min_score: float = DEFAULT_MIN_SCORE, vector: str = "vector", id_: str = "id", max_queries: int = 10_000) -> DataFrame:
-    """VS3, VS1: the best points of each query (query_id, query). Queries are checked to be few, then broadcast against one scan of the points;
-    per task the best of each query are kept by a bounded aggregate before they are shuffled."""
-    if queries.limit(max_queries + 1).count() > max_queries:
+    """VS3, VS1: the best points of each query (query_id, query), with rank and score; of equal scores the smaller id first.
+
+    The queries are checked to be few; each Arrow batch of points is scored against all of them by one matrix product, and only a batch's
+    best of each query are shuffled. Zero vectors match nothing.
+    """
+    asked = queries.select("query_id", "query").limit(max_queries + 1).toArrow()
+    if len(asked) > max_queries:
         raise ValueError(f"more than {max_queries} queries: split them")
-    scored = points.crossJoin(F.broadcast(queries)).withColumn("score", cosine(F.col(vector), F.col("query"))).filter(F.col("score") >= min_score)
-    entry = F.struct((-F.col("score")).alias("n"), F.col(id_).alias("id"))
-    best = scored.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, limit).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("rank", "e")).select("query_id", "rank", F.col("e.id").alias(id_), (-F.col("e.n")).alias("score"))
+    names = asked.column("query_id").combine_chunks()
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def unit(lists: pa.Array) -> np.ndarray:
+        m = np.array(lists.to_pylist(), np.float64).reshape(len(lists), -1)
+        size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, size, out=np.full_like(m, np.nan), where=size > 0)
+
+    wanted = unit(asked.column("query").combine_chunks()) if len(asked) else None
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            if wanted is None or not len(batch):
+                continue
+            of = np.nan_to_num(unit(batch.column(1)) @ wanted.T, nan=-2.0)
+            # Everything as good as the last of the best: ties are settled among all batches.
+            least = np.partition(of, len(of) - limit, axis=0)[len(of) - limit] if len(of) > limit else np.full(of.shape[1], -1.5)
+            row, query = np.nonzero((of >= np.maximum(least, min_score)) & (of > -1.5))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), batch.column(0).take(pa.array(row)), pa.array(of[row, query])], names=["query_id", id_, "score"])
+
+    scored = points.select(id_, vector).mapInArrow(score, f"query_id {kind}, `{id_}` {points.schema[id_].dataType.simpleString()}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_))
+    return scored.withColumn("rank", rank - 1).filter(F.col("rank") < limit).select("query_id", "rank", id_, "score")
 
 
 def min_score(user: Column, model: Column) -> Column:

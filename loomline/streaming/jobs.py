@@ -41,10 +41,10 @@ def debounced(events: DataFrame, path: str, ts: str, change: str, gap: str = "50
     last = F.max_by(F.col(change), F.col(ts))
     if per_path:
         return kind.groupBy(*keys).agg(last.alias("change"), F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("start"), F.col("k").alias("path"), "change", "events")
-    burst = kind.groupBy(*keys).agg(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(path).alias("p"), F.col(change).alias("c"))).alias("_e"))
-    latest = F.array_distinct(F.transform("_e", lambda x: x["p"]))
-    of = lambda p: F.array_max(F.filter("_e", lambda x: x["p"] == p))["c"]
-    return burst.select(F.col("w.start").alias("start"), F.size("_e").alias("events"), F.explode(F.transform(latest, lambda p: F.struct(p.alias("path"), of(p).alias("change")))).alias("x")).select("start", "events", "x.*")
+    burst = kind.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.col(ts).alias("t"), F.col(change).alias("c")))).alias("_e"))
+    # Sorted by path and time, a path's last change is the one before another path.
+    last = F.filter("_e", lambda x, i: ~F.get("_e", i + 1)["p"].eqNullSafe(x["p"]) | (i == F.size("_e") - 1))
+    return burst.select(F.col("w.start").alias("start"), F.size("_e").alias("events"), F.explode(last).alias("x")).select("start", "events", F.col("x.p").alias("path"), F.col("x.c").alias("change"))
 
 
 def usage_windows(events: DataFrame, ts: str, by: str, kind: str, count: str, size: str = "1 hour", slide: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
