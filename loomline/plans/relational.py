@@ -28,10 +28,9 @@ def _(t, spark):
     return R.find_one(t("nation"), n_nationkey=7)
 
 
-@query("sc03_find_task", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem) AND l_linenumber = 1")
+@query("sc03_find_task", "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 0 AND turn = 1 AND role IS NOT NULL")
 def _(t, spark):
-    first = t("lineitem").agg(F.min("l_orderkey")).first()[0]
-    return R.find_one(t("lineitem"), l_orderkey=first, l_linenumber=1).select("l_orderkey", "l_linenumber", "l_quantity")
+    return R.find_one(t("conversations"), conv_id=0, turn=1).select("conv_id", "turn", "role")
 
 
 @query("sc04_tasks_of_run", "SELECT l_linenumber, l_partkey, p_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem)")

@@ -76,10 +76,14 @@ def test_index_state(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
 
 
-def run(spark, df, name, mode="append"):
+def run(spark, df, name, mode="append", most_s=120):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    return spark.table(name)
+    try:
+        q.awaitTermination(most_s)
+        assert q.exception() is None
+        return spark.createDataFrame(spark.table(name).collect(), spark.table(name).schema)
+    finally:
+        q.stop()
 
 
 @pytest.fixture
@@ -139,7 +143,7 @@ def test_upserts(spark, events, tmp_path):
 def test_stateful(spark, events):
     stream, batch = events
     ms = stream.withColumn("ms", F.unix_millis("ts"))
-    got = run(spark, J.cooled_down(ms, "user", "ms", 3000), "cool", "append")
+    got = run(spark, J.cooled_down(ms, "user", "ms", 3000), "cool", "append", 15)  # expiring state keeps its batches coming
     assert {(r.key, r.ts % 86_400_000 // 1000) for r in got.collect()} == {("u0", 0), ("u0", 4), ("u0", 68), ("u1", 1), ("u1", 5), ("u1", 69)}
     got = run(spark, J.dwelling(stream, "user", "kind", "ts", 1500), "dwell", "append")
     want = {(r.user, r.kind) for r in J.dwelt(batch, "user", "ts", "kind", 1500).collect()}
