@@ -189,20 +189,29 @@ def seek(lines: list[str], pattern: list[str], start: int = 0, at_end: bool = Fa
 
 
 def common_subsequence(a: str, b: str) -> str:
-    """TX10: a longest common subsequence."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    """TX10: a longest common subsequence, the one that the walk back from both ends finds by leaving out characters of `a` first, then of `b`.
+
+    A row of the table of lengths is one integer, whose zero bits tell where the length grows, so long lines cost a few machine words a character.
+    """
+    every, at = (1 << len(b)) - 1, {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    rows = [every]
+    for x in a:
+        row = rows[-1]
+        both = row & at.get(x, 0)
+        rows.append((row + both | row - both) & every)
+    length = lambda i, j: j - (rows[i] & (1 << j) - 1).bit_count()
     out, i, j = [], len(a), len(b)
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            out.append(a[i - 1])
-            i, j = i - 1, j - 1
-        elif table[i - 1][j] >= table[i][j - 1]:
+    left = length(i, j)
+    while left:
+        if length(i - 1, j) == left:
             i -= 1
-        else:
+        elif rows[i] >> j - 1 & 1:
             j -= 1
+        else:
+            i, j, left = i - 1, j - 1, left - 1
+            out.append(a[i])
     return "".join(reversed(out))
 
 

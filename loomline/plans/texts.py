@@ -158,8 +158,7 @@ def _(t, spark):
 @query("tx11_extreme_repetition")
 def _(t, spark):
     check = E.mapped(E.extreme_repetition, "boolean")
-    words = F.replace(F.substring("text", 1, 2000), F.lit(" "), F.lit("\n"))
-    return t("documents").select("doc_id", check(words).alias("extreme"))
+    return t("documents").select("doc_id", check(F.replace("text", F.lit(" "), F.lit("\n"))).alias("extreme"))
 
 
 @query("tx12_phrase_repeats", r"""
