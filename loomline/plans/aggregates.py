@@ -54,14 +54,27 @@ def _(t, spark):
     return t("events").groupBy("user_id").agg(F.max_by(F.when(ok, F.col("value")), F.when(ok, F.struct("ts", "event_id"))).alias("last_value"))
 
 
+def _tree_costs(t, spark, roots):
+    n = S.numbered(t("orders").select("o_orderkey", F.round("o_totalprice").cast("long").alias("cost")), ["o_orderkey"]).select((F.col("index") + 1).cast("long").alias("id"), "cost")
+    n.withColumn("parent", F.when(F.floor(F.col("id") / 2) != F.col("id"), F.floor(F.col("id") / 2))).createOrReplaceTempView("loomline_tree")
+    return A.tree_cost(spark, "loomline_tree", "id", "parent", "cost", roots)
+
+
 @query("ag08_tree_cost", """
 WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS id, round(o_totalprice)::BIGINT AS cost FROM orders),
 t AS (SELECT id AS root, id, cost, 0 AS d FROM n WHERE id % 100 = 1 UNION ALL SELECT t.root, n.id, n.cost, d + 1 FROM t JOIN n ON n.id // 2 = t.id AND n.id <> t.id)
 SELECT root, sum(cost) FILTER (d = 0)::BIGINT AS own, coalesce(sum(cost) FILTER (d > 0), 0)::BIGINT AS children, sum(cost)::BIGINT AS total, count(*) AS nodes FROM t GROUP BY 1""")
 def _(t, spark):
-    n = S.numbered(t("orders").select("o_orderkey", F.round("o_totalprice").cast("long").alias("cost")), ["o_orderkey"]).select((F.col("index") + 1).cast("long").alias("id"), "cost")
-    n.withColumn("parent", F.when(F.floor(F.col("id") / 2) != F.col("id"), F.floor(F.col("id") / 2))).createOrReplaceTempView("loomline_tree")
-    return A.tree_cost(spark, "loomline_tree", "id", "parent", "cost", "id % 100 = 1")
+    return _tree_costs(t, spark, "id % 100 = 1")
+
+
+@query("ag08_all_tree_costs", """
+WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS id, round(o_totalprice)::BIGINT AS cost FROM orders),
+t AS (SELECT id AS root, id, cost, 0 AS d FROM n UNION ALL SELECT t.root, n.id, n.cost, d + 1 FROM t JOIN n ON n.id // 2 = t.id AND n.id <> t.id)
+SELECT root, sum(cost) FILTER (d = 0)::BIGINT AS own, coalesce(sum(cost) FILTER (d > 0), 0)::BIGINT AS children, sum(cost)::BIGINT AS total, count(*) AS nodes FROM t GROUP BY 1""")
+def _(t, spark):
+    """Every node's tree; ag08_tree_cost shows those that its SQL asks for."""
+    return _tree_costs(t, spark, "true")
 
 
 @query("ag09_storage_stats", "SELECT event_type, count(*) AS n, min(ts) AS oldest, max(ts) AS newest, round(sum(value), 4) AS size FROM events GROUP BY 1")

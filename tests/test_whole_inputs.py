@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from loomline.catalog import QUERIES
+from loomline.operators import aggregates as A
 from loomline.operators import editing as E
 
 
@@ -68,3 +69,47 @@ def test_extreme_repetition_reads_whole_texts(spark, tmp_path):
     got = {r.doc_id: r.extreme for r in QUERIES["tx11_extreme_repetition"](spark, folder).collect()}
     want = {i: plain_extreme(x) for i, x in enumerate(texts)}
     assert got == want and any(plain_extreme(x) != plain_extreme(x[:2000]) for x in texts)
+
+
+def plain_tree(rows, root):
+    """(own, children, total, nodes) of all simple paths down from a root's rows."""
+    own, below, nodes = [], [], 0
+    todo = [(i, c, (i,)) for i, _, c in rows if i == root]
+    while todo:
+        i, c, path = todo.pop()
+        nodes += 1
+        if c is not None:
+            (own if len(path) == 1 else below).append(c)
+        todo += [(j, d, (*path, j)) for j, up, d in rows if up == i and j is not None and j not in path]
+    return sum(own) if own else None, sum(below), sum(own + below) if own + below else None, nodes
+
+
+TREES = {
+    "chain deeper than 100": [(i, i - 1, 1) for i in range(1, 151)],
+    "one parent each": [(i, random.Random(i).randint(0, i - 1), i) for i in range(1, 80)],
+    "cycles": [(i, random.Random(7 * i).randint(1, 60), i if i % 5 else None) for i in range(1, 61)],
+    "a cycle with trees": [(1, 3, 1), (2, 1, 2), (3, 2, 4), (4, 3, 8), (5, 4, None), (6, 6, 16), (7, 99, None), (8, 7, None), (None, 1, 32)],
+    "two parents": [(1, None, 1), (2, 1, 2), (3, 1, 4), (4, 2, 8), (4, 3, 8), (5, 4, 16), (1, 5, 1)],
+}
+
+
+def test_every_tree_is_summed(spark):
+    for name, rows in TREES.items():
+        spark.createDataFrame(rows, "id long, parent long, cost long").createOrReplaceTempView("whole_trees")
+        got = {r.root: (r.own, r.children, r.total, r.nodes) for r in A.tree_cost(spark, "whole_trees", "id", "parent", "cost", "id IS NOT NULL").collect()}
+        assert got == {i: plain_tree(rows, i) for i, *_ in rows if i is not None}, name
+
+
+def test_tree_costs_have_no_row_limit(spark, tmp_path):
+    n = 600
+    folder = stored(tmp_path, "orders", {"o_orderkey": list(range(10, 10 + n)), "o_totalprice": [float(i % 7) for i in range(n)]})
+    limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "500")
+    try:
+        got = {r.root: (r.own, r.children, r.total, r.nodes) for r in QUERIES["ag08_all_tree_costs"](spark, folder).collect()}
+        some = {r.root: (r.own, r.children, r.total, r.nodes) for r in QUERIES["ag08_tree_cost"](spark, folder).collect()}
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
+    rows = [(i, i // 2, (i - 1) % 7) for i in range(1, n + 1)]
+    assert got == {i: plain_tree(rows, i) for i, *_ in rows}
+    assert some == {i: got[i] for i in got if i % 100 == 1}
