@@ -40,13 +40,14 @@ NAME_SCORES = {
 THRESHOLD = 3.5
 
 _WORDS = re.compile(r"password|passwd|secret|token|api_?key", re.I)
-#: A name, an assignment sign, and a literal: quoted, or bare up to white space or a delimiter.
-_PAIR = re.compile(
-    r"(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})[\"']?[ \t]{0,8}(?::=|=>|[:=])[ \t]{0,8}"
-    r"(?:\"(?P<double>[^\"\n]{1,512})\"|'(?P<single>[^'\n]{1,512})'|(?P<bare>[^\s\"',;<>(){}\[\]]{1,512}))"
-)
-_TAG = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})>(?P<bare>[^<>\s]{1,512})</(?P=name)>")
-_JOINED = re.compile(r"[ \t]{0,8}[+.][ \t]{0,8}(?:\"([^\"\n]{1,512})\"|'([^'\n]{1,512})')")
+#: A name, an assignment sign, and a literal: quoted, or bare up to white space or a delimiter. Nothing has a greatest length: a name is tried only
+#: where its run of characters begins, and what is read is not given back, so time grows with the text.
+_NAME = r"(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)"
+_QUOTED = r"\"(?P<double>[^\"\n]++)\"|'(?P<single>[^'\n]++)'"
+_PAIR = re.compile(rf"(?<![A-Za-z0-9_.\-])[0-9.\-]*+{_NAME}[\"']?[ \t]*+(?::=|=>|[:=])[ \t]*+(?:{_QUOTED}|(?P<bare>[^\s\"',;<>(){{}}\[\]]++))")
+_TAG = re.compile(rf"<{_NAME}>(?P<bare>[^<>\s]++)</(?P=name)>")
+_JOINED = re.compile(rf"[ \t]*+[+.][ \t]*+(?:{_QUOTED})")
+_SIGN = re.compile("[:=]")
 _PLAIN_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
 
@@ -81,20 +82,29 @@ def literal_score(literal: str) -> float:
     return min(1.0, _entropy(literal) / 4.0) + (0.5 if kinds >= 2 else 0.0) + (0.5 if len(literal) >= 16 else 0.0)
 
 
+def _lexed(text: str, start: int, end: int) -> Iterator[re.Match]:
+    """Pairs of a part of a text, and those inside its quoted literals, as a string may hold a whole configuration."""
+    for m in _PAIR.finditer(text, start, end):
+        yield m
+        if m["bare"] is None and _SIGN.search(text, *(inner := m.span("double" if m["double"] else "single"))):
+            yield from _lexed(text, *inner)
+
+
 def assigned_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, str, int]]:
     """Spans of literals whose targets, directly or by propagation, make them likely secrets."""
     if not ("=" in text or ":" in text or "</" in text):
         return []
     pairs = []
-    for m in (*_PAIR.finditer(text), *_TAG.finditer(text)):
+    for m in (*_lexed(text, 0, len(text)), *_TAG.finditer(text)):
         groups = m.groupdict()
         kind = next(k for k in ("double", "single", "bare") if groups.get(k) is not None)
-        literal, (start, end) = groups[kind], m.span(kind)
+        parts, (start, end) = [groups[kind]], m.span(kind)
         if kind != "bare":
             at = m.end()
             while more := _JOINED.match(text, at):
-                literal, end, at = literal + (more[1] or more[2]), more.end() - 1, more.end()
-        pairs.append((start, end, m["name"], literal, kind))
+                end, at = more.end() - 1, more.end()
+                parts.append(more["double"] or more["single"])
+        pairs.append((start, end, m["name"], "".join(parts), kind))
     pairs.sort()
     bound: dict[str, tuple[int, int, str]] = {}  # a name's last literal
     best: dict[tuple[int, int], float] = {}
