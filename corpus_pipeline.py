@@ -18,11 +18,10 @@ from loomline.llm.toxicity import learnt, toxicity
 
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go; where one id has several rows, all go if one does."""
+    """Documents that the toxicity score rejects go, each row by its own score, whatever its id."""
     # Labels are of the documents of sf_dir, of which docs may be a part.
     model = learnt(spark, docs, sf_dir)
-    bad = toxicity(docs, model).filter("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    return toxicity(docs, model, row="_row").filter("predicted = 0").select("_row.*")
 
 
 def unique_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

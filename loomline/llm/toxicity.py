@@ -248,13 +248,14 @@ def _weighed(rows: DataFrame, model: Model, also: list[str] = ()) -> DataFrame:
     return rows.mapInArrow(weigh, "doc_id long, weight double, hits long, words long" + rest)
 
 
-def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted, hits of every row."""
-    rows = _weighed(docs.select(F.col(id_col).cast("long").alias("doc_id"), blank_null(text_col).alias("text")), model)
+def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
+    """doc_id, score, predicted, hits of every row, and the whole row as a struct named `row`, if asked."""
+    also = [row] if row else []
+    rows = _weighed(docs.select(F.col(id_col).cast("long").alias("doc_id"), blank_null(text_col).alias("text"), *(F.struct("*").alias(c) for c in also)), model, also)
     a, b, c = model.curve
     z = F.lit(a) + b * F.log1p("weight") + c * F.log1p(100 * F.col("weight") / (F.col("words") + 10))
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    return rows.select("doc_id", score.alias("score"), "hits").select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")
+    return rows.select("doc_id", score.alias("score"), "hits", *also).select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits", *also)
 
 
 def held_out(mod: int = 3, is_: int = 1) -> Column:
