@@ -311,11 +311,12 @@ def history_scd(entries: DataFrame, by: list[str], order: str, carried: list[str
     return out
 
 
-def merged_logs(old: DataFrame, new: DataFrame, key: str = "ts") -> DataFrame:
-    """XS4: rows of both logs by their key, the incoming ones winning, in order."""
+def merged_logs(old: DataFrame, new: DataFrame, key: str = "ts", by: list[str] | None = None) -> DataFrame:
+    """XS4: rows of both logs by their key, the incoming ones winning, in order; a log of each `by`, where it is given."""
+    keys = [*(by or []), key]
     both = old.withColumn("_p", F.lit(0)).unionByName(new.withColumn("_p", F.lit(1)))
-    columns = [c for c in old.columns if c != key]
-    return both.groupBy(key).agg(F.max_by(F.struct(*columns), "_p").alias("_r")).select(key, "_r.*").orderBy(key)
+    columns = [c for c in old.columns if c not in keys]
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_p").alias("_r")).select(*keys, "_r.*").orderBy(*keys)
 
 
 def recent(items: DataFrame, by: str, ts: str, now: Column, most: int = 100, days: int = 7, tie: str = "id") -> DataFrame:

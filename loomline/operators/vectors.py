@@ -45,37 +45,45 @@ def search(points: DataFrame, query: list[float], prefix: str | None = None, min
     return rows.withColumn("score", score).filter(F.col("score") >= min_score).orderBy(F.desc("score"), id_).limit(limit)
 
 
-def search_many(points: DataFrame, queries: DataFrame, limit: int, min_score: float = DEFAULT_MIN_SCORE, vector: str = "vector", id_: str = "id", max_queries: int = 10_000) -> DataFrame:
+def search_many(points: DataFrame, queries: DataFrame, limit: int, min_score: float = DEFAULT_MIN_SCORE, vector: str = "vector", id_: str = "id", max_queries: int | None = None) -> DataFrame:
     """VS3, VS1: the best points of each query (query_id, query), with rank and score; of equal scores the smaller id first.
 
-    The queries are checked to be few; each Arrow batch of points is scored against all of them by one matrix product, and only a batch's
-    best of each query are shuffled. Zero vectors match nothing.
+    There is no bound on queries unless one is given. Both sides are packed into blocks; each pair of blocks is one matrix product, and only
+    its best of each query are shuffled. Zero vectors match nothing.
     """
-    asked = queries.select("query_id", "query").limit(max_queries + 1).toArrow()
-    if len(asked) > max_queries:
+    if max_queries is not None and queries.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"more than {max_queries} queries: split them")
-    names = asked.column("query_id").combine_chunks()
-    kind = queries.schema["query_id"].dataType.simpleString()
+    kinds = {"query": queries.schema["query_id"].dataType.simpleString(), "point": points.schema[id_].dataType.simpleString()}
 
     def unit(lists: pa.Array) -> np.ndarray:
         m = np.array(lists.to_pylist(), np.float64).reshape(len(lists), -1)
         size = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return np.divide(m, size, out=np.full_like(m, np.nan), where=size > 0)
 
-    wanted = unit(asked.column("query").combine_chunks()) if len(asked) else None
+    def blocks(rows: DataFrame, side: str, most: int) -> DataFrame:
+        def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(batch.column(1).is_valid())
+                for at in range(0, len(batch), most):
+                    part = batch.slice(at, most)
+                    ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([unit(part.column(1)).tobytes()], pa.binary())], names=[f"{side}_ids", side])
+
+        return rows.mapInArrow(pack, f"{side}_ids array<{kinds[side]}>, {side} binary")
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            if wanted is None or not len(batch):
-                continue
-            of = np.nan_to_num(unit(batch.column(1)) @ wanted.T, nan=-2.0)
-            # Everything as good as the last of the best: ties are settled among all batches.
-            least = np.partition(of, len(of) - limit, axis=0)[len(of) - limit] if len(of) > limit else np.full(of.shape[1], -1.5)
-            row, query = np.nonzero((of >= np.maximum(least, min_score)) & (of > -1.5))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), batch.column(0).take(pa.array(row)), pa.array(of[row, query])], names=["query_id", id_, "score"])
-
-    scored = points.select(id_, vector).mapInArrow(score, f"query_id {kind}, `{id_}` {points.schema[id_].dataType.simpleString()}, score double")
+            for r in range(len(batch)):
+                names, ids = batch.column(2)[r].values, batch.column(0)[r].values
+                held, wanted = (np.frombuffer(batch.column(c)[r].as_buffer(), np.float64).reshape(len(n), -1) for c, n in ((1, ids), (3, names)))
+                of = np.nan_to_num(held @ wanted.T, nan=-2.0)
+                # Everything as good as the last of the best: ties are settled among all blocks.
+                least = np.partition(of, len(of) - limit, axis=0)[len(of) - limit] if len(of) > limit else np.full(of.shape[1], -1.5)
+                row, query = np.nonzero((of >= np.maximum(least, min_score)) & (of > -1.5))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(row)), pa.array(of[row, query])], names=["query_id", id_, "score"])
+
+    pairs = blocks(points.select(id_, vector), "point", 4096).crossJoin(blocks(queries.select("query_id", "query"), "query", 1024))
+    scored = pairs.mapInArrow(score, f"query_id {kinds['query']}, `{id_}` {kinds['point']}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_))
     return scored.withColumn("rank", rank - 1).filter(F.col("rank") < limit).select("query_id", "rank", id_, "score")
 

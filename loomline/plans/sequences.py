@@ -201,6 +201,16 @@ def _(t, spark):
     return S.merged_logs(pick(0, 0), pick(1, 1))
 
 
+@query("xs04_all_merged_logs", """
+WITH o AS (SELECT conv_id // 2 AS log, turn AS ts, conv_id, text FROM conversations WHERE conv_id % 2 = 0), n AS (SELECT conv_id // 2 AS log, turn + 1 AS ts, conv_id, text FROM conversations WHERE conv_id % 2 = 1)
+SELECT log, ts, conv_id, text FROM n UNION ALL SELECT log, ts, conv_id, text FROM o WHERE (log, ts) NOT IN (SELECT (log, ts) FROM n)""")
+def _(t, spark):
+    """Each odd conversation is merged into the one before it, over the whole table."""
+    c = t("conversations").withColumn("log", F.expr("conv_id div 2"))
+    pick = lambda r: c.filter(F.col("conv_id") % 2 == r).select("log", (F.col("turn") + r).alias("ts"), "conv_id", "text")
+    return S.merged_logs(pick(0), pick(1), by=["log"])
+
+
 @query("xs05_recent", """
 WITH f AS (SELECT o_orderkey, o_orderpriority, o_orderdate, o_orderdate >= TIMESTAMP '1998-07-01' - INTERVAL 30 DAY AS fresh FROM orders),
 n AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY o_orderpriority) AS k, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM f)

@@ -44,6 +44,14 @@ def _(t, spark):
     return V.search_many(_points(t), queries, 5, 0.1).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+@query("vs03_search_twentieth", f"""
+SELECT q.vec_id AS query_id, e.vec_id AS id, round({_COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {_COS} >= 0.1
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) <= 5""")
+def _(t, spark):
+    queries = t("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return V.search_many(_points(t), queries, 5, 0.1).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query("vs04_threshold", "SELECT vec_id, coalesce(CASE WHEN label = 1 THEN 0.7::DOUBLE END, CASE WHEN label = 2 THEN 0.25::DOUBLE END, 0.4::DOUBLE) AS threshold FROM embeddings")
 def _(t, spark):
     user, model = F.when(F.col("label") == 1, 0.7), F.when(F.col("label") == 2, 0.25)

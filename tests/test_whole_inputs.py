@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 from loomline.catalog import QUERIES
 from loomline.operators import aggregates as A
 from loomline.operators import editing as E
+from loomline.operators import vectors as V
 
 
 def stored(folder, name, columns):
@@ -113,3 +114,26 @@ def test_tree_costs_have_no_row_limit(spark, tmp_path):
     rows = [(i, i // 2, (i - 1) % 7) for i in range(1, n + 1)]
     assert got == {i: plain_tree(rows, i) for i, *_ in rows}
     assert some == {i: got[i] for i in got if i % 100 == 1}
+
+
+def test_no_number_of_queries_is_refused(spark, tmp_path):
+    n, rng = 10_050, random.Random(2)
+    vectors = [[float(rng.randint(-3, 3)) for _ in range(3)] for _ in range(60)]
+    points = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id long, vector array<double>")
+    asked = spark.createDataFrame([(q, vectors[q % 60]) for q in range(n)], "query_id long, query array<double>")
+    got = {}
+    for r in V.search_many(points, asked, 3, 0.1).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    for q in range(60):
+        scores = {i: sum(x * y for x, y in zip(vectors[q], v, strict=True)) / size(v) / size(vectors[q]) for i, v in enumerate(vectors) if size(v) and size(vectors[q])}
+        top = sorted((-round(s, 9), i) for i, s in scores.items() if s >= 0.1)[:3]
+        assert [round(scores[i], 9) for _, i in sorted(got.get(q, []))] == [-s for s, _ in top]
+        assert all(got.get(k) == got.get(q) for k in range(q, n, 60))
+
+
+def test_all_logs_are_merged(spark, tmp_path):
+    rows = [(c, t, f"{c}:{t}") for c in range(7) for t in range(1 + c % 4)]
+    folder = stored(tmp_path, "conversations", {"conv_id": [r[0] for r in rows], "turn": [r[1] for r in rows], "role": ["user"] * len(rows), "text": [r[2] for r in rows]})
+    want = {(c // 2, t): (c, x) for c, t, x in rows if c % 2 == 0} | {(c // 2, t + 1): (c, x) for c, t, x in rows if c % 2}
+    assert {(r.log, r.ts): (r.conv_id, r.text) for r in QUERIES["xs04_all_merged_logs"](spark, folder).collect()} == want
