@@ -38,10 +38,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """A Parquet table in the shared folder, for wide rows: read back, only the columns that are needed are loaded."""
+    """A Parquet table in the shared folder, for wide rows: read back, only the columns that are needed are loaded. It goes with the application at the latest."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomline-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

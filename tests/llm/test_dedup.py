@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.llm import exact_dedup, near_dedup, substring_dedup
 from loomline.llm.catalog import ORACLES, QUERIES
@@ -107,11 +108,11 @@ def test_components(spark):
     assert got == {k: min(v) for k, v in up.items()}
 
 
-@pytest.mark.parametrize("length", [2, 5, 12])
-def test_passages_against_brute_force(spark, length):
+@pytest.mark.parametrize(("length", "class_runs"), [(2, 4096), (5, 4096), (5, 2), (12, 4096), (12, 1)])
+def test_passages_against_brute_force(spark, length, class_runs):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice("abé") for _ in range(rng.randrange(70)))) for i in range(50)] + [(60, "ab" * 40), (61, "a" * 60), (62, None), (63, "")]
-    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS), length=length).collect()
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS), length=length, class_runs=class_runs).collect()
     made = [(r.doc_id, r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got]
     assert sorted(made) == sorted(brute.repeated(rows, length))
 
@@ -130,7 +131,19 @@ def test_passages_long_texts_in_pieces(spark, monkeypatch):
     assert sorted((r.doc_id, sum(s["end"] - s["start"] for s in r.spans)) for r in got) == sorted((i, n) for i, _, n, *_ in brute.repeated(rows, 20))
 
 
-def test_passages_keep_first_matches_previous_factors(spark):
+def test_factors_are_previous_factors_that_reach_the_length():
+    rng = random.Random(9)
+    text = "".join(rng.choice("ab") for _ in range(200)).encode()
+    for length in (2, 5, 9):
+        places = len(text) - length + 1
+        later, source = substring_dedup.factors([(text, places)], length)
+        assert later == (substring_dedup.lpf(text)[:places] >= length).tolist()
+        strings = [text[i : i + length] for i in range(places)]
+        assert [x or y for x, y in zip(later, source, strict=True)] == [strings.count(s) > 1 for s in strings]
+
+
+@pytest.mark.parametrize("class_runs", [4096, 1])
+def test_passages_keep_first_matches_previous_factors(spark, class_runs):
     rng = random.Random(8)
     text = "".join(rng.choice("ab") for _ in range(120))
     length = 9
@@ -138,13 +151,19 @@ def test_passages_keep_first_matches_previous_factors(spark):
     want = bytearray(len(text))
     for k in np.flatnonzero(lpf >= length):
         want[k : k + length] = b"\1" * length
-    got = substring_dedup.substring_dedup(spark.createDataFrame([(1, text)], DOCS), length=length, keep_first=True).first()
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(1, text)], DOCS), length=length, keep_first=True, class_runs=class_runs).first()
     mask = bytearray(len(text))
     for s in got.spans:
         mask[s["start"] : s["end"]] = b"\1" * (s["end"] - s["start"])
     assert mask == want and sum(want)
 
 
+def test_passages_of_many_repeated_rows(spark):
+    rows = [(None, "p" * 5 + "common passage of all" + "s" * 7)] * 3000 + [(7, "common passage of all"), (8, None)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS), length=12).groupBy("doc_id", "n_bytes", F.length("kept").alias("left")).count().collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.left, r["count"]) for r in got) == [(0, 33, 0, 3000), (7, 21, 0, 1), (8, 0, 0, 1)]
+
+
 def test_passages_repeats_and_names(spark):
     rows = [(None, "q" * 10), (None, "q" * 10), (4, "r" * 3)]
     df = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "text", "'x' AS key", "1 AS start")
