@@ -1,14 +1,17 @@
 """Best-fit packing by a grouping genetic algorithm on islands with elite migration.
 
 Documents become token ids and an end id; one longer than a sequence is cut into whole sequences and, before them, the rest.
-Pieces are dealt by hash into shards of a few thousand. A solution is a list of bins. Crossover injects whole well-filled bins of
-one parent into the other, removes the bins that hold an injected piece a second time, and best-fits the displaced pieces;
-mutation empties the worst-filled bins in the same way. Every shard is evolved on several islands, each a task of its own with its own
-seed; between rounds an island's elite moves to the next one on the ring, by a shuffle. A shard keeps its islands' best solution, and
-badly filled bins of all shards meet in a last round.
-
-Scale: texts are tokenized where they are read; what is shuffled after that is a row of numbers per piece. Shards are of bounded size
-whatever the input, and all shards' islands run in parallel. Rounds are cut by checkpoints.
+Pieces are dealt by hash into shards of a few thousand. A solution is a list of bins. Parents are won in tournaments. Crossover injects whole
+well-filled bins of one parent into the other, removes the bins that hold an injected piece a second time, and best-fits the displaced
+pieces; mutation empties the worst-filled bins and some others in the same way. Before displaced pieces are fitted, they change places with
+smaller ones, or pairs of them, where that fills a bin better. A search ends at the lower bound, or once PATIENCE children in a row
+bring no better solution. Every shard is evolved on several islands, each a task of its own with its own seed; between rounds an
+island's elite moves to the next one on the ring, by a shuffle. A shard keeps its islands' best solution, and badly filled bins of all
+shards meet in a last round, evolved in the same way.
+
+Scale: texts are tokenized where they are read; what is shuffled after that is a row of numbers per piece. Pieces are dealt by the number of
+their row, so shards are of bounded size whatever the input and however often a row repeats, and all shards' islands run in parallel.
+Rounds are cut by checkpoints.
 
 Ids are those of the library `tokenizers` for the given file. Where that file is a plain byte-level BPE whose ranks are its ids, they are
 made by `tiktoken` from the same vocabulary, three times as fast; a test holds both against each other.
@@ -21,12 +24,13 @@ from __future__ import annotations
 import json
 import random
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +41,10 @@ END_ID = 2
 SHARD_PIECES = 4096
 ISLANDS = 3
 ROUNDS = 2
-POPULATION = 4
-GENERATIONS = 6
+POPULATION = 8
+PATIENCE = 40
+#: Displaced pieces of which pairs are tried.
+PAIRED = 48
 WELL_FILLED = 0.98
 BADLY_FILLED = 0.9
 
@@ -90,13 +96,14 @@ def _tiktoken_ids(ranks: dict[bytes, int]) -> Callable[[str], np.ndarray]:
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Of rows doc_id, text: a row per piece with piece, start, length, ids_crc32 and, if asked for, its ids as little-endian bytes."""
+    """Of rows doc_id, text: a row per piece with piece, start, length, ids_crc32, a number of its own and, if asked for, its ids as little-endian bytes."""
     if sequence < 1:
         raise ValueError("sequence must be positive")
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "row", *(["ids"] if with_ids else [])]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows, which = [], []
             for i, text in enumerate(batch.column(1)):
@@ -105,26 +112,30 @@ def pieces_of(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id:
                 at = 0
                 for n, to in enumerate(range(first, len(ids) + 1, sequence)):
                     own = ids[at:to].tobytes()
-                    rows.append((n, at, to - at, zlib.crc32(own), *([own] if with_ids else [])))
+                    rows.append((n, at, to - at, zlib.crc32(own), row, *([own] if with_ids else [])))
                     which.append(i)
-                    at = to
+                    at, row = to, row + 1
             columns = [*zip(*rows, strict=True)] or [()] * (len(names) - 1)
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], names=names)
 
-    return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + ", ids binary" * with_ids)
 
 
 Bins = list[list[int]]
 
 
+def fill_of(x: list[int], lengths: list[int]) -> int:
+    return sum(map(lengths.__getitem__, x))
+
+
 def best_fit(bins: Bins, loose: Iterable[int], lengths: list[int], capacity: int) -> Bins:
     """Puts each loose piece, longest first, into the fullest bin that has room for it, or into a new one."""
     loose = sorted(loose, key=lambda i: -lengths[i])
     if not loose:
         return bins
     least = lengths[loose[-1]]
-    room = sorted((r, k) for k, b in enumerate(bins) if (r := capacity - sum(map(lengths.__getitem__, b))) >= least)
+    room = sorted((r, k) for k, b in enumerate(bins) if (r := capacity - fill_of(b, lengths)) >= least)
     for i in loose:
         at = bisect_left(room, (lengths[i], -1))
         if at == len(room):
@@ -140,13 +151,52 @@ def best_fit(bins: Bins, loose: Iterable[int], lengths: list[int], capacity: int
 
 def fitness(bins: Bins, lengths: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins are better; of as many, those with full and empty ones rather than all half full."""
-    return -len(bins), sum((sum(map(lengths.__getitem__, b)) / capacity) ** 2 for b in bins)
-
-
-def crossover(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
+    return -len(bins), sum((fill_of(b, lengths) / capacity) ** 2 for b in bins)
+
+
+def exchanged(bins: Bins, loose: list[int], lengths: list[int], capacity: int, rng: random.Random) -> list[int]:
+    """Fills bins better by changing one or two of their pieces for one or two loose ones; returns what is loose after that."""
+    loose = sorted(loose, key=lengths.__getitem__)
+    order = list(range(len(bins)))
+    rng.shuffle(order)
+    sizes = [lengths[i] for i in loose]
+    pairs = _pairs(sizes)
+    for k in order:
+        own = bins[k]
+        slack = capacity - fill_of(own, lengths)
+        if not slack or not loose:
+            continue
+        out = [(lengths[x], (x,)) for x in own] + [(lengths[x] + lengths[y], (x, y)) for n, x in enumerate(own) for y in own[:n]]
+        best, what = 0, None
+        for size, gone in out:
+            at = bisect_right(sizes, size + slack) - 1
+            if at >= 0 and sizes[at] - size > best:
+                best, what = sizes[at] - size, (gone, (at,))
+            at = bisect_right(pairs, (size + slack, len(sizes), 0)) - 1
+            if at >= 0 and pairs[at][0] - size > best:
+                best, what = pairs[at][0] - size, (gone, pairs[at][1:])
+            if best == slack:
+                break
+        if what:
+            gone, came = what
+            bins[k] = [x for x in own if x not in gone] + [loose[i] for i in came]
+            loose = sorted([x for i, x in enumerate(loose) if i not in came] + list(gone), key=lengths.__getitem__)
+            sizes = [lengths[i] for i in loose]
+            pairs = _pairs(sizes)
+    return loose
+
+
+def _pairs(sizes: list[int]) -> list[tuple[int, int, int]]:
+    """Sums of two sizes with their places, ascending; none if there are too many sizes."""
+    return sorted((sizes[i] + sizes[j], i, j) for i in range(len(sizes)) for j in range(i)) if len(sizes) <= PAIRED else []
+
+
+def crossover(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
+    """The bins of `a` with some well-filled ones of `b` in place of those they clash with, and the pieces that are displaced."""
     whole = {tuple(sorted(x)) for x in a}
-    well = [x for x in b if sum(map(lengths.__getitem__, x)) >= WELL_FILLED * capacity and tuple(sorted(x)) not in whole]
-    injected = [list(x) for x in rng.sample(well, -(-len(well) // 4))]
+    well = [x for x in b if fill_of(x, lengths) >= WELL_FILLED * capacity and tuple(sorted(x)) not in whole]
+    # Few enough that what they displace can be placed well.
+    injected = [list(x) for x in rng.sample(well, min(len(well), rng.randint(1, PAIRED // 8)))]
     taken = {i for x in injected for i in x}
     kept, displaced = [], []
     for x in a:
@@ -154,36 +204,55 @@ def crossover(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.R
             kept.append(list(x))
         else:
             displaced += [i for i in x if i not in taken]
-    return best_fit(kept + injected, displaced, lengths, capacity)
+    return kept + injected, displaced
+
+
+def child_of(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
+    """Crossover, then mutation: the worst-filled bins and some others are emptied; and all displaced pieces are placed."""
+    bins, loose = crossover(a, b, lengths, capacity, rng)
+    order = sorted(range(len(bins)), key=lambda k: fill_of(bins[k], lengths))
+    emptied = {*order[: rng.randint(1, 3)], *rng.sample(order, min(len(order), rng.randint(1, 4)))}
+    loose += [i for k in emptied for i in bins[k]]
+    bins = [x for k, x in enumerate(bins) if k not in emptied]
+    return best_fit(bins, exchanged(bins, loose, lengths, capacity, rng), lengths, capacity)
 
 
-def mutated(bins: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
-    order = sorted(range(len(bins)), key=lambda k: sum(map(lengths.__getitem__, bins[k])))
-    emptied = {*order[:3], *rng.sample(range(len(bins)), min(len(bins), 3))}
-    return best_fit([list(b) for k, b in enumerate(bins) if k not in emptied], [i for k in emptied for i in bins[k]], lengths, capacity)
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """No packing has fewer bins: all lengths in full bins, or as many as there are pieces of more than half."""
+    return max(-(-sum(lengths) // capacity), sum(2 * n > capacity for n in lengths))
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, population: list[Bins] = (), generations: int = GENERATIONS, size: int = POPULATION) -> list[Bins]:
-    """The population after some generations, best first. Begins with best-fit decreasing and variants of it that hold back some pieces."""
+def evolve(lengths: list[int], capacity: int, seed: int, population: Iterable[Bins] = (), patience: int = PATIENCE, size: int = POPULATION) -> list[Bins]:
+    """The population when its search ends, best first. Begins with best-fit decreasing and variants of it that hold back some pieces."""
     rng = random.Random(seed)
-    score = lambda x: fitness(x, lengths, capacity)
-    people = [*population]
     everyone = range(len(lengths))
-    while len(people) < size:
-        late = set(rng.sample(everyone, len(lengths) // 8)) if people else set()
-        people.append(best_fit(best_fit([], [i for i in everyone if i not in late], lengths, capacity), late, lengths, capacity))
-    people.sort(key=score, reverse=True)
+    bound = least_bins(lengths, capacity)
+    people = [(fitness(x, lengths, capacity), n, x) for n, x in enumerate(population)]
+    made = len(people)
+
+    def born(x: Bins) -> None:
+        nonlocal made
+        people.append((fitness(x, lengths, capacity), -made, x))
+        people.sort(reverse=True)
+        made += 1
+
+    if not people:
+        born(best_fit([], everyone, lengths, capacity))
+    people.sort(reverse=True)
+    while len(people) < size and len(people[0][2]) > bound:
+        late = set(rng.sample(everyone, len(lengths) // 8))
+        born(best_fit(best_fit([], [i for i in everyone if i not in late], lengths, capacity), late, lengths, capacity))
     del people[size:]
-    bound = -(-sum(lengths) // capacity)
-    for _ in range(generations if len(lengths) > 1 else 0):
-        if len(people[0]) <= bound:
-            break
-        a, b = rng.sample(people, 2) if len(people) > 1 else people * 2
-        child = mutated(crossover(a, b, lengths, capacity, rng), lengths, capacity, rng)
-        if score(child) > score(people[-1]):
-            people[-1] = child
-            people.sort(key=score, reverse=True)
-    return people
+    stale = 0
+    while stale < patience and len(people[0][2]) > bound:
+        best = people[0][0]
+        a, b = (max(rng.sample(people, min(2, len(people)))) for _ in range(2))
+        child = child_of(a[2], b[2], lengths, capacity, rng)
+        if all(fitness(child, lengths, capacity) != p[0] for p in people):
+            born(child)
+            del people[size:]
+        stale = 0 if people[0][0] > best else stale + 1
+    return [x for _, _, x in people]
 
 
 def _numbered(bins: Bins, n: int) -> bytes:
@@ -199,16 +268,16 @@ def _as_bins(numbers: bytes) -> Bins:
     return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1)] if len(numbers) else []
 
 
-_ORDER = [(c, "ascending") for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+_ORDER = [("row", "ascending")]
 
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, rounds: int = ROUNDS, seed: int = 7) -> DataFrame:
-    """The pieces with sequence_id and offset. `pieces` should be a stored table: it is read several times."""
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    """The pieces with sequence_id and offset. `pieces` must be a stored table, as it is read several times; row tells all of them apart."""
+    columns, own = ["doc_id", "piece", "start", "length", "ids_crc32"], ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
     part = pieces.filter(F.col("length") < sequence)
     shards = max(1, -(-part.count() // shard_pieces))
-    shard = F.pmod(F.xxhash64(*columns), F.lit(shards)).cast("long")
-    items = part.select(shard.alias("shard"), *columns)
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long")
+    items = part.select(shard.alias("shard"), *own)
 
     def bred(shard_no: int, island: int, turn: int, table: pa.Table, found: list[bytes]) -> pa.Table:
         lengths = table.sort_by(_ORDER).column("length").to_pylist()
@@ -229,7 +298,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, shard_pieces: int = SHARD_
         return breed
 
     people_schema = "shard long, island int, place int, bins long, squares double, solution binary"
-    spread = items.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+    spread = items.select("shard", "row", "length").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     people = checkpointed(spread.groupBy("shard", "island").applyInArrow(first, people_schema))
     for turn in range(1, rounds):
         elite = people.filter("place = 0").withColumn("island", (F.col("island") + 1) % islands)
@@ -239,11 +308,11 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, shard_pieces: int = SHARD_
     best = people.groupBy("shard").agg(F.min_by("solution", F.struct("bins", -F.col("squares"), "island", "place")).alias("solution"))
 
     def settle(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
-        table = table.sort_by(_ORDER).select([*columns])
+        table = table.sort_by(_ORDER).select(own)
         numbers = np.frombuffer(found.column("solution")[0].as_py(), np.int32)
         return _placed(table, numbers, key[0].as_py())
 
-    out_schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
+    out_schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long, fill long"
     placed = checkpointed(items.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(settle, out_schema))
     # Whole bins with much room, dealt anew by their sequence: repacked where that takes fewer.
     poor = F.col("fill") < BADLY_FILLED * sequence
@@ -252,17 +321,17 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, shard_pieces: int = SHARD_
 
     def again(key: tuple, table: pa.Table) -> pa.Table:
         old = len(pc.unique(table.column("sequence_id")))
-        sorted_ = table.sort_by(_ORDER).select([*columns, "sequence_id", "offset", "fill"])
-        bins = evolve(sorted_.column("length").to_pylist(), sequence, hash((seed, key[0].as_py(), -1)), generations=0, size=1)[0]
+        sorted_ = table.sort_by(_ORDER).select([*own, "sequence_id", "offset", "fill"])
+        bins = evolve(sorted_.column("length").to_pylist(), sequence, hash((seed, key[0].as_py(), -1)))[0]
         if len(bins) >= old:
             return sorted_
-        return _placed(sorted_.select(columns), np.frombuffer(_numbered(bins, len(sorted_)), np.int32), shards + key[0].as_py())
+        return _placed(sorted_.select(own), np.frombuffer(_numbered(bins, len(sorted_)), np.int32), shards + key[0].as_py())
 
     fixed = bad.groupBy(F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).alias("group")).applyInArrow(again, out_schema)
     # Sequences of one whole piece are numbered below zero.
     per = F.monotonically_increasing_id()
     full = checkpointed(pieces.filter(F.col("length") == sequence).select(*columns, (-per - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-    return placed.filter(~poor).drop("fill").unionByName(fixed.drop("fill")).unionByName(full)
+    return placed.filter(~poor).drop("fill", "row").unionByName(fixed.drop("fill", "row")).unionByName(full)
 
 
 def _placed(table: pa.Table, numbers: np.ndarray, shard: int) -> pa.Table:

@@ -284,7 +284,7 @@ def test_genetic_operators_keep_all_pieces():
     rng = random.Random(3)
     lengths = [rng.randrange(1, 100) for _ in range(200)]
     people = packing.evolve(lengths, 128, 1)
-    child = packing.mutated(packing.crossover(people[0], people[-1], lengths, 128, rng), lengths, 128, rng)
+    child = packing.child_of(people[0], people[-1], lengths, 128, rng)
     for bins in (*people, child, packing._as_bins(packing._numbered(child, 200))):
         assert sorted(i for b in bins for i in b) == list(range(200)) and all(sum(lengths[i] for i in b) <= 128 for b in bins)
     assert packing.fitness(people[0], lengths, 128) >= packing.fitness(people[-1], lengths, 128)
