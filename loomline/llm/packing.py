@@ -5,7 +5,7 @@ Pieces are dealt by hash into shards of a few thousand. A solution is a list of
 well-filled bins of one parent into the other, removes the bins that hold an injected piece a second time, and best-fits the displaced
 pieces; mutation empties the worst-filled bins and some others in the same way. Before displaced pieces are fitted, they change places with
 smaller ones, or pairs of them, where that fills a bin better. A search ends at the lower bound, or once PATIENCE children in a row
-bring no better solution. Every shard is evolved on several islands, each a task of its own with its own seed; between rounds an
+bring no gain. Every shard is evolved on several islands, each a task of its own with its own seed; between rounds an
 island's elite moves to the next one on the ring, by a shuffle. A shard keeps its islands' best solution, and badly filled bins of all
 shards meet in a last round, evolved in the same way.
 
@@ -26,6 +26,7 @@ import random
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterable, Iterator
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,9 @@ SHARD_PIECES = 4096
 ISLANDS = 3
 ROUNDS = 2
 POPULATION = 8
-PATIENCE = 40
-#: Displaced pieces of which pairs are tried.
-PAIRED = 48
+PATIENCE = 16
+#: Displaced pieces of which pairs are tried, and bins that a child's displaced pieces are held against.
+PAIRED, TRIED = 48, 256
 WELL_FILLED = 0.98
 BADLY_FILLED = 0.9
 
@@ -125,47 +126,48 @@ def pieces_of(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id:
 Bins = list[list[int]]
 
 
-def fill_of(x: list[int], lengths: list[int]) -> int:
-    return sum(map(lengths.__getitem__, x))
+def fills_of(bins: Bins, lengths: list[int]) -> list[int]:
+    return [sum(map(lengths.__getitem__, b)) for b in bins]
 
 
-def best_fit(bins: Bins, loose: Iterable[int], lengths: list[int], capacity: int) -> Bins:
-    """Puts each loose piece, longest first, into the fullest bin that has room for it, or into a new one."""
+def best_fit(bins: Bins, loose: Iterable[int], lengths: list[int], capacity: int, fills: list[int] | None = None) -> Bins:
+    """Puts each loose piece, longest first, into the fullest bin that has room for it, or into a new one. Keeps `fills`, if given."""
+    fills = fills_of(bins, lengths) if fills is None else fills
     loose = sorted(loose, key=lambda i: -lengths[i])
     if not loose:
         return bins
     least = lengths[loose[-1]]
-    room = sorted((r, k) for k, b in enumerate(bins) if (r := capacity - fill_of(b, lengths)) >= least)
+    room = sorted((capacity - f, k) for k, f in enumerate(fills) if capacity - f >= least)
     for i in loose:
         at = bisect_left(room, (lengths[i], -1))
         if at == len(room):
             r, k = capacity, len(bins)
             bins.append([])
+            fills.append(0)
         else:
             r, k = room.pop(at)
         bins[k].append(i)
+        fills[k] += lengths[i]
         if r - lengths[i] >= least:
             insort(room, (r - lengths[i], k))
     return bins
 
 
-def fitness(bins: Bins, lengths: list[int], capacity: int) -> tuple[int, float]:
+def fitness(bins: Bins, lengths: list[int], capacity: int, fills: list[int] | None = None) -> tuple[int, float]:
     """Fewer bins are better; of as many, those with full and empty ones rather than all half full."""
-    return -len(bins), sum((fill_of(b, lengths) / capacity) ** 2 for b in bins)
+    return -len(bins), sum((f / capacity) ** 2 for f in (fills_of(bins, lengths) if fills is None else fills))
 
 
-def exchanged(bins: Bins, loose: list[int], lengths: list[int], capacity: int, rng: random.Random) -> list[int]:
+def exchanged(bins: Bins, fills: list[int], loose: list[int], lengths: list[int], capacity: int, rng: random.Random) -> list[int]:
     """Fills bins better by changing one or two of their pieces for one or two loose ones; returns what is loose after that."""
     loose = sorted(loose, key=lengths.__getitem__)
-    order = list(range(len(bins)))
-    rng.shuffle(order)
+    order = [k for k, f in enumerate(fills) if f < capacity]
     sizes = [lengths[i] for i in loose]
     pairs = _pairs(sizes)
-    for k in order:
-        own = bins[k]
-        slack = capacity - fill_of(own, lengths)
-        if not slack or not loose:
-            continue
+    for k in rng.sample(order, min(len(order), TRIED)):
+        if not loose:
+            break
+        own, slack = bins[k], capacity - fills[k]
         out = [(lengths[x], (x,)) for x in own] + [(lengths[x] + lengths[y], (x, y)) for n, x in enumerate(own) for y in own[:n]]
         best, what = 0, None
         for size, gone in out:
@@ -180,6 +182,7 @@ def exchanged(bins: Bins, loose: list[int], lengths: list[int], capacity: int, r
         if what:
             gone, came = what
             bins[k] = [x for x in own if x not in gone] + [loose[i] for i in came]
+            fills[k] += best
             loose = sorted([x for i, x in enumerate(loose) if i not in came] + list(gone), key=lengths.__getitem__)
             sizes = [lengths[i] for i in loose]
             pairs = _pairs(sizes)
@@ -191,30 +194,28 @@ def _pairs(sizes: list[int]) -> list[tuple[int, int, int]]:
     return sorted((sizes[i] + sizes[j], i, j) for i in range(len(sizes)) for j in range(i)) if len(sizes) <= PAIRED else []
 
 
-def crossover(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
-    """The bins of `a` with some well-filled ones of `b` in place of those they clash with, and the pieces that are displaced."""
-    whole = {tuple(sorted(x)) for x in a}
-    well = [x for x in b if fill_of(x, lengths) >= WELL_FILLED * capacity and tuple(sorted(x)) not in whole]
+def child_of(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
+    """A child of two solutions and its bins' fills.
+
+    Crossover: some well-filled bins of `b` enter `a` whole, those they clash with go, and what else these held is displaced. Mutation: the
+    worst-filled bins and some others are emptied. Then all displaced pieces are placed.
+    """
+    at = [0] * len(lengths)
+    for k, x in enumerate(a):
+        for i in x:
+            at[i] = k
+    fills, other = fills_of(a, lengths), fills_of(b, lengths)
     # Few enough that what they displace can be placed well.
-    injected = [list(x) for x in rng.sample(well, min(len(well), rng.randint(1, PAIRED // 8)))]
+    some = rng.sample(range(len(b)), min(len(b), 4 * PAIRED))
+    injected = [b[k] for k in some if other[k] >= WELL_FILLED * capacity and len({at[i] for i in b[k]}) + abs(len(a[at[b[k][0]]]) - len(b[k])) > 1][: rng.randint(1, PAIRED // 8)]
     taken = {i for x in injected for i in x}
-    kept, displaced = [], []
-    for x in a:
-        if taken.isdisjoint(x):
-            kept.append(list(x))
-        else:
-            displaced += [i for i in x if i not in taken]
-    return kept + injected, displaced
-
-
-def child_of(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
-    """Crossover, then mutation: the worst-filled bins and some others are emptied; and all displaced pieces are placed."""
-    bins, loose = crossover(a, b, lengths, capacity, rng)
-    order = sorted(range(len(bins)), key=lambda k: fill_of(bins[k], lengths))
-    emptied = {*order[: rng.randint(1, 3)], *rng.sample(order, min(len(order), rng.randint(1, 4)))}
-    loose += [i for k in emptied for i in bins[k]]
-    bins = [x for k, x in enumerate(bins) if k not in emptied]
-    return best_fit(bins, exchanged(bins, loose, lengths, capacity, rng), lengths, capacity)
+    gone = {at[i] for i in taken}
+    worst = nsmallest(rng.randint(1, 3), (k for k in range(len(a)) if k not in gone), key=fills.__getitem__)
+    gone |= {*worst, *rng.sample(range(len(a)), min(len(a), rng.randint(1, 4)))}
+    loose = [i for k in gone for i in a[k] if i not in taken]
+    bins = [[*x] for k, x in enumerate(a) if k not in gone] + [[*x] for x in injected]
+    fills = [f for k, f in enumerate(fills) if k not in gone] + [sum(map(lengths.__getitem__, x)) for x in injected]
+    return best_fit(bins, exchanged(bins, fills, loose, lengths, capacity, rng), lengths, capacity, fills), fills
 
 
 def least_bins(lengths: list[int], capacity: int) -> int:
@@ -227,32 +228,34 @@ def evolve(lengths: list[int], capacity: int, seed: int, population: Iterable[Bi
     rng = random.Random(seed)
     everyone = range(len(lengths))
     bound = least_bins(lengths, capacity)
-    people = [(fitness(x, lengths, capacity), n, x) for n, x in enumerate(population)]
-    made = len(people)
+    people: list[tuple] = []
+    made = 0
 
-    def born(x: Bins) -> None:
+    def born(bins: Bins, fills: list[int]) -> None:
         nonlocal made
-        people.append((fitness(x, lengths, capacity), -made, x))
-        people.sort(reverse=True)
+        people.append((fitness(bins, lengths, capacity, fills), -made, bins, min(fills, default=0)))
+        people.sort(key=lambda p: p[:2], reverse=True)
         made += 1
 
+    for bins in population:
+        born(bins, fills_of(bins, lengths))
     if not people:
-        born(best_fit([], everyone, lengths, capacity))
-    people.sort(reverse=True)
+        born(bins := best_fit([], everyone, lengths, capacity), fills_of(bins, lengths))
     while len(people) < size and len(people[0][2]) > bound:
         late = set(rng.sample(everyone, len(lengths) // 8))
-        born(best_fit(best_fit([], [i for i in everyone if i not in late], lengths, capacity), late, lengths, capacity))
+        born(bins := best_fit(best_fit([], [i for i in everyone if i not in late], lengths, capacity), late, lengths, capacity), fills_of(bins, lengths))
     del people[size:]
-    stale = 0
+    # A gain is a bin less, or a good part of the emptiest one emptied.
+    state = lambda: (len(people[0][2]), people[0][3] * 16 // capacity)
+    best, stale = state(), 0
     while stale < patience and len(people[0][2]) > bound:
-        best = people[0][0]
-        a, b = (max(rng.sample(people, min(2, len(people)))) for _ in range(2))
-        child = child_of(a[2], b[2], lengths, capacity, rng)
-        if all(fitness(child, lengths, capacity) != p[0] for p in people):
-            born(child)
+        a, b = (max(rng.sample(people, min(2, len(people))), key=lambda p: p[:2]) for _ in range(2))
+        bins, fills = child_of(a[2], b[2], lengths, capacity, rng)
+        if all(fitness(bins, lengths, capacity, fills) != p[0] for p in people):
+            born(bins, fills)
             del people[size:]
-        stale = 0 if people[0][0] > best else stale + 1
-    return [x for _, _, x in people]
+        best, stale = (state(), 0) if state() < best else (best, stale + 1)
+    return [p[2] for p in people]
 
 
 def _numbered(bins: Bins, n: int) -> bytes:
