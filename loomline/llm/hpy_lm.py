@@ -1,492 +1,431 @@
 """LM scoring with a hierarchical Pitman-Yor model whose Chinese-restaurant seating is sampled by Gibbs.
 
-A word's context is the last frequent word before it in its text and whether that word stands right before it. Restaurants:
+The word before a word chooses its restaurant; a table of a restaurant is a customer of the root, so restaurants share what they learn:
 
-    (frequent word, next to it or not)  ->  frequent word  ->  all words  ->  uniform over the known words and one unknown
+    restaurant of the word before  ->  all words  ->  uniform over the known words and one unknown
 
-A table of a restaurant is a customer of its parent, so contexts share what they learn through their parents. Gibbs sweeps take customers
-from their tables and seat them anew; after burn-in, the predictive probabilities of several samples are averaged.
+A text's first word has the restaurant of text ends. There is a restaurant for every CONTEXT_TOKENS tokens, so their number grows with the
+corpus (up to MOST_CONTEXTS); words before are dealt to restaurants by hash, so common ones have their own in effect, and rare ones that
+meet in one share it. A seating is kept by its counts, customers and tables of each dish (a restaurant and a word): given all others, the
+number of tables of a dish is drawn at once from its exact conditional distribution, with generalised Stirling numbers of the discount
+counting the seatings. That re-seats all customers of the dish; every dish is drawn in every sweep. Dishes of more than EXACT customers are
+drawn in groups that grow by an eighth, as their Stirling numbers are too many. Predictive probabilities of several samples are averaged.
 
-The number of contexts is bounded (`frequent`), the number of words is not. So words are dealt by hash into buckets, and a bucket holds all
-customers of its words, in all restaurants: it samples alone, as a restaurant's other tables enter its probabilities by their number only.
-That number is counted over all buckets before sampling, as it is with one table per dish, and grows with the share of the bucket's other
-customers who open tables of their own. The counts of frequent words are so large that each of their dishes is drawn anew as a whole.
+Words are dealt by hash into buckets, each of which holds all restaurants' customers for its words, and so their dishes at the root. What a
+bucket needs of others is the number of tables in each restaurant and at the root: those are exchanged, first with one table per dish, then
+as sampled, by sums over a tree of buckets, and sent to all. Words that are too common for one bucket (`hot_words`) are dealt by word and
+restaurant; their customers at the root are exchanged in the same way.
 
-Scale: texts are read three times (frequent words; customers; scores) and never shuffled. Of a word that isn't frequent, an occurrence is
-shuffled as four bytes in packed arrays, and answers come back summed per text. Frequent words are counted on the map side: a word that makes
-up a third of the corpus is a few numbers per task, and their probabilities, a table bounded by `frequent` squared, are broadcast.
+Scale: texts are read twice (hot words; pairs) and never shuffled. What a chunk of texts sends to a bucket is its distinct pairs of word and
+restaurant with their training counts, and back come their log probabilities; the chunk's own sequence of word numbers turns those into
+sums per text. Rows between chunks and buckets hold packed arrays. Sums per restaurant on the driver are bounded by MOST_CONTEXTS, those per
+hot word by 2 / LEAST_SHARE.
 
 Defined results: null text counts as empty, whose only token is its end; a null doc_id is trained on; rows that repeat are trained on and
-scored each; without training rows every token is unknown.
+scored each; without training rows every token is unknown. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import blank_null, documents, written
-from loomline.llm.words import in_slices, word_codes, word_hashes
+from loomline.llm.shared import blank_null, documents, forget, kept_in_worker, sweep, written
+from loomline.llm.words import mixed, word_codes, word_hashes
 
-FREQUENT = 512
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, CHUNK_ROWS = 12 << 20, 1 << 13
 BUCKET_TOKENS = 1_000_000
-#: Discount and strength of the root, the middle and the leaf restaurants.
-DISCOUNT, STRENGTH = (0.75, 0.8, 0.8), (1.0, 10.0, 10.0)
-BURN_IN, SAMPLES, VISITS = 2, 3, 8
-#: The end of a text, as a frequent word.
+#: Tokens for each restaurant, and the most restaurants there are.
+CONTEXT_TOKENS, MOST_CONTEXTS = 256, 1 << 22
+#: A word is hot if it makes up so many tokens, and no less than this share.
+HOT_TOKENS, LEAST_SHARE = 250_000, 2.0**-19
+#: Discount and strength of the root and of the restaurants.
+DISCOUNT, STRENGTH = (0.75, 0.8), (1.0, 4.0)
+#: Sweeps before tables are exchanged; before the first sample; and samples.
+SETTLED, BURN_IN, SAMPLES = 4, 2, 3
+#: Customers of a dish up to which its tables are drawn from Stirling numbers.
+EXACT = 64
+#: The end of a text, as a word.
 END = np.uint64(0x9AE16A3B2F90404F)
+_BUCKET = np.uint64(0xC2B2AE3D27D4EB4F)
+_BLOCK = 1 << 16
 
 
 def is_train(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 10 != 0
 
 
-class Tokens:
-    """A slice's tokens: words, then an end each. word: hash; place: index of a frequent word, or -1; context; doc."""
-
-    def __init__(self, texts: pa.Array, frequent: np.ndarray | None = None):
-        codes, starts, words = word_codes(texts)
-        hashes = word_hashes(words)
-        n = len(starts) - 1
-        self.sizes = np.diff(starts) + 1
-        ends = np.cumsum(self.sizes) - 1
-        self.word = np.empty(len(codes) + n, np.uint64)
-        inner = np.ones(len(self.word), bool)
-        inner[ends] = False
-        self.word[inner] = hashes[codes] if len(codes) else np.zeros(0, np.uint64)
-        self.word[ends] = END
-        self.doc = np.repeat(np.arange(n), self.sizes)
-        if frequent is not None:
-            spot = np.minimum(np.searchsorted(frequent, self.word), len(frequent) - 1)
-            self.place = np.where(frequent[spot] == self.word, spot, -1)
-            at = np.arange(len(self.word))
-            last = np.maximum.accumulate(np.where(self.place >= 0, at, -1))
-            before = np.concatenate([[-1], last[:-1]])
-            begin = (ends - self.sizes + 1)[self.doc]
-            inside = before >= begin
-            head = np.where(inside, self.place[np.maximum(before, 0)], len(frequent))
-            self.context = head * 2 + np.where(inside, before == at - 1, at == begin)
-
-
-class Seating:
-    """The tables of many dishes: one restaurant and word each. A dish has room for `room` customers; all methods work on dishes at once."""
-
-    def __init__(self, room: np.ndarray, discount: float, strength: float, rng: np.random.Generator):
-        self.base = np.concatenate([[0], np.cumsum(room)]).astype(np.int64)
-        self.customers = np.zeros(len(room), np.int64)
-        self.tables = np.zeros(len(room), np.int64)
-        self.seat = np.zeros(self.base[-1], np.int32)
-        self.taken = np.zeros(self.base[-1], np.int32)
-        self.discount, self.strength, self.rng = discount, strength, rng
-
-    def add(self, dish: np.ndarray, prior: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """Seats one customer at each dish (no dish twice); which of them opened a table. prior: the parent's probability; others: tables in the restaurant."""
-        base, n = self.base[dish], self.customers[dish]
-        fresh = (self.strength + self.discount * others) * prior
-        old = np.maximum(n - self.discount * self.tables[dish], 0)
-        opens = self.rng.random(len(dish)) * (fresh + old) < fresh
-        opens |= n == 0
-        label = np.zeros(len(dish), np.int64)
-        todo = np.flatnonzero(~opens)
-        while len(todo):
-            # A table by its customers, less the discount: that of any customer, taken with probability 1 - discount / its size.
-            guess = self.seat[base[todo] + (self.rng.random(len(todo)) * n[todo]).astype(np.int64)]
-            size = self.taken[base[todo] + guess]
-            good = self.rng.random(len(todo)) * size < size - self.discount
-            label[todo[good]] = guess[good]
-            todo = todo[~good]
-        new = np.flatnonzero(opens)
-        # As tables were left empty, the label after the last one may be in use: then the next free one, of which there is one among n + 1.
-        fresh_label = self.tables[dish[new]]
-        busy = np.flatnonzero(self.taken[base[new] + fresh_label])
-        while len(busy):
-            fresh_label[busy] = (fresh_label[busy] + 1) % (n[new[busy]] + 1)
-            busy = busy[self.taken[base[new[busy]] + fresh_label[busy]] > 0]
-        label[new] = fresh_label
-        self.seat[base + n] = label
-        self.taken[base + label] += 1
-        self.customers[dish] += 1
-        self.tables[dish[new]] += 1
-        return opens
-
-    def remove(self, dish: np.ndarray) -> np.ndarray:
-        """Takes a random customer from each dish (no dish twice); which of them left a table empty."""
-        base, n = self.base[dish], self.customers[dish]
-        who = base + (self.rng.random(len(dish)) * n).astype(np.int64)
-        label = self.seat[who]
-        self.seat[who] = self.seat[base + n - 1]
-        self.taken[base + label] -= 1
-        self.customers[dish] -= 1
-        closed = self.taken[base + label] == 0
-        self.tables[dish[closed]] -= 1
-        return closed
-
-
-def _drawn(count: np.ndarray, prior: np.ndarray, others: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of whole dishes: customers enter in doubling groups, each group at the probabilities that it finds."""
-    n, tables = (count > 0).astype(np.int64), (count > 0).astype(np.int64)
-    fresh = (strength + discount * others) * prior
-    while (open_ := np.flatnonzero(n < count)).size:
-        k = np.minimum(n[open_], count[open_] - n[open_])
-        p = fresh[open_] / (fresh[open_] + np.maximum(n[open_] - discount * tables[open_], 1e-9))
-        tables[open_] += rng.binomial(k, p)
-        n[open_] += k
+def planes(x: np.ndarray, width: int = 4) -> bytes:
+    """Unsigned numbers by bytes of one rank: the upper ones are mostly zero and compress to nothing."""
+    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def numbers(data: pa.Scalar, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data.as_buffer(), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+@dataclass
+class Plan:
+    """How pairs are dealt: numbers of restaurants and buckets, and hashes of hot words, ascending."""
+
+    contexts: int
+    buckets: int
+    hot: np.ndarray
+
+    def place(self, words: np.ndarray) -> np.ndarray:
+        """Which hot word each is, or -1."""
+        spot = np.minimum(np.searchsorted(self.hot, words), max(0, len(self.hot) - 1))
+        return np.where(self.hot[spot] == words, spot, -1) if len(self.hot) else np.full(len(words), -1)
+
+
+class Pairs:
+    """The distinct pairs of a word and the word before it in a chunk, as they are dealt: by bucket, in it by word.
+
+    codes: the chunk's tokens as numbers of its words, an end (0) after each text. index: each token's pair. first: where a run of one
+    word in one bucket begins. word, context, bucket: of each pair.
+    """
+
+    def __init__(self, codes: np.ndarray, words: np.ndarray, plan: Plan):
+        before = np.concatenate([np.zeros(1, np.int64), codes[:-1]])
+        keys, index = np.unique(codes * len(words) + before, return_inverse=True)
+        word, context = keys // len(words), (mixed(words) % np.uint64(plan.contexts)).astype(np.int64)[keys % len(words)]
+        bucket = (mixed(words ^ _BUCKET) % np.uint64(plan.buckets)).astype(np.int64)[word]
+        hot = np.flatnonzero((plan.place(words) >= 0)[word])
+        bucket[hot] = (mixed(words[word[hot]] ^ mixed(context[hot].astype(np.uint64) + _BUCKET)) % np.uint64(plan.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        self.index, self.word, self.context, self.bucket = at[index], word[order], context[order], bucket[order]
+        change = np.ones(len(order), bool)
+        change[1:] = (self.word[1:] != self.word[:-1]) | (self.bucket[1:] != self.bucket[:-1])
+        self.first = np.flatnonzero(change)
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's tokens as numbers of its words, common ones small; tokens per text; hashes of the words, the first that of an end."""
+    codes, starts, words = word_codes(texts)
+    often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+    rank = np.empty(len(often), np.int64)
+    rank[often] = np.arange(1, len(often) + 1)
+    sizes = np.diff(starts) + 1
+    out = np.zeros(sizes.sum(), np.int64)
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    out[inner] = rank[codes]
+    return out, sizes, np.concatenate([[END], word_hashes(words)[often]])
+
+
+def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S(n, t): how n customers sit at t tables, weighted by what their tables' sizes are worth."""
+
+    def made() -> np.ndarray:
+        out = np.full((most + 1, most + 1), -np.inf)
+        out[0, 0] = 0
+        with np.errstate(divide="ignore"):
+            for n in range(most):
+                stay = out[n] + np.log(np.maximum(n - discount * np.arange(most + 1), 0))
+                out[n + 1] = np.logaddexp(np.concatenate([[-np.inf], out[n, :-1]]), stay)
+        return out
+
+    return kept_in_worker(("stirling", discount, most), made)
+
+
+def draw_tables(n: np.ndarray, others: np.ndarray, prior: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes of n customers, given the tables of all other dishes of their restaurants and the parent's probability of the dish."""
+    out = np.minimum(n, 1)
+    stirling = log_stirling(discount)
+    for low, high in ((2, 4), (5, 16), (17, EXACT)):
+        every = np.flatnonzero((n >= low) & (n <= high))
+        for at in range(0, len(every), part := (1 << 20) // high):
+            own = every[at : at + part]
+            # The t-th table opens with a weight of strength + discount * (all tables before it), times the parent's probability.
+            opens = np.log(strength + discount * (others[own, None] + np.arange(high))) + np.log(prior[own])[:, None]
+            weight = stirling[n[own], 1 : high + 1] + np.cumsum(opens, axis=1)
+            share = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            out[own] = np.minimum((share < rng.random(len(own))[:, None] * share[:, -1:]).sum(axis=1) + 1, n[own])
+    large = np.flatnonzero(n > EXACT)
+    if len(large):
+        out[large] = _in_groups(n[large], others[large], prior[large], discount, strength, rng)
+    return out
+
+
+def _in_groups(n: np.ndarray, others: np.ndarray, prior: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of large dishes: customers enter in groups of an eighth of those who sit, each group at the probabilities that it finds."""
+    seated, tables = np.ones(len(n), np.int64), np.ones(len(n), np.int64)
+    while len(open_ := np.flatnonzero(seated < n)):
+        k = np.minimum(np.maximum(seated[open_] // 8, 1), n[open_] - seated[open_])
+        fresh = (strength + discount * (others[open_] + tables[open_])) * prior[open_]
+        tables[open_] += rng.binomial(k, fresh / (fresh + np.maximum(seated[open_] - discount * tables[open_], 1e-9)))
+        seated[open_] += k
     return tables
 
 
-class Sample:
-    """Customers and tables of dishes at each level, and how many there are in each restaurant."""
-
-    def __init__(self, totals: dict[str, np.ndarray], vocabulary: float):
-        self.totals, self.h = totals, 1.0 / (vocabulary + 1)
-
-    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        d, s, t = DISCOUNT[0], STRENGTH[0], self.totals
-        return (customers - d * tables + (s + d * t["root_tables"]) * self.h) / (s + t["root_customers"])
-
-    def middle(self, context: np.ndarray, customers: np.ndarray, tables: np.ndarray, root: np.ndarray) -> np.ndarray:
-        d, s, t = DISCOUNT[1], STRENGTH[1], self.totals
-        return (customers - d * tables + (s + d * t["middle_tables"][context]) * root) / (s + t["middle_customers"][context])
-
-    def leaf(self, context: np.ndarray, customers: np.ndarray, tables: np.ndarray, middle: np.ndarray) -> np.ndarray:
-        d, s, t = DISCOUNT[2], STRENGTH[2], self.totals
-        return (customers - d * tables + (s + d * t["leaf_tables"][context]) * middle) / (s + t["leaf_customers"][context])
-
-
-class Corpus:
-    """What all buckets need to know: bounded by the number of contexts. counts: of frequent words, and of all others in one last row, by leaf."""
-
-    def __init__(self, counts: np.ndarray, leaf_types: np.ndarray, middle_types: np.ndarray, types: int):
-        self.counts, self.leaf_types, self.middle_types = counts, leaf_types, middle_types
-        self.leaf_customers = counts.sum(axis=0).astype(float)
-        self.tokens = int(counts.sum())
-        self.frequent_counts = counts[:-1].sum(axis=1)
-        self.rare_types, self.vocabulary = types, types + int((self.frequent_counts > 0).sum())
-
-    def totals(self, grown: tuple[float, float, float], own: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
-        """grown: the share of a rare dish's further customers who open tables, by level. own: tables of frequent words."""
-        rare = self.counts[-1]
-        leaf = self.leaf_types + grown[2] * np.maximum(rare - self.leaf_types, 0)
-        middle = self.middle_types + grown[1] * np.maximum(leaf.reshape(-1, 2).sum(axis=1) - self.middle_types, 0)
-        root = self.rare_types + grown[0] * max(middle.sum() - self.rare_types, 0)
-        if own is not None:
-            leaf, middle, root = leaf + own["leaf"], middle + own["middle"], root + own["root"]
-        return {"leaf_customers": self.leaf_customers, "leaf_tables": leaf, "middle_customers": leaf.reshape(-1, 2).sum(axis=1), "middle_tables": middle, "root_customers": middle.sum(), "root_tables": root}
-
-    def frequent(self, seed: int, grown: tuple[float, float, float] = (0.3, 0.2, 0.3)) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Averaged probabilities of frequent words in each leaf, and their tables."""
-        rng, leaf_count = np.random.default_rng(seed), self.counts[:-1].astype(np.int64)
-        words, leaves = leaf_count.shape
-        leaf_at, middle_at = np.arange(leaves)[None, :].repeat(words, 0), np.arange(leaves // 2)[None, :].repeat(words, 0)
-        leaf_tables = (leaf_count > 0).astype(np.int64)
-        middle_tables = (leaf_tables.reshape(words, -1, 2).sum(axis=2) > 0).astype(np.int64)
-        root_tables = (leaf_count.sum(axis=1) > 0).astype(np.int64)
-        out = np.zeros((words, leaves))
-        for turn in range(BURN_IN + SAMPLES):
-            own = {"leaf": leaf_tables.sum(axis=0), "middle": middle_tables.sum(axis=0), "root": root_tables.sum()}
-            sample = Sample(self.totals(grown, own), self.vocabulary)
-            middle_customers = leaf_tables.reshape(words, -1, 2).sum(axis=2)
-            root_p = sample.root(middle_tables.sum(axis=1), root_tables)
-            middle_p = sample.middle(middle_at, middle_customers, middle_tables, root_p[:, None])
-            if turn >= BURN_IN:
-                out += sample.leaf(leaf_at, leaf_count, leaf_tables, middle_p[:, leaf_at[0] // 2])
-            draw = lambda c, p, t, level: _drawn(c.ravel(), np.broadcast_to(p, c.shape).ravel(), np.broadcast_to(t, c.shape).ravel(), DISCOUNT[level], STRENGTH[level], rng).reshape(c.shape)
-            leaf_tables = draw(leaf_count, middle_p[:, leaf_at[0] // 2], sample.totals["leaf_tables"], 2)
-            middle_tables = draw(leaf_tables.reshape(words, -1, 2).sum(axis=2), root_p[:, None], sample.totals["middle_tables"], 1)
-            root_tables = draw(middle_tables.sum(axis=1), np.full(words, sample.h), np.full(words, sample.totals["root_tables"]), 0)
-        return out / SAMPLES, {"leaf": leaf_tables.sum(axis=0), "middle": middle_tables.sum(axis=0), "root": root_tables.sum()}
-
-
-class Sampler:
-    """Gibbs over the three levels for the words of a bucket: a dish per word and leaf, by count."""
-
-    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, corpus: Corpus, own: dict[str, np.ndarray], seed: int):
-        self.rng, self.corpus, self.own = np.random.default_rng(seed), corpus, own
-        self.word, self.context, self.count = word, context, count.astype(np.int64)
-        middles = len(corpus.middle_types)
-        middle, self.up = np.unique(word.astype(np.int64) * middles + context // 2, return_inverse=True)
-        self.middle_word, self.middle_context = middle // middles, middle % middles
-        room = np.bincount(self.up, self.count, len(middle)).astype(np.int64)
-        words = int(word.max()) + 1 if len(word) else 0
-        self.leaf = Seating(self.count, DISCOUNT[2], STRENGTH[2], self.rng)
-        self.middle = Seating(room, DISCOUNT[1], STRENGTH[1], self.rng)
-        self.root = Seating(np.bincount(self.middle_word, room, words).astype(np.int64), DISCOUNT[0], STRENGTH[0], self.rng)
-        self.begun = False
-        self.measure()
-
-    def measure(self) -> None:
-        """Tables in every restaurant, from this bucket's share of customers who opened further ones."""
-        share = lambda s: float((s.tables.sum() - len(s.tables)) / max(1, s.customers.sum() - len(s.tables))) if self.begun else 0.2
-        self.sample = Sample(self.corpus.totals((share(self.root), share(self.middle), share(self.leaf)), self.own), self.corpus.vocabulary)
-
-    def root_prior(self, w: np.ndarray) -> np.ndarray:
-        return self.sample.root(self.root.customers[w], self.root.tables[w])
-
-    def middle_prior(self, m: np.ndarray) -> np.ndarray:
-        return self.sample.middle(self.middle_context[m], self.middle.customers[m], self.middle.tables[m], self.root_prior(self.middle_word[m]))
-
-    @staticmethod
-    def turns(index: np.ndarray) -> Iterator[np.ndarray]:
-        """Positions of `index`, so dealt that no value comes twice in one turn."""
-        if not len(index):
-            return
-        order = np.argsort(index, kind="stable")
-        same = index[order]
-        first = np.concatenate([[True], same[1:] != same[:-1]])
-        at = np.arange(len(same))
-        turn = at - np.maximum.accumulate(np.where(first, at, 0))
-        by = np.argsort(turn, kind="stable")
-        yield from np.split(order[by], np.flatnonzero(np.diff(turn[by])) + 1)
-
-    def _open(self, leaves: np.ndarray) -> None:
-        """Each new table of a leaf is a customer of its middle restaurant, each new one there a customer of the root."""
-        for part in self.turns(self.up[leaves]):
-            m = self.up[leaves[part]]
-            new = self.middle_word[m[self.middle.add(m, self.root_prior(self.middle_word[m]), self.sample.totals["middle_tables"][self.middle_context[m]])]]
-            for turn in self.turns(new):
-                w = new[turn]
-                self.root.add(w, np.full(len(w), self.sample.h), np.full(len(w), self.sample.totals["root_tables"]))
-
-    def _close(self, leaves: np.ndarray) -> None:
-        for part in self.turns(self.up[leaves]):
-            m = self.up[leaves[part]]
-            gone = self.middle_word[m[self.middle.remove(m)]]
-            for turn in self.turns(gone):
-                self.root.remove(gone[turn])
-
-    def _seat(self, dish: np.ndarray) -> None:
-        self._open(dish[self.leaf.add(dish, self.middle_prior(self.up[dish]), self.sample.totals["leaf_tables"][self.context[dish]])])
-
-    def begin(self) -> None:
-        """Seats everyone, one customer of each dish at a time; a common dish's further customers in doubling groups."""
-        every, leaf = np.arange(len(self.count)), self.leaf
-        for j in range(min(VISITS, int(self.count.max(initial=0)))):
-            self._seat(every[self.count > j])
-        while len(dish := every[leaf.customers < self.count]):
-            n, base = leaf.customers[dish], leaf.base[dish]
-            k = np.minimum(n, self.count[dish] - n)
-            fresh = (leaf.strength + leaf.discount * self.sample.totals["leaf_tables"][self.context[dish]]) * self.middle_prior(self.up[dish])
-            opened = self.rng.binomial(k, fresh / (fresh + np.maximum(n - leaf.discount * leaf.tables[dish], 1e-9)))
-            of, nth = np.repeat(np.arange(len(dish)), k), np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            joins = leaf.seat[base[of] + (self.rng.random(len(of)) * n[of]).astype(np.int64)]
-            # Nobody has left yet, so labels run up to the number of tables.
-            label = np.where(nth < opened[of], leaf.tables[dish][of] + nth, joins)
-            leaf.seat[base[of] + n[of] + nth] = label
-            np.add.at(leaf.taken, base[of] + label, 1)
-            leaf.customers[dish] += k
-            leaf.tables[dish] += opened
-            self._open(np.repeat(dish, opened))
-        self.begun = True
-        self.measure()
-
-    def sweep(self) -> None:
-        """Each dish of several customers has up to VISITS of them, chosen at random, taken away and seated anew."""
-        for j in range(VISITS):
-            dish = np.flatnonzero(self.count > max(j, 1))
-            if not len(dish):
-                break
-            self._close(dish[self.leaf.remove(dish)])
-            self._seat(dish)
-        self.measure()
-
-    def probabilities(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Predictive probabilities of pairs of word (-1: unknown) and leaf, averaged over samples."""
-        leaves, middles = len(self.corpus.leaf_types), len(self.corpus.middle_types)
-        spots = []
-        for known, key in ((self.word.astype(np.int64) * leaves + self.context, word * leaves + context), (self.middle_word * middles + self.middle_context, word * middles + context // 2)):
-            order = np.argsort(known, kind="stable")
-            at = np.minimum(np.searchsorted(known[order], key), max(0, len(known) - 1))
-            hit = (word >= 0) & (known[order[at]] == key) if len(known) else np.zeros(len(key), bool)
-            spots.append((order[at] if len(known) else at, hit))
-        out = np.zeros(len(word))
-        self.begin()
-        of = lambda values, spot, hit: np.where(hit, values[spot], 0) if len(values) else np.zeros(len(spot))
-        for turn in range(BURN_IN + SAMPLES):
-            self.sweep()
-            if turn >= BURN_IN:
-                known = (np.maximum(word, 0), word >= 0)
-                root = self.sample.root(of(self.root.customers, *known), of(self.root.tables, *known))
-                middle = self.sample.middle(context // 2, of(self.middle.customers, *spots[1]), of(self.middle.tables, *spots[1]), root)
-                out += self.sample.leaf(context, of(self.count, *spots[0]), of(self.leaf.tables, *spots[0]), middle)
-        return out / SAMPLES
+class Totals:
+    """What all buckets know of each other. sums: of each restaurant its tables and customers; then of each hot word its customers at the root and
+    its count; then the root's tables of other words, and their number. first: these are of one table per dish."""
+
+    def __init__(self, sums: np.ndarray, plan: Plan, seed: int, first: bool):
+        k, h = plan.contexts, len(plan.hot)
+        self.first = first
+        self.tables, self.customers = sums[0, :k].astype(np.float32), sums[1, :k].astype(np.float32)
+        hot, self.hot_count = sums[0, k : k + h], sums[1, k : k + h]
+        self.root_customers, self.tokens = int(sums[0, :k].sum()), int(sums[1, :k].sum())
+        self.vocabulary = int(sums[1, k + h] + (self.hot_count > 0).sum())
+        self.floor = 1.0 / (self.vocabulary + 1)
+        found = float(sums[0, k + h] + (hot > 0).sum())
+        tables = draw_tables(hot, np.full(h, found), np.full(h, self.floor), DISCOUNT[0], STRENGTH[0], np.random.default_rng(seed))
+        self.root_tables = float(sums[0, k + h] + tables.sum())
+        self.hot_p = self.common(self.hot_count) if first else self.root(hot, tables, 1.0, 1.0)
 
+    def common(self, count: np.ndarray) -> np.ndarray:
+        """Where a search begins: the root's probabilities as if each customer of a restaurant had a table."""
+        return (count + self.floor) / (self.tokens + 1)
 
-PACKED = "kind int, bucket int, chunk long, a binary, b binary, c binary, d binary"
-_TRAIN = 1 << 15
+    def root(self, customers: np.ndarray, tables: np.ndarray, more_customers: float, more_tables: float) -> np.ndarray:
+        d, s = DISCOUNT[0], STRENGTH[0]
+        return (customers - d * tables + (s + d * self.root_tables * more_tables) * self.floor) / (s + self.root_customers * more_customers)
 
+    def leaf(self, context: np.ndarray, customers: np.ndarray, tables: np.ndarray, root: np.ndarray) -> np.ndarray:
+        d, s = DISCOUNT[1], STRENGTH[1]
+        return (customers - d * tables + (s + d * self.tables[context]) * root) / (s + self.customers[context])
 
-def _keys(batch: pa.RecordBatch) -> np.ndarray:
-    """A number for each row's id and text."""
-    return np.array([xxhash.xxh3_64_intdigest(t.as_buffer(), seed=0 if (i := d.as_py()) is None else (i * 2 + 1) & (2**64 - 1)) for d, t in zip(batch.column(0), batch.column(1), strict=True)], np.uint64).view(np.int64)
 
+class Bucket:
+    """A bucket's dishes: word, restaurant, customers. index: the dish of each pair that a chunk sent; chunks: how many pairs and runs each did."""
 
-def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of bounded text, of fewer rows than a train bit leaves room for."""
+    def __init__(self, table: pa.Table, plan: Plan):
+        table = table.sort_by("chunk")
+        words = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("a")]
+        runs, contexts, counts = ([numbers(x) for x in table.column(c)] for c in "bcd")
+        self.known, self.runs = np.unique(np.concatenate(words), return_inverse=True)
+        word = np.repeat(self.runs.astype(np.uint64), np.concatenate(runs))
+        keys, self.index = np.unique(word << np.uint64(32) | np.concatenate(contexts).astype(np.uint64), return_inverse=True)
+        self.word, self.context = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.n = np.bincount(self.index, np.concatenate(counts), len(keys)).astype(np.int64)
+        self.place = plan.place(self.known)
+        self.chunks = list(zip(table.column("chunk").to_pylist(), map(len, contexts), map(len, runs), strict=True))
+
+    def sweeps(self, totals: Totals, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """After each Gibbs sweep: tables of dishes, root tables of words, and the root's probability of words.
+
+        As long as the totals are those of one table per dish, others' tables are taken to have grown as the bucket's own, in restaurants of
+        like size; so the first sampled totals are near those of a settled seating.
+        """
+        rng, tables = np.random.default_rng(seed), np.minimum(self.n, 1)
+        several = np.flatnonzero(self.n > 1)
+        hot = self.place >= 0
+        size = np.minimum(np.log2(totals.customers[self.context] + 1).astype(np.int64), 63)
+        seen, words = np.bincount(size, self.n > 0, 64), max(1, len(np.unique(self.word[self.n > 0])))
+        grown, more_customers, more_tables = np.ones(64), 1.0, 1.0
+        # The first draw is from word counts, as seatings with a table per dish are far from settled ones.
+        root = totals.common(self.counts(totals))
+        while True:
+            others = np.maximum(totals.tables[self.context[several]] * grown[size[several]] - tables[several], 0).astype(float)
+            tables[several] = draw_tables(self.n[several], others, root[self.word[several]], DISCOUNT[1], STRENGTH[1], rng)
+            customers = np.bincount(self.word, tables, len(self.known)).astype(np.int64)
+            every = np.full(len(customers), totals.root_tables * more_tables)
+            root_tables = draw_tables(customers, every, np.full(len(customers), totals.floor), DISCOUNT[0], STRENGTH[0], rng)
+            if totals.first and len(several):
+                more_customers, more_tables = tables.sum() / max(1, seen.sum()), root_tables.sum() / words
+                grown = (np.bincount(size, tables, 64) + more_customers) / (seen + 1)
+            root = totals.root(customers, root_tables, more_customers, more_tables)
+            root[hot] = totals.hot_p[self.place[hot]]
+            yield tables, root_tables, root
+
+    def sums(self, plan: Plan, totals: Totals | None, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, ascending, of what Totals sums up, and this bucket's parts of both sums: with one table per dish, or as sampled."""
+        tables, hot = np.minimum(self.n, 1), self.place >= 0
+        root_tables = np.bincount(self.word, tables, len(self.known)) > 0
+        if totals is not None:
+            for turn, (tables, root_tables, _) in enumerate(self.sweeps(totals, seed)):
+                if turn == SETTLED:
+                    break
+        seen, context = np.unique(self.context, return_inverse=True)
+        x, y = np.bincount(context, tables, len(seen)), np.bincount(context, self.n, len(seen))
+        own, count = np.bincount(self.word, tables, len(self.known)), np.bincount(self.word, self.n, len(self.known))
+        ids = np.concatenate([seen, plan.contexts + self.place[hot], [plan.contexts + len(plan.hot)]])
+        return ids, np.concatenate([x, own[hot], [root_tables[~hot].sum()]]).astype(np.int64), np.concatenate([y, count[hot], [(count[~hot] > 0).sum()]]).astype(np.int64)
+
+    def probabilities(self, totals: Totals, seed: int) -> np.ndarray:
+        """Predictive probabilities of the dishes, averaged over samples."""
+        out = np.zeros(len(self.n))
+        for turn, (tables, _, root) in enumerate(self.sweeps(totals, seed)):
+            if turn >= BURN_IN:
+                out += totals.leaf(self.context, self.n, tables, root[self.word])
+            if turn == BURN_IN + SAMPLES - 1:
+                return out / SAMPLES
+
+    def counts(self, totals: Totals) -> np.ndarray:
+        """Training counts of the words."""
+        own = np.bincount(self.word, self.n, len(self.known)).astype(np.int64)
+        own[self.place >= 0] = totals.hot_count[self.place[self.place >= 0]]
+        return own
+
+
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded text, one row at least."""
     for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
         at = 0
-        for part in in_slices(batch.column(1), CHUNK_BYTES):
-            yield batch.slice(at, len(part))
-            at += len(part)
+        while at < len(ends):
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, min(at + CHUNK_ROWS, int(np.searchsorted(ends, base + CHUNK_BYTES, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 4
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "bucket", "chunk", "a", "b", "c", "d"])
+PACKED = "kind int, bucket long, chunk long, a binary, b binary, c binary, d binary"
 
 
-def _trained(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array([is_train(d) for d in batch.column(0).to_pylist()], bool)
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "bucket", "chunk", "a", "b", "c", "d"])
 
 
-def frequent_words(rows: DataFrame, most: int) -> tuple[np.ndarray, int]:
-    """Hashes, ascending, of the most common words of the training texts, at most `most`; and the number of tokens.
-
-    A part of the corpus names the words that have a good share of its own tokens; a word with such a share of the corpus has it in a part.
-    """
+def hot_words(rows: DataFrame, tokens: float) -> np.ndarray:
+    """Hashes, ascending, of words too common for one bucket. A word with a share of the corpus has that share of a part of it, which names it."""
+    share = max(HOT_TOKENS / max(tokens, 1.0), LEAST_SHARE)
+    if share >= 1:
+        return np.zeros(0, np.uint64)
 
     def common(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            own = batch.filter(pa.array(_trained(batch)))
-            codes, _, words = word_codes(own.column(1))
+        for batch in _chunks(batches):
+            codes, _, words = word_codes(batch.column(1))
             counts = np.bincount(codes, minlength=len(words))
-            often = np.flatnonzero(counts * 16 * most >= len(codes)) if len(codes) else np.zeros(0, np.int64)
-            hashes = word_hashes(words.take(pa.array(often)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes, np.uint64(0)).view(np.int64)), pa.array(np.append(counts[often], len(codes) + len(own)))], names=["word", "n"])
+            often = np.flatnonzero(counts >= share * (len(codes) + len(batch)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(word_hashes(words.take(pa.array(often))), END).view(np.int64)), pa.array(np.append(counts[often], len(batch)))], names=["word", "n"])
 
-    counted = rows.mapInArrow(common, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    tokens = counted.filter("word = 0").collect()
-    best = counted.filter("word <> 0").orderBy(F.desc("n"), "word").limit(most - 1).collect()
-    return np.sort(np.append(np.array([r["word"] for r in best], np.int64).view(np.uint64), END)), tokens[0]["n"] if tokens else 0
+    found = rows.mapInArrow(common, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= share * tokens / 2).select("word").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, seed: int = 11) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, plan: Plan | None = None, exchanges: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; trained on rows that aren't held out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), blank_null(text_col).alias("text"))
+    if plan is None:
+        # Tokens by the length of the texts: it steers only how work is dealt.
+        size, texts = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+        tokens = (size or 0) / 6.0 + texts
+        plan = Plan(int(min(MOST_CONTEXTS, max(256, tokens / CONTEXT_TOKENS))), max(1, int(tokens / BUCKET_TOKENS)), hot_words(rows, tokens))
     send = rows.sparkSession.sparkContext.broadcast
-    common, tokens = frequent_words(rows, frequent)
-    leaves, k = 2 * (len(common) + 1), len(common)
-    buckets = max(1, -(-tokens // BUCKET_TOKENS))
+    dealt_as = (plan.contexts, plan.buckets, plan.hot)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 32
-        for nth, batch in enumerate(_parts(batches)):
-            chunk, train, t = task + nth, _trained(batch), Tokens(batch.column(1), common)
-            learnt = train[t.doc]
-            cells, n = np.unique(np.where(t.place < 0, k, t.place)[learnt] * leaves + t.context[learnt], return_counts=True)
-            out = [(1, -1, chunk, _keys(batch).tobytes(), None, None, None), (2, -1, chunk, cells.tobytes(), n.tobytes(), None, None)]
-            rare = np.flatnonzero(t.place < 0)
-            rare = rare[np.argsort(t.word[rare], kind="stable")]
-            words, first, counts = np.unique(t.word[rare], return_index=True, return_counts=True)
-            context, doc = t.context[rare].astype(np.uint16), (t.doc[rare] + np.where(learnt[rare], _TRAIN, 0)).astype(np.uint16)
-            bucket = (words >> np.uint64(33)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            for b, part in enumerate(np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))):
-                if len(part):
-                    size = counts[part]
-                    at = np.repeat(first[part] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                    out.append((0, b, chunk, words[part].tobytes(), size.astype(np.uint32).tobytes(), context[at].tobytes(), doc[at].tobytes()))
+        chunk, plan_ = TaskContext.get().partitionId() << 32, Plan(*dealt_as)
+        for batch in _chunks(batches):
+            codes, sizes, words = coded(batch.column(1))
+            ids = batch.column(0)
+            train = np.array([is_train(d) for d in ids.to_pylist()], bool)
+            pairs = Pairs(codes, words, plan_)
+            counts = np.bincount(pairs.index, np.repeat(train, sizes), len(pairs.word)).astype(np.int64)
+            about = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + ids.is_valid().to_numpy(zero_copy_only=False).tobytes() + train.tobytes()
+            out = [(1, -1, chunk, planes(codes), planes(sizes), words.tobytes(), about)]
+            ends = np.append(np.flatnonzero(np.diff(pairs.bucket)) + 1, len(pairs.bucket))
+            runs = np.append(pairs.first, len(pairs.bucket))
+            for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+                low, high = np.searchsorted(pairs.first, (a, b))
+                out.append((0, int(pairs.bucket[a]), chunk, words[pairs.word[pairs.first[low:high]]].tobytes(), planes(np.diff(runs[low : high + 1])), planes(pairs.context[a:b]), planes(counts[a:b])))
             yield _packed(out)
+            chunk += 1
 
     packed = written(rows.mapInArrow(pack, PACKED))
-
-    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(*batch.columns, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a.as_buffer(), np.int64)), pa.array(np.frombuffer(b.as_buffer(), np.int64))], names=["cell", "n"])
-
-    # At most (frequent + 1) times the number of contexts.
-    cells = packed.filter("kind = 2").select("a", "b").mapInArrow(unpack, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((k + 1) * leaves, np.int64)
-    counts[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
-
-    def customers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
-        """Of a bucket: known words; of each occurrence its word (index or -1), leaf, doc and whether it is trained on; and chunks with their sizes."""
-        table = table.sort_by("chunk")
-        read = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]
-        words, sizes, contexts, docs_ = read("a", np.uint64), read("b", np.uint32), read("c", np.uint16), read("d", np.uint16)
-        word = np.repeat(np.concatenate(words), np.concatenate(sizes))
-        context, doc = np.concatenate(contexts).astype(np.int64), np.concatenate(docs_)
-        train = doc >= _TRAIN
-        known = np.unique(word[train])
-        spot = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
-        index = np.where(known[spot] == word, spot, -1) if len(known) else np.full(len(word), -1)
-        return known, index, context, doc & (_TRAIN - 1), train, list(zip(table.column("chunk").to_pylist(), map(len, docs_), strict=True))
-
-    def types(key: tuple, table: pa.Table) -> pa.Table:
-        known, index, context, _, train, _ = customers(table)
-        cells_ = np.unique(index[train] * leaves + context[train]) if train.any() else np.zeros(0, np.int64)
-        middles = np.unique(cells_ // leaves * (leaves // 2) + cells_ % leaves // 2)
-        out = np.concatenate([np.bincount(cells_ % leaves, minlength=leaves), np.bincount(middles % (leaves // 2), minlength=leaves // 2), [len(known)]])
-        return pa.table({"cell": pa.array(np.arange(len(out))), "n": pa.array(out)})
-
     dealt = packed.filter("kind = 0").select("bucket", "chunk", "a", "b", "c", "d")
-    found = dealt.groupBy("bucket").applyInArrow(types, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    kinds = np.zeros(leaves + leaves // 2 + 1, np.int64)
-    kinds[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    corpus = Corpus(counts.reshape(k + 1, leaves), kinds[:leaves], kinds[leaves:-1], int(kinds[-1]))
-    table_p, own = corpus.frequent(seed)
-    # Plain arrays: a broadcast value is read where this package may be unknown.
-    shared = send(((corpus.counts, corpus.leaf_types, corpus.middle_types, corpus.rare_types), own))
-    logs = send((np.log10(table_p).astype(np.float32), np.log10(corpus.frequent_counts + 0.1), corpus.frequent_counts > 0))
+    totals, shared = None, None
+    for turn in range(exchanges):
+        sums = _exchanged(dealt, dealt_as, shared, seed + turn)
+        totals = Totals(sums, plan, seed + turn, turn == 0)
+        # Plain values: what is broadcast is read where this package may be unknown.
+        shared = send(vars(totals))
+        sweep(rows.sparkSession)
 
     def score(key: tuple, table: pa.Table) -> pa.Table:
-        about, tables = Corpus(*shared.value[0]), shared.value[1]
-        known, index, context, doc, train, chunks = customers(table)
-        cells_, n = np.unique(index[train] * leaves + context[train], return_counts=True)
-        sampler = Sampler(cells_ // leaves, cells_ % leaves, n, about, tables, seed * 1_000_003 + key[0].as_py())
-        asked, back = np.unique((index + 1) * leaves + context, return_inverse=True)
-        log_p = np.log10(sampler.probabilities(asked // leaves - 1, asked % leaves))[back]
-        count = np.bincount(index[train], minlength=len(known))
-        base = np.where(index >= 0, np.log10((count[index] if len(count) else np.zeros(len(index))) + 0.1), -1.0)
-        out: list[list] = [[], [], [], []]
-        at = 0
-        for chunk, size in chunks:
-            d, own_ = doc[at : at + size], slice(at, at + size)
-            sums = (np.bincount(d, log_p[own_]), np.bincount(d, base[own_]), np.bincount(d, index[own_] >= 0))
-            for column, value in zip(out, (chunk, *(s.astype(np.float64).tobytes() for s in sums)), strict=True):
+        about = Totals.__new__(Totals)
+        vars(about).update(shared.value)
+        bucket = Bucket(table, Plan(*dealt_as))
+        log_p = np.log10(bucket.probabilities(about, seed * 1_000_003 + key[0].as_py())).astype(np.float32)[bucket.index]
+        count = bucket.counts(about)[bucket.runs]
+        out: list[list] = [[], [], []]
+        at = run = 0
+        for chunk, n, m in bucket.chunks:
+            for column, value in zip(out, (chunk, log_p[at : at + n].tobytes(), planes(count[run : run + m], 8)), strict=True):
                 column.append(value)
-            at += size
-        return pa.table({"chunk": pa.array(out[0], pa.int64()), "kind": pa.array([0] * len(out[0]), pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in zip("abc", out[1:], strict=True)}})
+            at, run = at + n, run + m
+        nothing = pa.nulls(len(out[0]), pa.binary())
+        return pa.table({"kind": pa.array([0] * len(out[0]), pa.int32()), "bucket": pa.array([key[0].as_py()] * len(out[0]), pa.int64()), "chunk": pa.array(out[0], pa.int64()), "a": pa.array(out[1], pa.binary()), "b": pa.array(out[2], pa.binary()), "c": nothing, "d": nothing})
 
-    summed = dealt.groupBy("bucket").applyInArrow(score, "chunk long, kind int, a binary, b binary, c binary")
+    answers = dealt.groupBy("bucket").applyInArrow(score, PACKED)
+    norm = float(np.log10(totals.tokens + 0.1 * (totals.vocabulary + 1)))
 
     def gather(table: pa.Table) -> pa.Table:
-        kinds_ = table.column("kind").to_numpy()
-        keys = np.frombuffer(table.column("a")[int(np.flatnonzero(kinds_ == 1)[0])].as_buffer(), np.int64)
-        sums = np.zeros((3, len(keys)))
-        for row in np.flatnonzero(kinds_ == 0):
-            for i, c in enumerate("abc"):
-                own_ = np.frombuffer(table.column(c)[int(row)].as_buffer(), np.float64)
-                sums[i, : len(own_)] += own_
-        return pa.table({"key": pa.array(keys), **{c: pa.array(sums[i]) for i, c in enumerate(("rare_score", "rare_base", "rare_known"))}})
-
-    heads = packed.filter("kind = 1").select("chunk", "kind", "a", "b", "c")
-    rare = summed.unionByName(heads).groupBy("chunk").applyInArrow(gather, "key long, rare_score double, rare_base double, rare_known double")
-    # Rows alike in id and text have one key and the same sums.
-    rare = rare.groupBy("key").agg(*(F.first(c).alias(c) for c in ("rare_score", "rare_base", "rare_known")))
-
-    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p, log_c, seen = logs.value
-        for batch in _parts(batches):
-            t = Tokens(batch.column(1), common)
-            hit = t.place >= 0
-            place, doc = t.place[hit], t.doc[hit]
-            total = lambda values: pa.array(np.bincount(doc, values, len(batch)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_keys(batch)), pa.array(~_trained(batch)), pa.array(t.sizes), total(log_p[place, t.context[hit]]), total(log_c[place]), total(seen[place])], names=["doc_id", "key", "held_out", "n_tokens", "score", "base", "known"])
-
-    made = rows.mapInArrow(near, "doc_id long, key long, held_out boolean, n_tokens long, score double, base double, known double")
-    norm = float(np.log10(corpus.tokens + 0.1 * (corpus.vocabulary + 1)))
-    both = made.join(rare, "key", "left")
-    sum_ = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0.0))
-    return both.select("doc_id", "held_out", "n_tokens", sum_("known", "rare_known").cast("long").alias("n_known"), F.lit(corpus.tokens).cast("long").alias("train_tokens"), (sum_("base", "rare_base") - F.col("n_tokens") * norm).alias("base_score"), sum_("score", "rare_score").alias("score"))
+        table = table.sort_by([("kind", "descending"), ("bucket", "ascending")])
+        codes, sizes = numbers(table.column("a")[0]), numbers(table.column("b")[0])
+        words = np.frombuffer(table.column("c")[0].as_buffer(), np.uint64)
+        about, n = table.column("d")[0].as_buffer().to_pybytes(), len(sizes)
+        ids, flags = np.frombuffer(about, np.int64, n), np.frombuffer(about, np.bool_, 2 * n, 8 * n)
+        pairs = Pairs(codes, words, Plan(*dealt_as))
+        back = table.slice(1)
+        log_p = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in back.column("a")]).astype(float)
+        count = np.concatenate([numbers(x, 8) for x in back.column("b")])
+        run = np.searchsorted(pairs.first, np.arange(len(pairs.word)), "right") - 1
+        doc, base = np.repeat(np.arange(n), sizes), np.log10(count + 0.1)[run]
+        total = lambda values: np.bincount(doc, values[pairs.index], n)
+        return pa.table({
+            "doc_id": pa.array(ids, mask=~flags[:n]), "held_out": pa.array(~flags[n:]), "n_tokens": pa.array(sizes),
+            "n_known": pa.array(total((count > 0)[run]).astype(np.int64)), "base_score": pa.array(total(base) - sizes * norm), "score": pa.array(total(log_p)),
+        })
+
+    made = answers.unionByName(packed.filter("kind = 1")).groupBy("chunk").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _exchanged(dealt: DataFrame, dealt_as: tuple, shared, seed: int) -> np.ndarray:
+    """Both sums of Totals over all buckets: in blocks of numbers, 64 parts at a time."""
+
+    def parts(key: tuple, table: pa.Table) -> pa.Table:
+        totals = None
+        if shared is not None:
+            totals = Totals.__new__(Totals)
+            vars(totals).update(shared.value)
+        plan = Plan(*dealt_as)
+        return _blocks(*Bucket(table, plan).sums(plan, totals, seed * 1_000_003 + key[0].as_py()), key[0].as_py())
+
+    def added(key: tuple, table: pa.Table) -> pa.Table:
+        sums = np.zeros((2, _BLOCK), np.int64)
+        for at, x, y in zip(table.column("at"), table.column("x"), table.column("y"), strict=True):
+            sums[:, numbers(at)] += np.stack([numbers(x, 8), numbers(y, 8)])
+        at = np.flatnonzero(sums.any(axis=0))
+        return _blocks(at + key[0].as_py() * _BLOCK, *sums[:, at], key[1].as_py())
+
+    contexts, buckets, hot = dealt_as
+    schema = "block long, part long, at binary, x binary, y binary"
+    out, left = dealt.groupBy("bucket").applyInArrow(parts, schema), buckets
+    while True:
+        left = -(-left // 64)
+        out = out.withColumn("part", F.floor(F.col("part") / 64)).groupBy("block", "part").applyInArrow(added, schema)
+        if left == 1:
+            break
+    sums = np.zeros((2, contexts + len(hot) + 1), np.int64)
+    stored = written(out)
+    for row in stored.toArrow().to_batches():
+        for block, at, x, y in zip(row.column("block").to_pylist(), row.column("at"), row.column("x"), row.column("y"), strict=True):
+            sums[:, numbers(at) + block * _BLOCK] += np.stack([numbers(x, 8), numbers(y, 8)])
+    forget(stored)
+    return sums
+
+
+def _blocks(ids: np.ndarray, x: np.ndarray, y: np.ndarray, part: int) -> pa.Table:
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(ids // _BLOCK)) + 1, [len(ids)]])
+    spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if len(ids) else []
+    column = lambda values, width: pa.array([planes(values[a:b], width) for a, b in spans], pa.binary())
+    return pa.table({"block": pa.array([int(ids[a]) // _BLOCK for a, _ in spans], pa.int64()), "part": pa.array([part] * len(spans), pa.int64()), "at": column(ids % _BLOCK, 4), "x": column(x, 8), "y": column(y, 8)})
 
 
 def op3_hpy_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,71 @@ def base_spans(text):
     found += [(m.start(), "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     found += [(m.start(), "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
     return sorted(found, key=lambda s: (s[0], ("assign", "access", "hex").index(s[1])))
+
+
+def word_pairs(text):
+    """(word before, word) of a text, an end as None."""
+    words = [None, *WORD.findall(lower(text or "")), None]
+    return list(zip(words[:-1], words[1:], strict=True))
+
+
+def pitman_yor(rows, counts, discount, strength, sweeps, burn_in, seed=1):
+    """doc_id to the log10 probability of its text: two levels of restaurants, every customer taken away and seated anew in each sweep.
+
+    counts: training counts of (word before, word). Probabilities are averaged over sweeps before logarithms are taken.
+    """
+    import math
+    import random
+
+    rng = random.Random(seed)
+    leaf, root = defaultdict(lambda: defaultdict(list)), defaultdict(list)  # sizes of tables
+    floor = 1 / (len({w for _, w in counts}) + 1)
+
+    def root_p(w):
+        tables = sum(map(len, root.values()))
+        customers = sum(map(sum, root.values()))
+        return (sum(root[w]) - discount[0] * len(root[w]) + (strength[0] + discount[0] * tables) * floor) / (strength[0] + customers)
+
+    def seat(sizes, fresh, d):
+        spot = rng.random() * (fresh + sum(sizes) - d * len(sizes))
+        for k, size in enumerate(sizes):
+            spot -= size - d
+            if spot < 0:
+                sizes[k] += 1
+                return False
+        sizes.append(1)
+        return True
+
+    def leave(sizes):
+        spot = rng.randrange(sum(sizes))
+        for k, size in enumerate(sizes):
+            spot -= size
+            if spot < 0:
+                sizes[k] -= 1
+                if not sizes[k]:
+                    del sizes[k]
+                    return True
+                return False
+
+    def sit(u, w):
+        fresh = (strength[1] + discount[1] * sum(map(len, leaf[u].values()))) * root_p(w)
+        if seat(leaf[u][w], fresh, discount[1]):
+            seat(root[w], (strength[0] + discount[0] * sum(map(len, root.values()))) * floor, discount[0])
+
+    customers = [k for k, n in counts.items() for _ in range(n)]
+    rng.shuffle(customers)
+    for u, w in customers:
+        sit(u, w)
+    asked = {p for _, t in rows for p in word_pairs(t)}
+    total = Counter()
+    for turn in range(sweeps):
+        for u, w in customers:
+            if leave(leaf[u][w]):
+                leave(root[w])
+            sit(u, w)
+        if turn >= burn_in:
+            for u, w in asked:
+                tables, own = sum(map(len, leaf[u].values())), leaf[u][w]
+                total[u, w] += (sum(own) - discount[1] * len(own) + (strength[1] + discount[1] * tables) * root_p(w)) / (strength[1] + sum(map(sum, leaf[u].values())))
+    log_p = {k: math.log10(v / (sweeps - burn_in)) for k, v in total.items()}
+    return {i: sum(log_p[p] for p in word_pairs(t)) for i, t in rows}

@@ -1,8 +1,11 @@
 import hashlib
 import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -137,39 +140,109 @@ def test_lm_edge_cases(spark):
     assert hpy_lm.lm_scores(df.limit(0)).count() == 0
 
 
-def test_lm_probabilities_sum_to_one():
+def brute_pairs(rows):
+    """Training counts of (word before, word), an end as None."""
+    out = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            out.update(brute.word_pairs(t))
+    return out
+
+
+def test_lm_tells_seen_pairs_from_unseen(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(vocabulary, k=60)) for _ in range(300)]
+    ids = [i for i in range(1, 4000) if zlib.crc32(str(i).encode()) % 10][:300]
+    held = [i for i in range(1, 4000) if zlib.crc32(str(i).encode()) % 10 == 0][:60]
+    again, fresh = texts[:30], [" ".join(rng.choices(vocabulary, k=60)) for _ in range(30)]
+    rows = list(zip(ids, texts, strict=True)) + list(zip(held, again + fresh, strict=True))
+    score = {r.doc_id: r.score for r in hpy_lm.lm_scores(spark.createDataFrame(rows, DOCS)).collect()}
+    assert min(score[i] for i in held[:30]) > max(score[i] for i in held[30:])
+
+
+def test_lm_agrees_with_a_plain_sampler(spark):
+    """Texts' probabilities against those of a sampler that seats customer by customer in one process, averaged over many sweeps."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices("abcde", weights=(8, 4, 2, 1, 1), k=rng.randrange(1, 12)))) for i in range(1, 40)]
+    counts = brute_pairs(rows)
+    plan = hpy_lm.Plan(1 << 20, 2, np.zeros(0, np.uint64))
+    got = {r.doc_id: r.score for r in hpy_lm.lm_scores(spark.createDataFrame(rows, DOCS), plan=plan, exchanges=3).collect()}
+    want = brute.pitman_yor(rows, counts, hpy_lm.DISCOUNT, hpy_lm.STRENGTH, sweeps=60, burn_in=20)
+    off = [(got[i] - want[i]) / (len(text.split()) + 1) for i, text in rows]
+    assert abs(sum(off) / len(off)) < 0.03 and max(map(abs, off)) < 0.15
+
+
+@pytest.mark.parametrize("turn", [2, 3])
+def test_lm_probabilities_sum_to_one(turn):
     rng = np.random.default_rng(0)
-    k = 5
-    leaves = 2 * (k + 1)
-    word, context = np.minimum((rng.pareto(0.9, 20_000) * 1.5).astype(int), 1500), rng.integers(0, leaves, 20_000)
-    counts = np.zeros((k + 1, leaves), np.int64)
-    np.add.at(counts, (np.minimum(word, k), context), 1)
-    known, index = np.unique(word[word >= k], return_inverse=True)
-    cells, n = np.unique(index * leaves + context[word >= k], return_counts=True)
-    middles = np.unique(cells // leaves * (leaves // 2) + cells % leaves // 2)
-    corpus = hpy_lm.Corpus(counts, np.bincount(cells % leaves, minlength=leaves), np.bincount(middles % (leaves // 2), minlength=leaves // 2), len(known))
-    table_, own = corpus.frequent(1)
-    asked = np.arange(-1, len(known))
-    for c in (0, 5, leaves - 1):
-        p = hpy_lm.Sampler(cells // leaves, cells % leaves, n, corpus, own, 3).probabilities(asked, np.full(len(asked), c))
-        assert table_[:, c].sum() + p.sum() == pytest.approx(1, abs=0.02)
-
-
-def test_seating_keeps_its_books():
-    rng = np.random.default_rng(1)
-    count = np.array([1, 2, 7, 30, 5])
-    s = hpy_lm.Seating(count, 0.5, 1.0, rng)
-    every = np.arange(5)
-    for j in range(count.max()):
-        s.add(every[count > j], np.full((count > j).sum(), 0.2), np.full((count > j).sum(), 3.0))
-    for _ in range(200):
-        dish = every[count > 1]
-        s.remove(dish)
-        s.add(dish, np.full(len(dish), 0.2), np.full(len(dish), 3.0))
-        for d in every:
-            a, b = s.base[d], s.base[d + 1]
-            assert s.customers[d] == count[d] == s.taken[a:b].sum() and s.tables[d] == (s.taken[a:b] > 0).sum()
-            assert (np.bincount(s.seat[a:b], minlength=b - a) == s.taken[a:b]).all()
+    contexts = 40
+    word, context = np.minimum((rng.pareto(0.9, 20_000) * 1.5).astype(np.int64), 1500), rng.integers(0, contexts, 20_000)
+    hashes = np.sort(rng.integers(1, 2**63, 1502).astype(np.uint64))
+    plan = hpy_lm.Plan(contexts, 1, np.sort(hashes[[0, 3]]))
+    every = np.repeat(np.arange(1502), contexts), np.tile(np.arange(contexts), 1502)
+    n = np.zeros((1502, contexts), np.int64)
+    np.add.at(n, (word, context), 1)
+    table_ = pa.table({"chunk": [0], "a": pa.array([hashes.tobytes()], pa.binary()), **{c: pa.array([hpy_lm.planes(x)], pa.binary()) for c, x in (("b", np.full(1502, contexts)), ("c", every[1]), ("d", n.ravel()))}})
+    totals = None
+    for t in range(turn):
+        bucket = hpy_lm.Bucket(table_, plan)
+        ids, x, y = bucket.sums(plan, totals, 5 + t)
+        sums = np.zeros((2, contexts + 3), np.int64)
+        sums[:, ids] = x, y
+        totals = hpy_lm.Totals(sums, plan, t, t == 0)
+    assert totals.tokens == 20_000 and totals.vocabulary == len(np.unique(word))
+    p = hpy_lm.Bucket(table_, plan).probabilities(totals, 3)
+    of = np.bincount(hpy_lm.Bucket(table_, plan).context, p, contexts)
+    unknown = int((n.sum(axis=1) == 0).sum())  # each is given what all unknown words share
+    rest = p[(n.sum(axis=1) == 0)[hpy_lm.Bucket(table_, plan).word]].reshape(unknown, contexts)
+    assert of - rest.sum(axis=0) + rest.mean(axis=0) == pytest.approx(np.ones(contexts), abs={2: 0.12, 3: 0.03}[turn])
+
+
+@pytest.mark.parametrize(("n", "others", "prior"), [(2, 0.0, 0.5), (5, 3.0, 0.2), (17, 40.0, 0.05), (9, 900.0, 0.01)])
+def test_tables_are_drawn_from_their_conditional_distribution(n, others, prior):
+    discount, strength = 0.8, 4.0
+    # Seatings by the sizes of their tables, built customer by customer: a path's weight is the product of its choices' weights.
+    ways = {(1,): (strength + discount * others) * prior}
+    for _ in range(n - 1):
+        more = Counter()
+        for sizes, weight in ways.items():
+            for k, size in enumerate(sizes):
+                more[tuple(sorted((*sizes[:k], size + 1, *sizes[k + 1 :])))] += weight * (size - discount)
+            more[tuple(sorted((*sizes, 1)))] += weight * (strength + discount * (others + len(sizes))) * prior
+        ways = more
+    want = np.zeros(n + 1)
+    for sizes, weight in ways.items():
+        want[len(sizes)] += weight
+    draws = 40_000
+    one = np.ones(draws)
+    got = hpy_lm.draw_tables(np.full(draws, n), one * others, one * prior, discount, strength, np.random.default_rng(3))
+    assert np.bincount(got, minlength=n + 1) / draws == pytest.approx(want / want.sum(), abs=0.012)
+
+
+def test_large_dishes_have_about_as_many_tables_as_customers_one_by_one_make():
+    discount, strength, others, prior, n = 0.8, 4.0, 50.0, 0.05, 400
+    rng, made = np.random.default_rng(5), []
+    for _ in range(300):
+        t = 1
+        for seated in range(1, n):
+            fresh = (strength + discount * (others + t)) * prior
+            t += rng.random() < fresh / (fresh + seated - discount * t)
+        made.append(t)
+    one = np.ones(300)
+    got = hpy_lm.draw_tables(np.full(300, n), one * others, one * prior, discount, strength, rng)
+    assert got.mean() == pytest.approx(np.mean(made), rel=0.1)
+
+
+def test_lm_does_not_depend_on_how_pairs_are_dealt(spark):
+    rows = [(i, t) for i, t in table()[:120]]
+    df = spark.createDataFrame(rows, DOCS)
+    ends = np.array([hpy_lm.END], np.uint64)
+    some = [{r.doc_id: r for r in hpy_lm.lm_scores(df, plan=p).collect()} for p in (hpy_lm.Plan(4096, 1, ends[:0]), hpy_lm.Plan(4096, 200, ends))]
+    for i, _ in rows:
+        a, b = some[0][i], some[1][i]
+        assert (a.n_known, a.n_tokens, a.train_tokens) == (b.n_known, b.n_tokens, b.train_tokens) and a.base_score == pytest.approx(b.base_score, rel=1e-9)
+        assert a.score == pytest.approx(b.score, rel=0.02)
 
 
 # op4
@@ -284,7 +357,8 @@ def test_genetic_operators_keep_all_pieces():
     rng = random.Random(3)
     lengths = [rng.randrange(1, 100) for _ in range(200)]
     people = packing.evolve(lengths, 128, 1)
-    child = packing.child_of(people[0], people[-1], lengths, 128, rng)
+    child, fills = packing.child_of(people[0], people[-1], lengths, 128, rng)
+    assert fills == packing.fills_of(child, lengths)
     for bins in (*people, child, packing._as_bins(packing._numbered(child, 200))):
         assert sorted(i for b in bins for i in b) == list(range(200)) and all(sum(lengths[i] for i in b) <= 128 for b in bins)
     assert packing.fitness(people[0], lengths, 128) >= packing.fitness(people[-1], lengths, 128)
