@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from loomline.llm.shared import blank_null, documents, forget, kept_in_worker, sweep, written
 from loomline.llm.words import mixed, word_codes, word_hashes
 
-CHUNK_BYTES, CHUNK_ROWS = 12 << 20, 1 << 13
+CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 1 << 13
 BUCKET_TOKENS = 1_000_000
 #: Tokens for each restaurant, and the most restaurants there are.
 CONTEXT_TOKENS, MOST_CONTEXTS = 256, 1 << 22
@@ -51,6 +51,8 @@ HOT_TOKENS, LEAST_SHARE = 250_000, 2.0**-19
 DISCOUNT, STRENGTH = (0.75, 0.8), (1.0, 4.0)
 #: Sweeps before tables are exchanged; before the first sample; and samples.
 SETTLED, BURN_IN, SAMPLES = 4, 2, 3
+#: Parts of a unit of a log10 probability that are sent back; 16 bits reach to 1e-32.
+FINE = 2000.0
 #: Customers of a dish up to which its tables are drawn from Stirling numbers.
 EXACT = 64
 #: The end of a text, as a word.
@@ -72,6 +74,15 @@ def numbers(data: pa.Scalar, width: int = 4) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data.as_buffer(), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
+def packed_codes(codes: np.ndarray) -> bytes:
+    return pa.compress(planes(codes), codec="zstd", asbytes=True)
+
+
+def unpacked_codes(data: pa.Scalar, n: int) -> np.ndarray:
+    raw = pa.decompress(data.as_buffer(), decompressed_size=4 * n, codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int32)
+
+
 @dataclass
 class Plan:
     """How pairs are dealt: numbers of restaurants and buckets, and hashes of hot words, ascending."""
@@ -94,15 +105,19 @@ class Pairs:
     """
 
     def __init__(self, codes: np.ndarray, words: np.ndarray, plan: Plan):
-        before = np.concatenate([np.zeros(1, np.int64), codes[:-1]])
-        keys, index = np.unique(codes * len(words) + before, return_inverse=True)
+        pairs = codes * np.int64(len(words))
+        pairs[1:] += codes[:-1]
+        keys, index = np.unique(pairs, return_inverse=True)
+        del pairs
+        index = index.astype(np.int32)
         word, context = keys // len(words), (mixed(words) % np.uint64(plan.contexts)).astype(np.int64)[keys % len(words)]
+        del keys
         bucket = (mixed(words ^ _BUCKET) % np.uint64(plan.buckets)).astype(np.int64)[word]
         hot = np.flatnonzero((plan.place(words) >= 0)[word])
         bucket[hot] = (mixed(words[word[hot]] ^ mixed(context[hot].astype(np.uint64) + _BUCKET)) % np.uint64(plan.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        at = np.empty(len(order), np.int64)
-        at[order] = np.arange(len(order))
+        at = np.empty(len(order), np.int32)
+        at[order] = np.arange(len(order), dtype=np.int32)
         self.index, self.word, self.context, self.bucket = at[index], word[order], context[order], bucket[order]
         change = np.ones(len(order), bool)
         change[1:] = (self.word[1:] != self.word[:-1]) | (self.bucket[1:] != self.bucket[:-1])
@@ -113,10 +128,10 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's tokens as numbers of its words, common ones small; tokens per text; hashes of the words, the first that of an end."""
     codes, starts, words = word_codes(texts)
     often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
-    rank = np.empty(len(often), np.int64)
-    rank[often] = np.arange(1, len(often) + 1)
+    rank = np.empty(len(often), np.int32)
+    rank[often] = np.arange(1, len(often) + 1, dtype=np.int32)
     sizes = np.diff(starts) + 1
-    out = np.zeros(sizes.sum(), np.int64)
+    out = np.zeros(sizes.sum(), np.int32)
     inner = np.ones(len(out), bool)
     inner[np.cumsum(sizes) - 1] = False
     out[inner] = rank[codes]
@@ -327,7 +342,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             pairs = Pairs(codes, words, plan_)
             counts = np.bincount(pairs.index, np.repeat(train, sizes), len(pairs.word)).astype(np.int64)
             about = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + ids.is_valid().to_numpy(zero_copy_only=False).tobytes() + train.tobytes()
-            out = [(1, -1, chunk, planes(codes), planes(sizes), words.tobytes(), about)]
+            out = [(1, -1, chunk, packed_codes(codes), planes(sizes), words.tobytes(), about)]
             ends = np.append(np.flatnonzero(np.diff(pairs.bucket)) + 1, len(pairs.bucket))
             runs = np.append(pairs.first, len(pairs.bucket))
             for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
@@ -350,7 +365,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         about = Totals.__new__(Totals)
         vars(about).update(shared.value)
         bucket = Bucket(table, Plan(*dealt_as))
-        log_p = np.log10(bucket.probabilities(about, seed * 1_000_003 + key[0].as_py())).astype(np.float32)[bucket.index]
+        # Rounded to a part of FINE: far below what sampling leaves open.
+        log_p = np.rint(np.log10(bucket.probabilities(about, seed * 1_000_003 + key[0].as_py())) * -FINE).astype("<u2")[bucket.index]
         count = bucket.counts(about)[bucket.runs]
         out: list[list] = [[], [], []]
         at = run = 0
@@ -366,13 +382,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def gather(table: pa.Table) -> pa.Table:
         table = table.sort_by([("kind", "descending"), ("bucket", "ascending")])
-        codes, sizes = numbers(table.column("a")[0]), numbers(table.column("b")[0])
+        sizes = numbers(table.column("b")[0])
+        codes = unpacked_codes(table.column("a")[0], int(sizes.sum()))
         words = np.frombuffer(table.column("c")[0].as_buffer(), np.uint64)
         about, n = table.column("d")[0].as_buffer().to_pybytes(), len(sizes)
         ids, flags = np.frombuffer(about, np.int64, n), np.frombuffer(about, np.bool_, 2 * n, 8 * n)
         pairs = Pairs(codes, words, Plan(*dealt_as))
+        del codes
         back = table.slice(1)
-        log_p = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in back.column("a")]).astype(float)
+        log_p = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for x in back.column("a")]) / -FINE
         count = np.concatenate([numbers(x, 8) for x in back.column("b")])
         run = np.searchsorted(pairs.first, np.arange(len(pairs.word)), "right") - 1
         doc, base = np.repeat(np.arange(n), sizes), np.log10(count + 0.1)[run]
