@@ -43,7 +43,7 @@ SHARD_PIECES = 4096
 ISLANDS = 3
 ROUNDS = 2
 POPULATION = 8
-PATIENCE = 16
+PATIENCE = 10
 #: Displaced pieces of which pairs are tried, and bins that a child's displaced pieces are held against.
 PAIRED, TRIED = 48, 256
 WELL_FILLED = 0.98
@@ -194,8 +194,8 @@ def _pairs(sizes: list[int]) -> list[tuple[int, int, int]]:
     return sorted((sizes[i] + sizes[j], i, j) for i in range(len(sizes)) for j in range(i)) if len(sizes) <= PAIRED else []
 
 
-def child_of(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
-    """A child of two solutions and its bins' fills.
+def child_of(a: Bins, fills: list[int], b: Bins, other: list[int], lengths: list[int], capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
+    """A child of two solutions, given with their bins' fills, and its own fills.
 
     Crossover: some well-filled bins of `b` enter `a` whole, those they clash with go, and what else these held is displaced. Mutation: the
     worst-filled bins and some others are emptied. Then all displaced pieces are placed.
@@ -204,7 +204,6 @@ def child_of(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Ra
     for k, x in enumerate(a):
         for i in x:
             at[i] = k
-    fills, other = fills_of(a, lengths), fills_of(b, lengths)
     # Few enough that what they displace can be placed well.
     some = rng.sample(range(len(b)), min(len(b), 4 * PAIRED))
     injected = [b[k] for k in some if other[k] >= WELL_FILLED * capacity and len({at[i] for i in b[k]}) + abs(len(a[at[b[k][0]]]) - len(b[k])) > 1][: rng.randint(1, PAIRED // 8)]
@@ -233,7 +232,7 @@ def evolve(lengths: list[int], capacity: int, seed: int, population: Iterable[Bi
 
     def born(bins: Bins, fills: list[int]) -> None:
         nonlocal made
-        people.append((fitness(bins, lengths, capacity, fills), -made, bins, min(fills, default=0)))
+        people.append((fitness(bins, lengths, capacity, fills), -made, bins, fills))
         people.sort(key=lambda p: p[:2], reverse=True)
         made += 1
 
@@ -246,11 +245,11 @@ def evolve(lengths: list[int], capacity: int, seed: int, population: Iterable[Bi
         born(bins := best_fit(best_fit([], [i for i in everyone if i not in late], lengths, capacity), late, lengths, capacity), fills_of(bins, lengths))
     del people[size:]
     # A gain is a bin less, or a good part of the emptiest one emptied.
-    state = lambda: (len(people[0][2]), people[0][3] * 16 // capacity)
+    state = lambda: (len(people[0][2]), min(people[0][3], default=0) * 16 // capacity)
     best, stale = state(), 0
     while stale < patience and len(people[0][2]) > bound:
         a, b = (max(rng.sample(people, min(2, len(people))), key=lambda p: p[:2]) for _ in range(2))
-        bins, fills = child_of(a[2], b[2], lengths, capacity, rng)
+        bins, fills = child_of(*a[2:], *b[2:], lengths, capacity, rng)
         if all(fitness(bins, lengths, capacity, fills) != p[0] for p in people):
             born(bins, fills)
             del people[size:]

