@@ -30,8 +30,10 @@ def trimmed(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """SF1: plain quotes, dashes and dots, runs of white space as one space, trimmed."""
-    plain = replaced(F.translate(text, "".join(SMART), "".join(SMART.values())), [(ELLIPSIS, "...")])
-    return trimmed(F.regexp_replace(plain, f"{SPACE}+", " "))
+    smart = replaced(F.translate(text, "".join(SMART), "".join(SMART.values())), [(ELLIPSIS, "...")])
+    plain = F.when(text.rlike(f"[{''.join(SMART)}{ELLIPSIS}]"), smart).otherwise(text)
+    # Only runs that are not one space already are replaced; after that a space is all that can stand at either end.
+    return F.trim(F.regexp_replace(plain, f"{SPACE}{{2,}}|(?! ){SPACE}", " "))
 
 
 def unescaped_html(text: Column) -> Column:
@@ -231,10 +233,34 @@ def without_overlap(prefix: Column, completion: Column) -> Column:
 
 
 def cut_at_stops(text: Column, stops: Iterable[str]) -> Column:
-    """WN15: the text before its first stop token."""
-    places = [F.when(F.instr(text, s) > 0, F.instr(text, s)) for s in stops]
+    """WN15: the text before its first stop token.
+
+    A stream is looked at in windows as long as the longest token, so tokens that begin in the last characters, fewer than that, are not stops:
+    the first of each is left out of the rest (Q16).
+    """
+    stops = list(stops)
+    most = max(map(len, stops), default=0)
+    if not most:
+        return text
+    full = F.length(text) - (most - 1)
+    places = [F.when((F.instr(text, s) > 0) & (F.instr(text, s) <= full), F.instr(text, s)) for s in stops]
     first = F.least(*places) if len(places) > 1 else places[0]
-    return F.when(first.isNull(), text).otherwise(F.substring(text, F.lit(1), first - 1))
+    rest = F.substring(text, F.greatest(full, F.lit(0)) + 1, F.length(text))
+    for s in stops:
+        at = F.instr(rest, s)
+        rest = F.when(at > 0, F.concat(F.substring(rest, F.lit(1), at - 1), F.substring(rest, at + len(s), F.length(rest)))).otherwise(rest)
+    return F.when(first.isNotNull(), F.substring(text, F.lit(1), first - 1)).otherwise(F.concat(F.substring(text, F.lit(1), F.greatest(full, F.lit(0))), rest))
+
+
+def cut_at_suffix(text: Column, suffix: Column, size: int = 20) -> Column:
+    """WN15: the text, read character by character, before the place where its last `size` characters, and one more once there are more, are part of the
+    first size * 1.5 characters of what follows it; all of it where the suffix is shorter than `size`."""
+    target = F.substring(F.regexp_replace(suffix, f"^{SPACE}+", ""), 1, size * 3 // 2)
+    windows = F.transform(F.filter(F.sequence(F.lit(1), F.lit(size * 3 // 2 - size)), lambda i: i + size <= F.length(target)), lambda i: F.substring(target, i, F.lit(size + 1)))
+    places = F.filter(F.transform(windows, lambda w: F.instr(text, w)), lambda p: p > 0)
+    head = (F.length(text) >= size) & (F.instr(target, F.substring(text, 1, size)) > 0)
+    at = F.when(head, F.lit(1)).otherwise(F.array_min(places))
+    return F.when((F.length(suffix) < size) | at.isNull(), text).otherwise(F.substring(text, F.lit(1), at - 1))
 
 
 def path_sort_key(path: Column) -> Column:

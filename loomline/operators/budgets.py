@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -63,12 +67,18 @@ def newest_within(messages: DataFrame, by: str, order: str, tokens: Column, budg
     return rows.withColumn("_ok", F.col("_a") | (base + run <= limit)).filter("_ok").drop("_t", "_a", "_ok")
 
 
-def pruned_lines(lines: DataFrame, key: str, tokens: Column, budget: int, keep: str = "last") -> DataFrame:
-    """BG5, BG10: the last or first lines within a budget that also pays for the newlines between them."""
-    order = F.desc("pos") if keep == "last" else F.asc("pos")
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    spent = F.sum(tokens).over(w) + F.count(F.lit(1)).over(w) - 1
-    return lines.withColumn("_s", spent).filter(F.col("_s") <= budget).drop("_s")
+def pruned_lines(lines: str, budget: int, keep: str = "last") -> Column:
+    """BG5, BG10: of an array column the last or first lines within a budget of estimated tokens that also pays for the newlines between them."""
+    costs = F.transform(lines, lambda x: estimated_tokens(x) + 1)
+    start = F.struct(F.lit(-1).cast("long").alias("spent"), F.lit(0).alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        # Costs are not negative, so once the budget is passed, nothing more is counted.
+        spent = acc["spent"] + F.coalesce(x, F.lit(0).cast("long"))
+        return F.struct(spent.alias("spent"), (acc["n"] + (spent <= budget).cast("int")).alias("n"))
+
+    n = F.aggregate(F.reverse(costs) if keep == "last" else costs, start, step)["n"]
+    return F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)) if keep == "last" else F.lit(1), n)
 
 
 def read_within(lines: DataFrame, key: str, tokens: Column, budget: int) -> DataFrame:
@@ -80,39 +90,62 @@ def read_within(lines: DataFrame, key: str, tokens: Column, budget: int) -> Data
     return rows.groupBy(key).agg(text.alias("content"), F.count_if(ok).alias("line_count"), F.coalesce(F.max(F.when(ok, F.col("_s"))), F.lit(0)).alias("token_count"), (F.count_if(~ok) == 0).alias("complete"))
 
 
-def greedy_fill(rows: DataFrame, by: str, order: list[str], tokens: str, budget: int, overhead: int = 0, id_: str = "id") -> DataFrame:
-    """BG7, BG8: takes rows in order as long as each fits what is left, passing over those that don't.
+def _walked(rows: DataFrame, by: str, order: list[str], size: str, begin: Callable[[], Callable[[int], int]], out: str) -> DataFrame:
+    """Rows with what a walk over each key's rows, in order, says of each one's size: keys are sorted runs, state is that of one key."""
 
-    A fold over each key's sorted (order, id, tokens) structs, not its texts; the texts are joined back.
-    """
-    item = F.struct(*order, F.col(id_).alias("_id"), F.col(tokens).cast("long").alias("_t"))
-    packed = rows.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<{rows.schema[id_].dataType.simpleString()}>").alias("ids"))
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, seen, step = None, False, None
+        for batch in batches:
+            made = []
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not seen or k != key:
+                    key, seen, step = k, True, begin()
+                made.append(step(n or 0))
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(made, pa.int64())], schema=pa.schema([pa.field("_row", batch.schema.field(2).type), pa.field("_made", pa.int64())]))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["_t"] + overhead <= acc["left"]
-        return F.struct((acc["left"] - F.when(fits, x["_t"] + overhead).otherwise(F.lit(0))).cast("long").alias("left"), F.when(fits, F.array_append(acc["ids"], x["_id"])).otherwise(acc["ids"]).alias("ids"))
+    laid = rows.repartition(F.col(by)).sortWithinPartitions(by, *order).select(F.col(by).alias("_k"), F.col(size).cast("long").alias("_n"), F.struct(*rows.columns).alias("_row"))
+    schema = StructType([laid.schema["_row"], StructField("_made", LongType())])
+    return laid.mapInArrow(walk, schema).select("_row.*", F.col("_made").alias(out))
+
+
+def greedy_fill(rows: DataFrame, by: str, order: list[str], tokens: str, budget: int, overhead: int = 0) -> DataFrame:
+    """BG7, BG8: takes rows in order as long as each fits what is left, passing over those that don't. A walk over sorted rows, in any number per key."""
 
-    chosen = packed.select(by, F.explode(F.aggregate("_items", start, step)["ids"]).alias(id_))
-    return rows.join(chosen, [by, id_], "left_semi")
+    def begin() -> Callable[[int], int]:
+        left = budget
+
+        def step(n: int) -> int:
+            nonlocal left
+            fits = n + overhead <= left
+            left -= (n + overhead) * fits
+            return int(fits)
+
+        return step
+
+    return _walked(rows, by, order, tokens, begin, "_taken").filter("_taken = 1").drop("_taken")
 
 
 def next_fit(rows: DataFrame, by: str, order: str, size: Column, limit: int = 100_000, most: int = 8_191) -> DataFrame:
     """BG11: batches filled in order: an item that does not fit opens the next; items above `most` go. Ids are kept, so results join by id.
 
-    A fold over each key's sizes in order; keys are what bounds it: give one per file or shard.
+    A walk over each key's rows in order; a key is walked in one task: give one per file or shard.
     """
-    items = rows.withColumn("_t", size).filter(F.col("_t") <= most)
-    packed = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col("_t").cast("long").alias("_t")))).alias("_items"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("batch"), F.array().cast("array<struct<o:bigint,b:bigint>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        opens = acc["sum"] + x["_t"] > limit
-        batch = acc["batch"] + opens.cast("long")
-        return F.struct(F.when(opens, x["_t"]).otherwise(acc["sum"] + x["_t"]).alias("sum"), batch.alias("batch"), F.array_append(acc["out"], F.struct(x["_o"].cast("long").alias("o"), batch.alias("b"))).alias("out"))
+    def begin() -> Callable[[int], int]:
+        held = batch = 0
+
+        def step(n: int) -> int:
+            nonlocal held, batch
+            if held + n > limit:
+                held, batch = n, batch + 1
+            else:
+                held += n
+            return batch
 
-    out = packed.select(by, F.explode(F.aggregate("_items", start, step)["out"]).alias("_e")).select(by, F.col("_e.o").alias(order), F.col("_e.b").alias("batch"))
-    return items.drop("_t").join(out, [by, order])
+        return step
+
+    items = rows.withColumn("_t", size).filter(F.col("_t") <= most)
+    return _walked(items, by, [order], "_t", begin, "batch").drop("_t")
 
 
 def batches_of(rows: DataFrame, by: str, order: str, size: int = 60) -> DataFrame:

@@ -6,7 +6,10 @@ import hashlib
 import json
 import re
 import shlex
+import sys
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -296,49 +299,68 @@ def char_diff(old: str, new: str) -> list[tuple[str, str, int, int]]:
     return [tuple(x) for x in out]
 
 
-_CLOSERS = ("}", "})", "});", ")", "]", "];", "},")
+# Lines that only close something, and how alike lines must be: less so the more old lines lie between them.
+CLOSING = ("}", "});", "})")
+LIKE, DECAY, CLOSING_GAP = 0.48, 0.06, 4
 
 
-def _fuzzy(new: str, old: str, gap: int) -> bool:
-    if new.strip() in ("}", "*", "});", "})"):
-        return new.strip() == old.strip()
-    longest = max(len(new), len(old), 1)
-    return new.strip() != "" and (new.strip() == old.strip() or distance(new, old) / longest <= max(0, 0.48 - gap * 0.06))
+class _OldLines:
+    """Old lines that are still to be matched: where each stands by its trimmed text, and how the nearest ones resemble a new line."""
+
+    def __init__(self, lines: list[str]):
+        self.lines = [x.rstrip() for x in lines]
+        self.places: dict[str, list[int]] = {}
+        for i, x in enumerate(lines):
+            self.places.setdefault(x.strip(), []).append(i)
+
+    def equal_from(self, text: str, at: int) -> int | None:
+        found = self.places.get(text, [])
+        i = bisect_left(found, at)
+        return found[i] if i < len(found) else None
+
+    def like_from(self, line: str, at: int, most: int) -> int | None:
+        """The nearest line with few enough edits among the `most` next ones."""
+        for gap, old in enumerate(self.lines[at : at + most]):
+            size = max(len(line), len(old), 1)
+            allowed = (LIKE - DECAY * gap) * size
+            if abs(len(line) - len(old)) <= allowed and distance(line, old) <= allowed:
+                return at + gap
+        return None
+
+    def nearest(self, line: str, at: int) -> int | None:
+        """Where a new line is matched: blank ones by a blank line that is next; others by the nearest equal or like line."""
+        text = line.strip()
+        if not text:
+            return at if at < len(self.lines) and not self.lines[at].strip() else None
+        equal = self.equal_from(text, at)
+        if text in CLOSING:
+            return equal if equal is not None and equal - at <= CLOSING_GAP else None
+        if text == "*":
+            return equal
+        within = -(-LIKE // DECAY) if equal is None else equal - at
+        like = self.like_from(line.rstrip(), at, int(min(within, -(-LIKE // DECAY))))
+        return equal if like is None else like
 
 
 def stream_diff(old: list[str], new: Iterable[str]) -> list[tuple[str, str]]:
-    """TX17: each new line is matched with the nearest old one that it equals or resembles, the less the further away. Lines that only moved in or out keep the old indentation."""
-    left, out, lenient = list(old), [], False
-    stream = iter(new)
-    for line in stream:
-        if not left:
-            out.append(("new", line))
-            continue
-        hit = None
-        if line.strip() == "" and left[0].strip() == "":
-            hit = (0, True, line.strip())
-        else:
-            for i, candidate in enumerate(left):
-                a, b = line.rstrip(), candidate.rstrip()
-                if i > 4 and line.strip() in _CLOSERS:
-                    break
-                if a == b and a != "":
-                    hit = (i, True, line)
-                elif _fuzzy(a, b, i):
-                    moved = a.lstrip() == b.lstrip() and (lenient or len(line.strip()) > 8)
-                    hit = (i, moved, candidate if moved else line)
-                if hit:
-                    break
+    """TX17: (same | old | new, line): each new line is matched with the nearest old one that it equals or resembles; old lines before that are gone.
+
+    A line that was only indented anew keeps its old indentation if it is longer than eight characters, or once such a line was met.
+    """
+    rest, out, at, kept_indent = _OldLines(list(old)), [], 0, False
+    raw = list(old)
+    for line in new:
+        hit = rest.nearest(line, at)
         if hit is None:
             out.append(("new", line))
             continue
-        at, perfect, text = hit
-        lenient = lenient or text != line
-        out += [("old", x) for x in left[:at]]
-        kept = left[at]
-        del left[: at + 1]
-        out += [("same", kept)] if perfect else [("old", kept), ("new", text)]
-    return out + [("old", x) for x in left]
+        out += [("old", x) for x in raw[at:hit]]
+        was, at = raw[hit], hit + 1
+        blank, alike = not line.strip(), rest.lines[hit] == line.rstrip()
+        moved = not blank and not alike and was.strip() == line.strip() and (kept_indent or len(line.strip()) > 8)
+        kept_indent = kept_indent or (moved and was != line) or (blank and line != "")
+        out += [("same", was)] if blank or alike or moved else [("old", was), ("new", line)]
+    return out + [("old", x) for x in raw[at:]]
 
 
 # SF6, SF7, SF18, SF22, SF24: terminal text, commands, JSON, tags
@@ -430,37 +452,44 @@ def prune_tokens(text: str, most: int, encode: Callable[[str], list[int]], decod
     return text if len(ids) <= most else decode(ids[:most] if keep == "first" else ids[len(ids) - most :])
 
 
-def cache_points(tokens: list[int], least: int, slots: int, before: list[int] = ()) -> list[int]:
-    """XS12: messages after which to set cache points. New ones go where enough tokens have gathered; when slots run out, the two neighbours
-    that cover least are joined, if what is new is worth a fifth more than they cover."""
+def cache_points(tokens: list[int], roles: list[str], least: int, slots: int, before: list[int] = ()) -> list[int]:
+    """XS12: user messages after which to set cache points, each covering at least `least` tokens since the one before its range.
 
-    def place(low: int, high: int) -> int | None:
-        total, found = 0, None
-        for i in range(low, min(high, len(tokens) - 1) + 1):
-            total += tokens[i]
-        if total >= least:
-            found = min(high, len(tokens) - 1)
-        return found
-
-    if len(tokens) <= 1 or not slots:
+    Old points stay. New messages of at least `least` tokens get one after their last user message if a slot is free; else the two neighbours that
+    cover least are joined, if what is new is worth a fifth more than they cover, which may free a slot.
+    """
+    n = len(tokens)
+    if n <= 1:
         return []
-    before = [p for p in before if p < len(tokens)]
+    upto = [0, *accumulate(tokens)]
+    users = [i for i, role in enumerate(roles) if role == "user"]
+
+    def placed(low: int, high: int) -> list[int]:
+        at = bisect_right(users, high) - 1
+        if low >= high or at < 0 or users[at] < low:
+            return []
+        since = max((p + 1 for p in before if p < low), default=0)
+        return [users[at]] if upto[users[at] + 1] - upto[since] >= least else []
+
     if not before:
-        at = place(0, len(tokens) - 1)
-        return [] if at is None else [at]
-    new = sum(tokens[before[-1] + 1 :])
+        out: list[int] = []
+        while len(out) < slots and (more := placed(out[-1] + 1 if out else 0, n - 1)):
+            out += more
+        return out
+    valid, new = [p for p in before if p < n], upto[n] - upto[min(n, before[-1] + 1)]
     if new < least:
-        return before
+        return valid
+    latest = placed(before[-1] + 1, n - 1)
     if slots > len(before):
-        at = place(before[-1] + 1, len(tokens) - 1)
-        return before + ([] if at is None else [at])
-    edges = [-1, *before]
-    covered = [sum(tokens[a + 1 : b + 1]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    gaps = [x + y for x, y in zip(covered[:-1], covered[1:], strict=True)]
-    if not gaps or new < min(gaps) * 1.2:
-        return before
-    drop = gaps.index(min(gaps))
-    return before[:drop] + before[drop + 1 :] + [len(tokens) - 1]
+        return valid + latest
+    # What each point and the next one cover together.
+    edges = [0, *(min(n, p + 1) for p in before)]
+    covered = [upto[edges[k + 2]] - upto[edges[k]] for k in range(len(before) - 1)]
+    if not covered or new < min(covered) * 1.2:
+        return valid
+    k = covered.index(min(covered))
+    joined = [p for p in before[:k] if p < n] + placed(edges[k], before[k + 1]) + [p for p in before[k + 2 :] if p < n]
+    return joined + (latest if len(joined) < slots else [])
 
 
 def completion_kind(current: str, completion: str) -> str:
@@ -495,6 +524,111 @@ def ignored(path: str, patterns: Iterable[str]) -> bool:
     return out
 
 
+_LINES = lambda t: t.split("\n")
+_PIECE = "array<struct<kind:string,line:string>>"
+
+
+def line_diffs(old: Column, new: Column) -> Column:
+    """TX15 as a column: (kind, line) of each line of two texts."""
+    return mapped(lambda a, b: [{"kind": k, "line": x} for k, x in line_diff(a or "", b or "")], _PIECE)(old, new)
+
+
+def stream_diffs(old: Column, new: Column) -> Column:
+    """TX17 as a column: (kind, line) of each line of two texts."""
+    return mapped(lambda a, b: [{"kind": k, "line": x} for k, x in stream_diff(_LINES(a or ""), _LINES(b or ""))], _PIECE)(old, new)
+
+
+def char_diffs(old: Column, new: Column) -> Column:
+    """TX16 as a column: (kind, characters, place in the old text, place in the new one)."""
+    kind = "array<struct<kind:string,chars:string,old:int,new:int>>"
+    return mapped(lambda a, b: [dict(zip(("kind", "chars", "old", "new"), x, strict=True)) for x in char_diff(a or "", b or "")], kind)(old, new)
+
+
+def subsequences(a: Column, b: Column) -> Column:
+    """TX10 as a column."""
+    return mapped(lambda x, y: common_subsequence(x or "", y or ""), "string")(a, b)
+
+
+def extreme_repetitions(text: Column) -> Column:
+    """TX11 as a column."""
+    return mapped(lambda t: extreme_repetition(t or ""), "boolean")(text)
+
+
+def windows(text: Column, chunk: Column, low: Column | None = None, high: Column | None = None) -> Column:
+    """TX6 as a column: (score, first line) of the window most like the chunk, -1 where there is none."""
+    n = F.size(F.split(text, "\n"))
+    run = mapped(lambda t, c, a, b: dict(zip(("score", "line"), best_window(_LINES(t or ""), c or "", a, b), strict=True)), "struct<score:double,line:int>")
+    return run(text, chunk, F.lit(0) if low is None else low, n if high is None else high)
+
+
+def edited(text: Column, diff: Column, threshold: float = 1.0, buffer: int = 40) -> Column:
+    """TX7, XS22 as a column: the text with the blocks of a diff applied, NULL where one is not found. For many files, group diffs by file first."""
+    return mapped(lambda t, d: None if t is None or d is None else apply_edits(t, d, threshold, buffer), "string")(text, diff)
+
+
+def edited_files(files: DataFrame, diffs: DataFrame, path: str, text: str, order: str, diff: str = "diff") -> DataFrame:
+    """XS22: each file with its diffs' blocks, in order, applied; files without diffs stay as they are, those whose blocks are not found are NULL."""
+    per = diffs.groupBy(path).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, diff))), lambda x: x[diff]), "\n").alias("_diff"))
+    joined = files.join(per, path, "left")
+    return joined.withColumn(text, F.when(F.col("_diff").isNull(), F.col(text)).otherwise(edited(F.col(text), F.col("_diff")))).drop("_diff")
+
+
+def sought(text: Column, pattern: Column, start: int = 0, at_end: bool = False) -> Column:
+    """TX8 as a column: the line where a sequence of lines stands, NULL if nowhere."""
+    return mapped(lambda t, p: seek(_LINES(t or ""), _LINES(p) if p else [], start, at_end), "int")(text, pattern)
+
+
+def commands(line: Column) -> Column:
+    """SF18 as a column."""
+    return mapped(lambda x: split_commands(x or ""), "array<string>")(line)
+
+
+def merged_json(a: Column, b: Column, overwrite: bool = False) -> Column:
+    """SF22 as a column: NULL where either is no JSON."""
+    return mapped(lambda x, y: None if x is None or y is None else merge_json(x, y, overwrite), "string")(a, b)
+
+
+def token_count(text: Column, tokenizer: str) -> Column:
+    """BG15 as a column: tokens by a tokenizer file, for prompts with the caller's margin of a half, rounded up."""
+
+    def count(t: str | None) -> int:
+        from tokenizers import Tokenizer
+
+        kept = vars(sys.modules["tokenizers"]).setdefault("_kept", {})
+        if tokenizer not in kept:
+            kept[tokenizer] = Tokenizer.from_file(tokenizer)
+        return -(-len(kept[tokenizer].encode(t or "", add_special_tokens=False).ids) * 3 // 2)
+
+    return mapped(count, "long")(text)
+
+
+def pruned_tokens(text: Column, most: int, tokenizer: str, keep: str = "first") -> Column:
+    """BG6 as a column: the first or last tokens of a text, by a tokenizer file."""
+
+    def prune(t: str | None) -> str | None:
+        from tokenizers import Tokenizer
+
+        kept = vars(sys.modules["tokenizers"]).setdefault("_kept", {})
+        if tokenizer not in kept:
+            kept[tokenizer] = Tokenizer.from_file(tokenizer)
+        own = kept[tokenizer]
+        return None if t is None else prune_tokens(t, most, lambda x: own.encode(x, add_special_tokens=False).ids, own.decode, keep)
+
+    return mapped(prune, "string")(text)
+
+
+def cache_points_of(messages: DataFrame, by: str, order: str, tokens: str, role: str, least: int, slots: int) -> DataFrame:
+    """XS12 over a log: per conversation the indexes of the messages after which to set cache points."""
+    packed = messages.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("n"), F.col(role).alias("r")))).alias("_m"))
+    points = mapped(lambda m: cache_points([x["n"] or 0 for x in m], [x["r"] for x in m], least, slots), "array<int>")
+    return packed.select(by, points("_m").alias("points"))
+
+
+def completion_kinds(current: Column, completion: Column) -> Column:
+    """XS20 as a column."""
+    return mapped(lambda a, b: completion_kind(a or "", b or ""), "string")(current, completion)
+
+
 def seen_files(files: DataFrame, path: str, patterns: list[str]) -> DataFrame:
     """FL11, SC9, SC10: files that the patterns don't ignore."""
     hidden = mapped(lambda p: ignored(p, patterns), "boolean")

@@ -196,32 +196,36 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: st
 
 
 def as_of_version(queries: DataFrame, settings: DataFrame, query_version: str = "version", setting_version: str = "since", value: str = "value") -> DataFrame:
-    """JN11: for each query the setting of the highest version not above its own; pre-release suffixes are ignored."""
-    q = queries.withColumn("_v", semver(F.col(query_version)))
-    s = settings.select(semver(F.col(setting_version)).alias("_s"), F.col(value).alias("_value"), F.col(setting_version).alias("_since"))
-    hit = q.join(s, F.col("_s") <= F.col("_v"), "left")
-    return hit.groupBy(*queries.columns).agg(F.max_by("_value", "_s").alias(value), F.max_by("_since", "_s").alias("matched"))
+    """JN11: each query with the setting of the highest version not above its own; pre-release suffixes are ignored.
+
+    Distinct versions, of which there are few, are merged with the settings in one window and joined back by equality: no pairs are tried.
+    """
+    versions = queries.select(F.col(query_version).alias("_q")).distinct().select("_q", F.lit(0).alias("_k"), semver(F.col("_q")).alias("_v"))
+    known = settings.select(F.lit(0).alias("_k"), semver(F.col(setting_version)).alias("_s"), F.struct(F.col(setting_version).alias("since"), F.col(value).alias("value")).alias("_value"))
+    hit = as_of(versions, known, "_k", "_v", "_s", "_value").select("_q", F.col("_value.value").alias(value), F.col("_value.since").alias("matched"))
+    return queries.join(hit, F.col(query_version).eqNullSafe(F.col("_q")), "left").drop("_q")
 
 
-def longest_prefix(queries: DataFrame, prefixes: DataFrame, text: str, prefix: str = "prefix", max_length: int | None = None) -> DataFrame:
-    """JN12, JN15: the longest prefix of each text, ignoring case; `*` matches all texts with length 1; NULL if none.
+def longest_prefix(queries: DataFrame, prefixes: DataFrame, text: str, prefix: str = "prefix") -> DataFrame:
+    """JN12, JN15: the longest prefix of each text, ignoring case; `*` matches all texts with length 1; NULL if none. Repeated rows stay.
 
-    Each text is exploded into those of its beginnings whose lengths occur among the prefixes, and these are joined by equality.
+    Each distinct text is exploded into those of its beginnings whose lengths occur among the prefixes; these are joined by equality, and the best
+    one per text is joined back.
     """
     p = prefixes.select(F.col(prefix).alias("_prefix"), F.lower(F.trim(prefix)).alias("_key")).distinct()
     sizes = p.filter("_key <> '*'").agg(F.sort_array(F.collect_set(F.length("_key"))).alias("_sizes"))
-    low = F.lower(F.trim(text))
-    q = queries.crossJoin(F.broadcast(sizes)).withColumn("_key", F.explode_outer(F.array_append(F.transform(F.filter("_sizes", lambda n: n <= F.length(low)), lambda n: F.substring(low, F.lit(1), n)), F.lit("*"))))
-    hit = q.join(p, "_key", "left")
-    best = F.max(F.when(F.col("_prefix").isNotNull(), F.struct(F.when(F.col("_key") == "*", 1).otherwise(F.length("_key")).alias("n"), F.col("_key") != "*", F.col("_prefix").alias("p"))))
-    return hit.groupBy(*queries.columns).agg(best["p"].alias("matched"), best["n"].alias("matched_length"))
+    low = F.lower(F.trim("_text"))
+    q = queries.select(F.col(text).alias("_text")).filter("_text is not null").distinct().crossJoin(F.broadcast(sizes))  # one row
+    q = q.select("_text", F.explode(F.array_append(F.transform(F.filter("_sizes", lambda n: n <= F.length(low)), lambda n: F.substring(low, F.lit(1), n)), F.lit("*"))).alias("_key"))
+    best = F.max(F.struct(F.when(F.col("_key") == "*", 1).otherwise(F.length("_key")).alias("n"), F.col("_key") != "*", F.col("_prefix").alias("p")))
+    hit = q.join(p, "_key").groupBy("_text").agg(best.alias("_best"))
+    return queries.join(hit, F.col(text) == F.col("_text"), "left").select(*queries.columns, F.col("_best.p").alias("matched"), F.col("_best.n").alias("matched_length"))
 
 
 def approval(commands: DataFrame, allowed: DataFrame, denied: DataFrame, text: str) -> DataFrame:
     """JN13: approve if the allowed prefix is strictly longer than the denied one; deny if only denied or not shorter; else ask."""
     a = longest_prefix(commands, allowed, text).withColumnsRenamed({"matched": "allowed", "matched_length": "allowed_length"})
-    d = longest_prefix(commands, denied, text).withColumnsRenamed({"matched": "denied", "matched_length": "denied_length"})
-    both = a.join(d, commands.columns)
+    both = longest_prefix(a, denied, text).withColumnsRenamed({"matched": "denied", "matched_length": "denied_length"})
     decision = F.when(F.col("allowed").isNotNull() & (F.col("denied").isNull() | (F.col("allowed_length") > F.col("denied_length"))), "approve").when(F.col("denied").isNotNull(), "deny").otherwise("ask")
     return both.withColumn("decision", decision)
 
@@ -229,17 +233,18 @@ def approval(commands: DataFrame, allowed: DataFrame, denied: DataFrame, text: s
 def suggestion(requests: DataFrame, history: DataFrame) -> DataFrame:
     """JN14: the latest suggestion that fits: same prefix and suffix; typed part of it; or its prefix was shortened from the end.
 
-    requests: req, prefix, suffix. history: seq, prefix, suffix, text.
+    requests: req, prefix, suffix. history: seq, prefix, suffix, text. A suggestion fits a request if the request's prefix begins what the
+    suggestion's prefix and text make together, and what is left of that is the answer. So each is exploded into those of its beginnings
+    whose lengths occur among requests, the latest per beginning is kept, and requests are joined by equality.
     """
-    h = history.select("seq", F.col("prefix").alias("h_prefix"), F.col("suffix").alias("h_suffix"), "text")
-    j = requests.join(h, (F.col("suffix") == F.col("h_suffix")) & (F.startswith("prefix", "h_prefix") | F.startswith("h_prefix", "prefix")))
-    typed = F.substring("prefix", F.length("h_prefix") + 1, F.length("prefix"))
-    deleted = F.substring("h_prefix", F.length("prefix") + 1, F.length("h_prefix"))
-    kind = F.when(F.col("prefix") == F.col("h_prefix"), "exact").when((F.col("text") != "") & F.startswith("prefix", "h_prefix") & F.startswith("text", typed), "typing").when((F.col("text") != "") & (F.col("prefix") != "") & F.startswith("h_prefix", "prefix"), "deletion")
-    out = F.when(F.col("kind") == "exact", F.col("text")).when(F.col("kind") == "typing", F.substring("text", F.length(typed) + 1, F.length("text"))).otherwise(F.concat(deleted, F.col("text")))
-    rank = F.row_number().over(Window.partitionBy("req").orderBy(F.desc("seq")))
-    hit = j.withColumn("kind", kind).filter("kind is not null").withColumn("_n", rank).filter("_n = 1")
-    return hit.select("req", "kind", out.alias("suggestion"))
+    sizes = requests.agg(F.collect_set(F.length("prefix")).alias("_sizes"))
+    known = history.select("seq", "suffix", "text", F.length("prefix").alias("_own"), F.concat("prefix", "text").alias("_whole")).crossJoin(F.broadcast(sizes))  # one row
+    fits = F.filter("_sizes", lambda n: (n == F.col("_own")) | ((F.col("text") != "") & (n > 0) & (n <= F.length("_whole"))))
+    each = known.select("seq", "suffix", "_own", "_whole", F.explode(fits).alias("_n")).withColumn("prefix", F.substring("_whole", F.lit(1), F.col("_n")))
+    kind = F.when(F.col("_n") == F.col("_own"), "exact").when(F.col("_n") > F.col("_own"), "typing").otherwise("deletion")
+    rest = F.substring("_whole", F.col("_n") + 1, F.length("_whole"))
+    latest = each.groupBy("suffix", "prefix").agg(F.max_by(F.struct(kind.alias("kind"), rest.alias("suggestion")), "seq").alias("_hit"))
+    return requests.join(latest, ["suffix", "prefix"]).select("req", "_hit.kind", "_hit.suggestion")
 
 
 def tool_result_check(uses: DataFrame, results: DataFrame, conv: str = "conv_id") -> DataFrame:

@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from loomline.functions.text import normalized, symbols, trimmed
 
 
-def grep(lines: DataFrame, key: str, pattern: str, context: int = 1, files: int = 300) -> DataFrame:
+def grep(rows: DataFrame, key: str, lines: str, pattern: str, context: int = 1, files: int = 300) -> DataFrame:
     """TX1: lines that match, with lines around them; touching ones are one block. At most `files` texts, in order of their key.
 
-    Contexts are found by windows over each text's lines, never by joining lines with lines.
+    `lines` is an array column. Blocks are found in the row that holds it: places near a hit, cut where one is missing.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    hit = F.col("line").rlike(pattern)
-    near = F.max(F.col("_hit").cast("int")).over(w.rowsBetween(-context, context)) == 1
-    rows = lines.withColumn("_hit", hit).withColumn("_near", near).filter("_near")
-    rows = rows.withColumn("_gap", (F.col("pos") - F.lag("pos").over(w) > 1).cast("int")).withColumn("_b", F.sum(F.coalesce("_gap", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    chosen = rows.select(key).distinct().orderBy(key).limit(files)
-    blocks = rows.join(chosen, key).groupBy(key, "_b").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count_if("_hit").alias("matches"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return blocks.drop("_b")
+    rows = rows.withColumn("_h", F.transform(lines, lambda x: x.rlike(pattern))).filter(F.exists("_h", lambda h: h)).orderBy(key).limit(files)
+    hits = F.filter(F.transform("_h", lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
+    # Each hit's surroundings, those that touch the ones before joined: hits ascend, so one fold over them does.
+    around = F.zip_with(hits, F.array_repeat(F.size("_h") - 1, F.size(hits)), lambda i, n: F.struct(F.greatest(i - context, F.lit(0)).alias("start"), F.least(i + context, n).alias("end")))
+    rows = rows.withColumn("_a", around)
+    after = F.concat(F.transform(F.slice("_a", F.lit(2), F.size("_a")), lambda x: x["start"]), F.array(F.lit(1 << 30)))
+    before = F.concat(F.array(F.lit(-2)), F.transform(F.slice("_a", F.lit(1), F.size("_a") - 1), lambda x: x["end"]))
+    starts = F.filter(F.zip_with("_a", before, lambda x, e: F.when(x["start"] - e > 1, x["start"])), lambda p: p.isNotNull())
+    ends = F.filter(F.zip_with("_a", after, lambda x, s: F.when(s - x["end"] > 1, x["end"])), lambda p: p.isNotNull())
+    blocks = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    each = rows.select(key, lines, "_h", F.explode(blocks).alias("_b")).select(key, "_b.*", F.slice(lines, F.col("_b.start") + 1, F.col("_b.end") - F.col("_b.start") + 1).alias("_l"), F.slice("_h", F.col("_b.start") + 1, F.col("_b.end") - F.col("_b.start") + 1).alias("_m"))
+    return each.select(key, "start", "end", F.size(F.filter("_m", lambda h: h)).cast("long").alias("matches"), F.array_join("_l", "\n").alias("text"))
 
 
 def fuzzy_find(rows: DataFrame, text: str, query: str, limit: int = 20) -> DataFrame:

@@ -19,9 +19,25 @@ def lines_of(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
-def joined_lines(lines: DataFrame, key: str, pos: str = "pos", line: str = "line") -> DataFrame:
-    """WN14: the lines of each key, in order, with newlines between."""
-    return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, line))), lambda x: x[line]), "\n").alias("text"))
+# Operators over a text's own lines work on the array of them, in the row that holds it: nothing is exploded, shuffled or collected again.
+# `lines` is the name of an array column. What a lambda captures may be evaluated for each element, so neighbours, places and limits are zipped to
+# the elements instead of looked up from inside.
+
+
+def joined_lines(lines: Column) -> Column:
+    """WN14: lines with newlines between."""
+    return F.array_join(lines, "\n")
+
+
+def with_runs(rows: DataFrame, lines: str, out: str = "_runs") -> DataFrame:
+    """Runs of equal neighbours of an array column, as structs: line, begin, end (exclusive), last (whether it is the last run)."""
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))))
+    pairs = F.zip_with(lines, before, lambda x, y: F.struct(x.alias("line"), (~x.eqNullSafe(y)).alias("opens")))
+    heads = F.filter(F.transform(pairs, lambda p, i: F.struct(p["line"].alias("line"), i.alias("begin"), p["opens"].alias("opens"))), lambda h: h["opens"])
+    rows = rows.withColumn("_heads", heads)
+    n = F.size("_heads")
+    ends = F.concat(F.transform(F.slice("_heads", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda h: F.struct(h["begin"].alias("end"), F.lit(False).alias("last"))), F.array_repeat(F.struct(F.size(lines).alias("end"), F.lit(True).alias("last")), F.least(n, F.lit(1))))
+    return rows.withColumn(out, F.zip_with("_heads", ends, lambda h, e: F.struct(h["line"].alias("line"), h["begin"].alias("begin"), e["end"].alias("end"), e["last"].alias("last")))).drop("_heads")
 
 
 def time_to_next(messages: DataFrame, by: str, ts: str, order: str) -> DataFrame:
@@ -61,33 +77,45 @@ def logged_once(messages: DataFrame, by: list[str], order: str, payload: str) ->
     return messages.withColumn("_same", F.lag(payload).over(w).eqNullSafe(F.col(payload)) & (F.row_number().over(w) > 1)).filter(~F.col("_same")).drop("_same")
 
 
-def run_length_encoded(lines: DataFrame, key: str) -> DataFrame:
-    """WN7: repeated lines as one and a note, where that is shorter. Inside a text the note is compared with all copies, at its end with all but one.
+def run_length_encoded(rows: DataFrame, lines: str, out: str = "encoded") -> DataFrame:
+    """WN7: repeated lines as one and a note, where that is shorter. Inside a text the note is compared with all copies, at its end with all but one."""
+    ended = F.transform(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.concat(x, F.lit("\n")))
+    whole = F.concat(ended, F.slice(lines, F.greatest(F.size(lines), F.lit(1)), F.lit(1)))
+    rows = with_runs(rows.withColumn("_whole", F.filter(whole, lambda x: x != "")), "_whole")
 
-    lines: key, pos, line without its newline, last (whether it is the text's last line, which has none).
-    """
-    ends = lines.withColumn("_text", F.when(F.col("last"), F.col("line")).otherwise(F.concat("line", F.lit("\n")))).filter("_text <> ''")
-    runs = islands(ends, [key], "pos", F.col("_text")).groupBy(key, "_island").agg(F.min("pos").alias("pos"), F.first("_text").alias("t"), (F.count(F.lit(1)) - 1).alias("more"))
-    final = F.max("pos").over(Window.partitionBy(key)) == F.col("pos")
-    note = F.format_string("<previous line repeated %d additional times>\n", F.col("more"))
-    made = runs.withColumn("_final", final).select(key, "pos", F.when((F.col("more") > 0) & (F.length(note) < F.length("t") * (F.col("more") + F.when(F.col("_final"), 0).otherwise(1))), F.concat("t", note)).otherwise(F.repeat("t", (F.col("more") + 1).cast("int"))).alias("t"))
-    return made.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "").alias("encoded"))
+    def put(r: Column) -> Column:
+        more = r["end"] - r["begin"] - 1
+        note = F.format_string("<previous line repeated %d additional times>\n", more)
+        pays = F.length(note) < F.length(r["line"]) * (more + F.when(r["last"], 0).otherwise(1))
+        return F.when((more > 0) & pays, F.concat(r["line"], note)).otherwise(F.repeat(r["line"], more + 1))
 
+    return rows.withColumn(out, F.array_join(F.transform("_runs", put), "")).drop("_whole", "_runs")
 
-def taken_while(lines: DataFrame, key: str, stop: Column) -> DataFrame:
-    """Lines before the first one that `stop` holds for."""
-    before = F.max(F.coalesce(stop, F.lit(False))).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("_stop", before).filter(~F.col("_stop")).drop("_stop")
+
+def before_first(lines: str, stop) -> Column:
+    """The lines before the first one for which stop(line, place) holds."""
+    at = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(stop(x, i), i)), lambda i: i.isNotNull()))
+    return F.slice(lines, F.lit(1), F.coalesce(at, F.size(lines)))
 
 
-def stop_at_repeats(lines: DataFrame, key: str, most: int = 3) -> DataFrame:
-    """WN8: up to the `most`-th equal line in a row; of repeats only the first."""
-    return taken_while(islands(lines, [key], "pos", F.col("line")), key, F.col("_run") >= most).filter("_run = 1").drop("_island", "_run")
+def stop_at_repeats(rows: DataFrame, lines: str, most: int = 3, out: str = "kept") -> DataFrame:
+    """WN8: (pos, line) up to the `most`-th equal line in a row; of repeats only the first."""
+    rows = with_runs(rows, lines)
+    long = F.transform("_runs", lambda r: F.when(r["end"] - r["begin"] >= most, r["begin"]))
+    cut = F.coalesce(F.array_min(long), F.size(lines))
+    marked = F.zip_with("_runs", F.array_repeat(cut, F.size("_runs")), lambda r, c: F.struct(r["begin"].alias("pos"), r["line"].alias("line"), (r["begin"] <= c).alias("stays")))
+    return rows.withColumn(out, F.transform(F.filter(marked, lambda m: m["stays"]), lambda m: F.struct(m["pos"].alias("pos"), m["line"].alias("line")))).drop("_runs")
 
 
-def stop_at_blank(lines: DataFrame, key: str) -> DataFrame:
-    """WN9: up to the first blank line after the first line."""
-    return taken_while(lines, key, (trimmed(F.col("line")) == "") & (F.col("pos") > 0))
+def stop_at_blank(lines: str) -> Column:
+    """WN9: the lines up to the first blank one after the first."""
+    return before_first(lines, lambda x, i: (i > 0) & (trimmed(x) == ""))
+
+
+def taken_while(lines: DataFrame, key: str, stop: Column) -> DataFrame:
+    """Lines before the first one that `stop` holds for."""
+    before = F.max(F.coalesce(stop, F.lit(False))).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return lines.withColumn("_stop", before).filter(~F.col("_stop")).drop("_stop")
 
 
 def stop_at_lines(lines: DataFrame, key: str, stops: Iterable[str], exact: bool = False) -> DataFrame:
@@ -257,38 +285,41 @@ def _is_output(r: dict) -> bool:
 
 
 def fold_commands(rows: list[dict]) -> list[dict]:
-    """WN6 on one task."""
+    """WN6 on one task: one walk, in which each command and each server request gathers what follows up to the next of its kind."""
     merged: dict[int, str] = {}
-    used: set[int] = set()
+    ends = {kind: _next_places([r["type"] == "ask" and r["ask"] == kind for r in rows]) for kind in ("command", "use_mcp_server")}
     skip_to = 0
     for i, r in enumerate(rows):
-        if i < skip_to or r["type"] != "ask":
+        if i < skip_to or r["type"] != "ask" or r["ask"] not in ends:
             continue
-        after = rows[i + 1 :]
+        after = range(i + 1, ends[r["ask"]][i])
         if r["ask"] == "use_mcp_server":
-            end = next((k for k, x in enumerate(after) if x["type"] == "ask" and x["ask"] == "use_mcp_server"), len(after))
-            answers = [k for k in range(end) if after[k]["say"] == "mcp_server_response"]
-            if answers:
-                merged[i] = json.dumps({**_parsed(r["text"]), "response": "\n".join(after[k]["text"] or "" for k in answers)}, separators=(",", ":"), ensure_ascii=False)
-        elif r["ask"] == "command":
-            end = next((k for k, x in enumerate(after) if x["type"] == "ask" and x["ask"] == "command"), len(after))
-            outputs = [k for k in range(end) if _is_output(after[k])]
-            text, body, last = r["text"] or "", "", None
-            for k in outputs:
-                kind, said = after[k]["type"], after[k]["text"] or ""
-                # The same output asked and said in turn counts once.
-                if said and not (last and last[0] != kind and last[1] == said):
-                    body += ("\n" if last and body else "") + said
-                last = (kind, said)
-            merged[i] = text + (f"\n{OUTPUT_MARK}{body}" if outputs else "")
-            used.update(outputs)
-            if outputs:
-                # What lies between a command and its last output is passed over.
-                skip_to = i + 2 + outputs[-1]
+            if answers := [rows[k]["text"] or "" for k in after if rows[k]["say"] == "mcp_server_response"]:
+                merged[i] = json.dumps({**_parsed(r["text"]), "response": "\n".join(answers)}, separators=(",", ":"), ensure_ascii=False)
+            continue
+        outputs = [k for k in after if _is_output(rows[k])]
+        body, last = "", None
+        for kind, said in ((rows[k]["type"], rows[k]["text"] or "") for k in outputs):
+            # The same output asked and said in turn counts once.
+            if said and not (last and last[0] != kind and last[1] == said):
+                body += ("\n" if last and body else "") + said
+            last = (kind, said)
+        merged[i] = (r["text"] or "") + (f"\n{OUTPUT_MARK}{body}" if outputs else "")
+        # What lies between a command and its last output is passed over.
+        skip_to = outputs[-1] + 1 if outputs else skip_to
     gone = lambda r: _is_output(r) or r["say"] == "mcp_server_response"
     return [{**r, "text": merged.get(i, r["text"])} for i, r in enumerate(rows) if not gone(r)]
 
 
+def _next_places(flags: list[bool]) -> list[int]:
+    """For each place the next one, after it, whose flag is set; else the end."""
+    out, at = [0] * len(flags), len(flags)
+    for i in range(len(flags) - 1, -1, -1):
+        out[i] = at
+        at = i if flags[i] else at
+    return out
+
+
 def folded_commands(messages: DataFrame, by: str = "task_id") -> DataFrame:
     """WN6: commands with their outputs, server requests with their responses. Merged by position, so equal timestamps do no harm."""
     return _folded(messages, fold_commands, by)
@@ -341,8 +372,9 @@ def last_users(messages: DataFrame, by: str, order: str, most: int = 2) -> DataF
     return messages.filter("role = 'user'").withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
 
 
-def dedented(lines: DataFrame, key: str) -> DataFrame:
+def dedented(lines: str) -> Column:
     """XS19: lines less the least indentation of those that aren't blank."""
-    indent = F.length(F.regexp_extract("line", r"^([ \t]*)", 1))
-    least = F.min(F.when(trimmed(F.col("line")) != "", indent)).over(Window.partitionBy(key))
-    return lines.withColumn("_i", F.coalesce(least, F.lit(0))).withColumn("line", F.expr("substring(line, _i + 1)")).drop("_i")
+    indents = F.transform(lines, lambda x: F.when(trimmed(x) != "", F.length(F.regexp_extract(x, r"^([ \t]*)", 1))))
+    least = F.coalesce(F.array_min(F.filter(indents, lambda n: n.isNotNull())), F.lit(0))
+    # zip_with carries the least indentation to each line, so that it is found once.
+    return F.zip_with(lines, F.array_repeat(least, F.size(lines)), lambda x, n: F.substring(x, n + 1, F.length(x)))

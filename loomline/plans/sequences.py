@@ -19,6 +19,11 @@ def _lines(t):
     return S.lines_of(t("documents"), "doc_id", "text")
 
 
+def _texts(t):
+    """Each text's lines as an array."""
+    return t("documents").select("doc_id", F.split("text", "\n").alias("l"))
+
+
 @query("wn01_time_to_next", """
 WITH g AS (SELECT event_id, user_id, greatest(0, epoch_us(lead(ts) OVER w) // 1000 - epoch_us(ts) // 1000) AS gap, lead(ts) OVER w IS NOT NULL AS more FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 h AS (SELECT event_id, user_id, CASE WHEN more THEN gap END AS gap FROM g)
@@ -56,8 +61,7 @@ _WORDS_AS_LINES = "(SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(
 
 def _words_as_lines(t):
     """Words as lines: the driver's texts repeat words, not lines."""
-    rows = t("documents").select("doc_id", F.split(F.replace(F.col("text"), F.lit(" "), F.lit("\n")), "\n").alias("l"))
-    return rows.select("doc_id", F.size("l").alias("n"), F.posexplode("l").alias("pos", "line"))
+    return t("documents").select("doc_id", F.split(F.replace(F.col("text"), F.lit(" "), F.lit("\n")), "\n").alias("l"))
 
 
 @query("wn07_run_length", f"""
@@ -69,8 +73,8 @@ r AS (SELECT doc_id, island, min(pos) AS pos, any_value(t) AS t, count(*) - 1 AS
 e AS (SELECT *, '<previous line repeated ' || more || ' additional times>' || chr(10) AS note, max(pos) OVER (PARTITION BY doc_id) = pos AS final FROM r)
 SELECT doc_id, sha256(string_agg(CASE WHEN more > 0 AND length(note) < length(t) * (more + CASE WHEN final THEN 0 ELSE 1 END) THEN t || note ELSE repeat(t, (more + 1)::INT) END, '' ORDER BY pos)) AS encoded FROM e GROUP BY 1""")
 def _(t, spark):
-    lines = _words_as_lines(t).withColumn("last", F.col("pos") == F.col("n") - 1).drop("n")
-    return S.run_length_encoded(lines, "doc_id").select("doc_id", F.sha2("encoded", 256).alias("encoded"))
+    made = S.run_length_encoded(_words_as_lines(t), "l").filter("encoded <> ''")
+    return made.select("doc_id", F.sha2("encoded", 256).alias("encoded"))
 
 
 @query("wn08_stop_at_repeats", f"""
@@ -80,19 +84,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY pos) AS
 c AS (SELECT *, coalesce(min(CASE WHEN run >= 3 THEN pos END) OVER (PARTITION BY doc_id), 1000000000) AS cut FROM r)
 SELECT doc_id, count(*) AS n, max(pos)::BIGINT AS last FROM c WHERE pos < cut AND run = 1 GROUP BY 1""")
 def _(t, spark):
-    return S.stop_at_repeats(_words_as_lines(t).drop("n"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").cast("long").alias("last"))
+    kept = S.stop_at_repeats(_words_as_lines(t), "l")
+    return kept.select("doc_id", F.size("kept").cast("long").alias("n"), F.element_at("kept", -1)["pos"].cast("long").alias("last"))
 
 
 @query("wn09_stop_at_blank", f"""
 WITH c AS (SELECT doc_id, pos, line, coalesce(min(CASE WHEN pos > 0 AND regexp_replace(line, '\\s', '', 'g') = '' THEN pos END) OVER (PARTITION BY doc_id), 1000000000) AS cut FROM {_LINES})
 SELECT doc_id, count(*) AS n FROM c WHERE pos < cut GROUP BY 1""")
 def _(t, spark):
-    return S.stop_at_blank(_lines(t), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return _texts(t).select("doc_id", F.size(S.stop_at_blank("l")).cast("long").alias("n"))
 
 
 @query("wn14_joined_lines", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def _(t, spark):
-    return S.joined_lines(_lines(t), "doc_id").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return _texts(t).select("doc_id", F.sha2(S.joined_lines(F.col("l")), 256).alias("digest"))
 
 
 @query("wn22_numbered", "SELECT l_orderkey, l_linenumber, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1)::BIGINT AS index FROM lineitem")
@@ -141,8 +146,8 @@ def _(t, spark):
 WITH s AS (SELECT doc_id, pos, sum(ceil(length(line) / 4.0)::BIGINT) OVER w + count(*) OVER w - 1 AS spent FROM {_LINES} WINDOW w AS (PARTITION BY doc_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING))
 SELECT doc_id, count(*) AS n, min(pos)::BIGINT AS first FROM s WHERE spent <= 200 GROUP BY 1""")
 def _(t, spark):
-    kept = B.pruned_lines(_lines(t), "doc_id", B.estimated_tokens(F.col("line")), 200)
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("long").alias("first"))
+    n = _texts(t).select("doc_id", F.size("l").alias("of"), F.size(B.pruned_lines("l", 200)).cast("long").alias("n")).filter("n > 0")
+    return n.select("doc_id", "n", (F.col("of") - F.col("n")).cast("long").alias("first"))
 
 
 @query("bg07_greedy_fill", """
@@ -152,7 +157,7 @@ f AS (SELECT k, i, CASE WHEN n <= 60 THEN 60 - n ELSE 60 END AS room, n <= 60 AS
 SELECT k AS l_orderkey, (i - 1)::BIGINT AS place FROM f WHERE taken""")
 def _(t, spark):
     rows = S.numbered(t("lineitem"), ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_orderkey").select("l_orderkey", F.col("index").cast("long").alias("place"), F.col("l_quantity").cast("long").alias("n"))
-    return B.greedy_fill(rows, "l_orderkey", ["place"], "n", 60, id_="place").select("l_orderkey", "place")
+    return B.greedy_fill(rows, "l_orderkey", ["place"], "n", 60).select("l_orderkey", "place")
 
 
 @query("bg09_opened_files", """
@@ -171,7 +176,8 @@ f AS (SELECT source, doc_id, i, n AS held, 0::BIGINT AS batch FROM r WHERE i = 1
   UNION ALL SELECT r.source, r.doc_id, r.i, CASE WHEN f.held + r.n > 4000 THEN r.n ELSE f.held + r.n END, f.batch + CASE WHEN f.held + r.n > 4000 THEN 1 ELSE 0 END FROM f JOIN r ON r.source = f.source AND r.i = f.i + 1)
 SELECT doc_id, batch FROM f""")
 def _(t, spark):
-    return B.next_fit(t("documents").select("source", "doc_id", "text"), "source", "doc_id", B.estimated_tokens(F.col("text")), 4000, 2000).select("doc_id", "batch")
+    sizes = t("documents").select("source", "doc_id", B.estimated_tokens(F.col("text")).alias("n"))
+    return B.next_fit(sizes, "source", "doc_id", F.col("n"), 4000, 2000).select("doc_id", "batch")
 
 
 @query("bg12_batches", "SELECT doc_id, ((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 60)::BIGINT AS batch FROM documents")
@@ -248,5 +254,5 @@ WITH i AS (SELECT doc_id, pos, repeat(' ', (2 + doc_id % 3 + pos % 2)::INT) || r
 n AS (SELECT *, min(CASE WHEN regexp_replace(line, '\\s', '', 'g') <> '' THEN length(regexp_extract(line, '^([ \\t]*)', 1)) END) OVER (PARTITION BY doc_id) AS k FROM i)
 SELECT doc_id, sha256(string_agg(substring(line, (coalesce(k, 0) + 1)::INT), chr(10) ORDER BY pos)) AS digest FROM n GROUP BY 1""")
 def _(t, spark):
-    lines = _lines(t).withColumn("line", F.concat(F.expr("repeat(' ', cast(2 + doc_id % 3 + pos % 2 as int))"), "line"))
-    return S.joined_lines(S.dedented(lines, "doc_id"), "doc_id").select("doc_id", F.sha2("text", 256).alias("digest"))
+    indented = F.transform("l", lambda x, i: F.concat(F.repeat(F.lit(" "), (2 + F.col("doc_id") % 3 + i % 2).cast("int")), x))
+    return _texts(t).withColumn("l", indented).select("doc_id", F.sha2(S.joined_lines(S.dedented("l")), 256).alias("digest"))

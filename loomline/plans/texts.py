@@ -124,7 +124,7 @@ g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos)
 b AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block FROM g WHERE doc_id IN (SELECT DISTINCT doc_id FROM g ORDER BY 1 LIMIT 300))
 SELECT doc_id, min(pos)::BIGINT AS start, max(pos)::BIGINT AS "end", count(*) FILTER (hit) AS matches, sha256(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM b GROUP BY doc_id, block""")
 def _(t, spark):
-    blocks = X.grep(S.lines_of(t("documents"), "doc_id", "text"), "doc_id", "License|token")
+    blocks = X.grep(t("documents").select("doc_id", F.split("text", "\n").alias("l")), "doc_id", "l", "License|token")
     return blocks.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "matches", F.sha2("text", 256).alias("digest"))
 
 
@@ -157,8 +157,7 @@ def _(t, spark):
 
 @query("tx11_extreme_repetition")
 def _(t, spark):
-    check = E.mapped(E.extreme_repetition, "boolean")
-    return t("documents").select("doc_id", check(F.replace("text", F.lit(" "), F.lit("\n"))).alias("extreme"))
+    return t("documents").select("doc_id", E.extreme_repetitions(F.replace("text", F.lit(" "), F.lit("\n"))).alias("extreme"))
 
 
 @query("tx12_phrase_repeats", r"""

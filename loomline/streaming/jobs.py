@@ -89,10 +89,11 @@ def cooled_down(events: DataFrame, key: str, ts_ms: str, cooldown_ms: int) -> Da
     return rows.groupBy("key").transformWithStateInPandas(Cooldown(cooldown_ms), f"key {rows.schema['key'].dataType.simpleString()}, ts long", "append", "processingTime")
 
 
-def upserting(table: str, key: str, order: str, counters: str | None = None) -> Callable[[DataFrame, int], None]:
+def upserting(table: str, key: str, order: str, counters: str | None = None, parts: int = 64) -> Callable[[DataFrame, int], None]:
     """ST5, VS12: for foreachBatch: a table's rows of the batch's keys replaced by the latest of each; a map of cumulative counters keeps its greatest values.
 
-    The new table is written beside the old one before the name moves, so a batch that is run again gives the same table.
+    The table is partitioned by the key's hash in `parts` folders; a batch reads and rewrites those of its own keys only. A batch that is run
+    again gives the same table, as the latest rows and the greatest counters stay what they are.
     """
     from pyspark.sql import Window
 
@@ -100,13 +101,17 @@ def upserting(table: str, key: str, order: str, counters: str | None = None) ->
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{table}/{batch_id - 1}") if batch_id else batch.limit(0)
-        both = old.unionByName(batch)
+        placed = batch.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).persist()
+        touched = [r["_part"] for r in placed.select("_part").distinct().collect()]  # `parts` rows at most
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        both = placed.unionByName(spark.read.schema(placed.schema).parquet(table).filter(F.col("_part").isin(touched))) if known else placed
         top = both.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")
         if counters:
             merged = usage_map(merged_usage(both, [key], counters, "max"), [key]).withColumnRenamed("tool_usage", "_u")
             top = top.join(merged, key, "left").withColumn(counters, F.coalesce("_u", counters)).drop("_u").select(both.columns)
-        top.write.mode("overwrite").parquet(f"{table}/{batch_id}")
+        top.repartition("_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(table)
+        placed.unpersist()
 
     return write
 

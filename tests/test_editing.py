@@ -76,6 +76,17 @@ def test_stream_diff_rebuilds_the_new_text(a, b):
     assert [x.strip() for k, x in out if k != "old"] == [x.strip() for x in b]
 
 
+def test_stream_diff_by_gap():
+    far = [f"line number {i} of this text" for i in range(6)]
+    assert E.stream_diff([*far, "}"], ["}"])[0] == ("new", "}")  # too far for a line that only closes
+    assert E.stream_diff([*far[:4], "}"], ["}"]) == [*[("old", x) for x in far[:4]], ("same", "}")]
+    assert E.stream_diff([*far, ")"], [")"]) == [*[("old", x) for x in far], ("same", ")")]
+    assert E.stream_diff(["abcdefghij"], ["abcdeXXXXj"])[0][0] == "old" and E.stream_diff(["abcdefghij"], ["abcdXXXXXj"])[0][0] == "new"
+    assert E.stream_diff(["q", "q", "abcdefghij"], ["abcdefXXXj"])[2:] == [("old", "abcdefghij"), ("new", "abcdefXXXj")]  # 0.48 - 2 * 0.06
+    assert E.stream_diff(["    some longer line"], ["some longer line"]) == [("same", "    some longer line")]
+    assert E.stream_diff(["  x = 1"], ["x = 1"]) == [("old", "  x = 1"), ("new", "x = 1")]
+
+
 def test_stream_diff_fuzzy():
     assert E.stream_diff(["const x = 1", "return x"], ["const x = 2", "return x"]) == [("old", "const x = 1"), ("new", "const x = 2"), ("same", "return x")]
 
@@ -139,10 +150,13 @@ def test_prune_tokens():
 
 
 def test_cache_points():
-    assert E.cache_points([50, 60], 100, 3) == [1] and E.cache_points([10], 5, 2) == [] and E.cache_points([10, 10], 100, 2) == []
-    assert E.cache_points([100, 100, 100], 100, 3, [0]) == [0, 2]
-    assert E.cache_points([100, 100, 100, 500], 100, 3, [0, 1, 2]) == [0, 2, 3] or E.cache_points([100, 100, 100, 500], 100, 3, [0, 1, 2]) == [1, 2, 3]
-    assert E.cache_points([100, 100, 100, 110], 100, 3, [0, 1, 2]) == [0, 1, 2]
+    u = ["user"] * 9
+    assert E.cache_points([50, 60], u, 100, 3) == [1] and E.cache_points([10], u, 5, 2) == [] and E.cache_points([10, 10], u, 100, 2) == []
+    assert E.cache_points([50, 60, 70], ["user", "user", "assistant"], 100, 3) == [1] and E.cache_points([50, 60], ["assistant"] * 2, 100, 3) == []
+    assert E.cache_points([100, 100, 100, 100], u, 100, 3, [0]) == [0, 3]
+    assert E.cache_points([100, 100, 100], u, 100, 3, [0, 1]) == [0, 1]  # a range of one message has no room for a point
+    assert E.cache_points([100, 100, 100, 300, 300], u, 100, 3, [0, 1, 2]) == [1, 2, 4]
+    assert E.cache_points([100, 100, 100, 50, 60], u, 100, 3, [0, 1, 2]) == [0, 1, 2]
 
 
 @pytest.mark.parametrize(("current", "made", "want"), [("", "foo()", "insert"), (")", "x)", "repeat"), ("abc", "xyz", "replace")])

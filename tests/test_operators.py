@@ -141,6 +141,18 @@ def test_approval(spark):
     assert {r.cmd: r.matched for r in got.collect()} == {"git status": "git", "Git push origin": "git push", "rm x": "*", "ls": "*"}
 
 
+def test_repeated_rows_stay(spark):
+    s = spark.createDataFrame([("3.37.0", "a"), ("3.36.4", "b")], "since string, value string")
+    q = spark.createDataFrame([("3.36.5",), ("3.36.5",), (None,), (None,)], "version string")
+    out = R.as_of_version(q, s)
+    assert sorted((r.version or "", r.value or "") for r in out.collect()) == [("", ""), ("", ""), ("3.36.5", "b"), ("3.36.5", "b")]
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+    p = spark.createDataFrame([("git",)], "prefix string")
+    c = spark.createDataFrame([("git a",), ("git a",), (None,), (None,), ("ls",)], "cmd string")
+    assert sorted((r.cmd or "", r.matched or "") for r in R.longest_prefix(c, p, "cmd").collect()) == [("", ""), ("", ""), ("git a", "git"), ("git a", "git"), ("ls", "")]
+    assert R.approval(c, p, p, "cmd").count() == 5
+
+
 def test_versions(spark):
     s = spark.createDataFrame([("3.37.0", "a"), ("3.36.4", "b"), ("3.35.0", "c"), ("4.0.0", "d")], "since string, value string")
     q = spark.createDataFrame([("3.36.5",), ("3.1.0",), ("3.37.0-beta",)], "version string")

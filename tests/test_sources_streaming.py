@@ -56,6 +56,9 @@ def test_store(spark):
     t = store(spark, [1, 2])
     table, made = St.inserted(t["tool_errors"], spark.createDataFrame([(None, 1, "x")], "id int, run_id int, tool_name string"))
     assert table.count() == 3 and made.first().id == 15
+    keyed = spark.createDataFrame([(20, 1, "own"), (None, 1, "a"), (None, 1, "b"), (3, 1, "low")], "id int, run_id int, tool_name string").repartition(3)
+    _, made = St.inserted(t["tool_errors"], keyed)
+    assert sorted(r.id for r in made.collect()) == [3, 20, 21, 22]
     up = St.updated(t["runs"], spark.createDataFrame([(1, "new", None)], "id int, model string, name string"))
     assert {(r.id, r.model, r.name) for r in up.collect()} == {(1, "new", "n"), (2, "m", "n")}
     left = St.deleted_runs(t, spark.createDataFrame([(1,)], "id int"))
@@ -136,10 +139,23 @@ def test_upserts(spark, events, tmp_path):
     q = rows.writeStream.foreachBatch(J.upserting(str(tmp_path / "t"), "user", "ts", "tool_usage")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert q.exception() is None
-    got = {r.user: {k: v.attempts for k, v in r.tool_usage.items()} for r in spark.read.parquet(str(tmp_path / "t" / "1")).collect()}
+    got = {r.user: {k: v.attempts for k, v in r.tool_usage.items()} for r in spark.read.parquet(str(tmp_path / "t")).collect()}
     assert got == {"u0": {"view": 6, "click": 8}, "u1": {"view": 9, "click": 7}}
 
 
+def test_upserts_read_and_rewrite_only_their_parts(spark, tmp_path):
+    write = J.upserting(str(tmp_path / "t"), "user", "ts", parts=4)
+    rows = lambda xs: spark.createDataFrame(xs, "user string, ts long, v string")
+    write(rows([(f"u{i}", 1, "old") for i in range(40)]), 0)
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    write(rows([("u3", 2, "new"), ("u3", 1, "late")]), 1)
+    write(rows([("u3", 2, "new"), ("u3", 1, "late")]), 1)
+    got = {r.user: r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert len(got) == 40 and got["u3"] == "new" and got["u4"] == "old"
+    after = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    assert len(before.keys() & after.keys()) >= 3
+
+
 def test_stateful(spark, events):
     stream, batch = events
     ms = stream.withColumn("ms", F.unix_millis("ts"))

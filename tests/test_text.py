@@ -37,7 +37,9 @@ def cases():
     (T.content_length(F.lit("abc"), F.lit(None), F.array(F.lit("i")), F.lit(None)), 103), (T.content_length(F.lit(None), F.lit(None), F.lit(None).cast("array<string>"), F.lit(None)), 1),
     (T.canonical_map(F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("2"))), '{"a":"2","b":"1"}'),
     (T.without_overlap(F.lit("x\nfoo"), F.lit("foobar")), "bar"), (T.without_overlap(F.lit("a foo"), F.lit("foobar")), "bar"), (T.without_overlap(F.lit("q"), F.lit("z")), "z"),
-    (T.cut_at_stops(F.lit("abc<end>d"), ["<end>", "zz"]), "abc"),
+    (T.cut_at_stops(F.lit("abc<end>d"), ["<end>", "zz"]), "abc"), (T.cut_at_stops(F.lit("abcdzzzz"), ["<end>", "zz"]), "abcdzz"), (T.cut_at_stops(F.lit("abzzabcd"), ["<end>", "zz"]), "ab"),
+    (T.cut_at_suffix(F.lit("x = 1; " + "abcdefghijklmnopqrstuvwxyz"), F.lit("  abcdefghijklmnopqrstuvwxyz0123456789")), "x = 1; "), (T.cut_at_suffix(F.lit("abc"), F.lit("abc")), "abc"),
+    (T.cut_at_suffix(F.lit("abcdefghijklmnopqrst!"), F.lit("abcdefghijklmnopqrstuvwxyz")), ""), (T.cut_at_suffix(F.lit("1abcdefghijklmnopqrst!"), F.lit("abcdefghijklmnopqrstuvwxyz")), "1abcdefghijklmnopqrst!"),
     (X.edit_similarity(F.lit("abc"), F.lit("")), 0.0), (X.edit_similarity(F.lit("abcd"), F.lit("abce")), 0.75),
     (X.phrase_repeats(F.lit("this phrase is thirty chars ok! " * 4)), True), (X.phrase_repeats(F.lit("short")), False),
     (X.is_duplicate(F.lit("foo bar"), F.lit("bar"), F.lit("")), True), (X.is_duplicate(F.lit("foo\nline one\n"), F.lit("line one\nnew"), F.lit("")), True), (X.is_duplicate(F.lit("foo"), F.lit("fresh"), F.lit("end")), False),
