@@ -28,7 +28,7 @@ scored each; without training rows every token is unknown. Words are told apart
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,13 +74,16 @@ def numbers(data: pa.Scalar, width: int = 4) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data.as_buffer(), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
-def packed_codes(codes: np.ndarray) -> bytes:
-    return pa.compress(planes(codes), codec="zstd", asbytes=True)
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers, how many there are first, compressed."""
+    return np.int64(len(x)).tobytes() + pa.compress(planes(x), codec="zstd", asbytes=True)
 
 
-def unpacked_codes(data: pa.Scalar, n: int) -> np.ndarray:
-    raw = pa.decompress(data.as_buffer(), decompressed_size=4 * n, codec="zstd")
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int32)
+def restored(data: pa.Scalar) -> np.ndarray:
+    raw = data.as_buffer().to_pybytes()
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    plain = pa.decompress(raw[8:], decompressed_size=4 * n, codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int32)
 
 
 @dataclass
@@ -100,25 +103,26 @@ class Plan:
 class Pairs:
     """The distinct pairs of a word and the word before it in a chunk, as they are dealt: by bucket, in it by word.
 
-    codes: the chunk's tokens as numbers of its words, an end (0) after each text. index: each token's pair. first: where a run of one
-    word in one bucket begins. word, context, bucket: of each pair.
+    codes: the chunk's tokens as numbers of its words, an end (0) after each text. buckets: of each word, `hot` for those that are dealt by pair,
+    whose own buckets `of_pair` is or gives. index: each token's pair. first: where a run of one word in one bucket begins.
     """
 
-    def __init__(self, codes: np.ndarray, words: np.ndarray, plan: Plan):
-        pairs = codes * np.int64(len(words))
+    def __init__(self, codes: np.ndarray, buckets: np.ndarray, hot: int, of_pair: np.ndarray | Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        pairs = codes * np.int64(len(buckets))
         pairs[1:] += codes[:-1]
         keys, index = np.unique(pairs, return_inverse=True)
         del pairs
         index = index.astype(np.int32)
-        word, context = keys // len(words), (mixed(words) % np.uint64(plan.contexts)).astype(np.int64)[keys % len(words)]
+        word, before = keys // len(buckets), (keys % len(buckets)).astype(np.int32)
         del keys
-        bucket = (mixed(words ^ _BUCKET) % np.uint64(plan.buckets)).astype(np.int64)[word]
-        hot = np.flatnonzero((plan.place(words) >= 0)[word])
-        bucket[hot] = (mixed(words[word[hot]] ^ mixed(context[hot].astype(np.uint64) + _BUCKET)) % np.uint64(plan.buckets)).astype(np.int64)
+        bucket = buckets[word].astype(np.int64)
+        spread = np.flatnonzero(bucket == hot)
+        self.hot = of_pair(word[spread], before[spread]) if callable(of_pair) else of_pair
+        bucket[spread] = self.hot
         order = np.argsort(bucket, kind="stable")
         at = np.empty(len(order), np.int32)
         at[order] = np.arange(len(order), dtype=np.int32)
-        self.index, self.word, self.context, self.bucket = at[index], word[order], context[order], bucket[order]
+        self.index, self.word, self.before, self.bucket = at[index], word[order], before[order], bucket[order]
         change = np.ones(len(order), bool)
         change[1:] = (self.word[1:] != self.word[:-1]) | (self.bucket[1:] != self.bucket[:-1])
         self.first = np.flatnonzero(change)
@@ -339,15 +343,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             codes, sizes, words = coded(batch.column(1))
             ids = batch.column(0)
             train = np.array([is_train(d) for d in ids.to_pylist()], bool)
-            pairs = Pairs(codes, words, plan_)
+            contexts = mixed(words) % np.uint64(plan_.contexts)
+            own = np.where(plan_.place(words) >= 0, np.uint64(plan_.buckets), mixed(words ^ _BUCKET) % np.uint64(plan_.buckets))
+            pairs = Pairs(codes, own, plan_.buckets, lambda w, u, words=words, contexts=contexts: (mixed(words[w] ^ mixed(contexts[u] + _BUCKET)) % np.uint64(plan_.buckets)).astype(np.int64))
             counts = np.bincount(pairs.index, np.repeat(train, sizes), len(pairs.word)).astype(np.int64)
             about = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + ids.is_valid().to_numpy(zero_copy_only=False).tobytes() + train.tobytes()
-            out = [(1, -1, chunk, packed_codes(codes), planes(sizes), words.tobytes(), about)]
+            out = [(1, -1, chunk, squeezed(codes), planes(sizes), squeezed(np.concatenate([own.astype(np.int64), pairs.hot])), about)]
             ends = np.append(np.flatnonzero(np.diff(pairs.bucket)) + 1, len(pairs.bucket))
             runs = np.append(pairs.first, len(pairs.bucket))
             for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
                 low, high = np.searchsorted(pairs.first, (a, b))
-                out.append((0, int(pairs.bucket[a]), chunk, words[pairs.word[pairs.first[low:high]]].tobytes(), planes(np.diff(runs[low : high + 1])), planes(pairs.context[a:b]), planes(counts[a:b])))
+                out.append((0, int(pairs.bucket[a]), chunk, words[pairs.word[pairs.first[low:high]]].tobytes(), planes(np.diff(runs[low : high + 1])), planes(contexts[pairs.before[a:b]]), planes(counts[a:b])))
             yield _packed(out)
             chunk += 1
 
@@ -382,12 +388,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def gather(table: pa.Table) -> pa.Table:
         table = table.sort_by([("kind", "descending"), ("bucket", "ascending")])
-        sizes = numbers(table.column("b")[0])
-        codes = unpacked_codes(table.column("a")[0], int(sizes.sum()))
-        words = np.frombuffer(table.column("c")[0].as_buffer(), np.uint64)
+        sizes, codes, dealt_to = numbers(table.column("b")[0]), restored(table.column("a")[0]), restored(table.column("c")[0])
+        words = int(codes.max()) + 1
         about, n = table.column("d")[0].as_buffer().to_pybytes(), len(sizes)
         ids, flags = np.frombuffer(about, np.int64, n), np.frombuffer(about, np.bool_, 2 * n, 8 * n)
-        pairs = Pairs(codes, words, Plan(*dealt_as))
+        pairs = Pairs(codes, dealt_to[:words], dealt_as[1], dealt_to[words:].astype(np.int64))
         del codes
         back = table.slice(1)
         log_p = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for x in back.column("a")]) / -FINE
