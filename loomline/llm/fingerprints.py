@@ -5,12 +5,12 @@ sketch of their union, and give estimates of resemblance, containment and the nu
 no more than k shingles are involved.
 
 Scale: hashing runs on Arrow batches in the map stage. Pairing a document with the one that follows needs one shuffle, by
-ranges of doc_id: the first document of each range is also sent to the range before it, so that no pair spans two tasks. The
-range bounds and first ids are one row per partition.
+ranges of doc_id, and of a hash of the text inside an id that many rows share: the first document of each range is also sent to the
+range before it, so that no pair spans two tasks. Range bounds, ids that fill a range and first keys are a few rows per partition.
 
 Defined results: null text counts as empty; an empty text has an empty sketch, alike (1.0) only to another empty one; texts of
-fewer than five words form one shingle of all their words; equal doc_ids follow one another by text; rows with a null doc_id
-come first; a single document is its own successor.
+fewer than five words form one shingle of all their words; rows of equal doc_ids follow one another by a hash of their text; rows with a
+null doc_id come first; a single document is its own successor.
 """
 
 from __future__ import annotations
@@ -87,16 +87,16 @@ def sketches(texts: pa.Array, k: int = K) -> list[Sketch]:
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double"
-TAGGED = pa.schema([("bucket", pa.int32()), ("guest", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())])
+TAGGED = pa.schema([("bucket", pa.int32()), ("guest", pa.bool_()), ("doc_id", pa.int64()), ("h", pa.int64()), ("text", pa.string())])
 
 
 def _emitted(rows: list[tuple], k: int) -> pa.RecordBatch:
-    """The result of each row that another follows. rows: bucket, guest, doc_id, text, sketch."""
+    """The result of each row that another follows. rows: bucket, guest, doc_id, h, text, sketch."""
     pairs = [(a, b) for a, b in zip(rows[:-1], rows[1:], strict=True) if not a[1] and a[0] == b[0]]
-    texts = [a[3][: len(a[3]) - len(a[3]) // 2] + b[3][: len(a[3]) // 2] for a, b in pairs]
+    texts = [a[4][: len(a[4]) - len(a[4]) // 2] + b[4][: len(a[4]) // 2] for a, b in pairs]
     out: list[list] = [[] for _ in range(8)]
     for (a, b), text, edited in zip(pairs, texts, sketches(pa.array(texts, pa.large_string()), k), strict=True):
-        made = (a[2], len(a[3]), hashlib.sha256(text.encode()).hexdigest(), a[4].dump(), edited.dump(), a[4].resemblance(edited), a[4].resemblance(b[4]), a[4].distinct())
+        made = (a[2], len(a[4]), hashlib.sha256(text.encode()).hexdigest(), a[5].dump(), edited.dump(), a[5].resemblance(edited), a[5].resemblance(b[5]), a[5].distinct())
         for column, value in zip(out, made, strict=True):
             column.append(value)
     kinds = [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 3
@@ -105,53 +105,72 @@ def _emitted(rows: list[tuple], k: int) -> pa.RecordBatch:
 
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ranges_per_partition: int = 4) -> DataFrame:
     """Each row's fingerprint, that of its text with its second half overwritten by the next text's start, and likeness to both."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), blank_null(text_col).alias("text"))
+    text = blank_null(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     n = partitions(docs)
-    shares = [i / (n * ranges_per_partition) for i in range(1, n * ranges_per_partition)]
-    bounds = np.array(sorted({int(x) for x in (rows.approxQuantile("doc_id", shares, 0.2 / (n * ranges_per_partition)) or [])}), np.int64)
-
-    def bucket_of(ids: pa.Array) -> np.ndarray:
-        found = np.searchsorted(bounds, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), "right").astype(np.int32)
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), np.int32(0), found)
+    ranges = n * ranges_per_partition
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = {int(x) for x in (rows.approxQuantile("doc_id", shares, 0.2 / ranges) or [])}
+    # Ids of more rows than a range should have, of which there are fewer than ranges, are parted by the hash of the text.
+    total = rows.count()
+    hot = {r["doc_id"]: -(-r["count"] * ranges // total) for r in rows.groupBy("doc_id").count().filter(F.col("count") * ranges > max(total, ranges)).collect()}
+    parts = {x: np.linspace(-(2.0**63), 2.0**63, k + 1)[:-1].astype(np.int64) for x, k in hot.items()}
+    nothing = parts.pop(None, np.array([-(2**63)], np.int64))
+    edges = np.array(sorted([b for b in bounds if b not in parts] + [x for x, p in parts.items() for _ in p] + [x + 1 for x in parts if x + 1 not in parts and x + 1 not in bounds]), np.int64)
+
+    def bucket_of(ids: pa.Array, h: pa.Array) -> np.ndarray:
+        """Ranges in the order of id and hash: those of rows without an id, then the others."""
+        plain, hashes = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)
+        found = np.searchsorted(edges, plain, "right")
+        for x, p in parts.items():
+            own = plain == x
+            found[own] = np.searchsorted(edges, x, "left") + np.searchsorted(p, hashes[own], "right")
+        first = np.searchsorted(nothing, hashes, "right") - 1
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), first, found + len(nothing)).astype(np.int32)
 
     def firsts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per task and bucket: the smallest id; null for null."""
-        seen: dict[int, int | None] = {}
+        """Per task and bucket: the smallest id, 0 for null, and hash."""
+        seen: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            ids = batch.column(0)
-            for b, x in zip(bucket_of(ids).tolist(), ids.to_pylist(), strict=True):
-                if b not in seen or x is None or seen[b] is not None and x < seen[b]:
-                    seen[b] = x
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int32()), pa.array(seen.values(), pa.int64())], names=["bucket", "first"])
-
-    found = rows.select("doc_id").mapInArrow(firsts, "bucket int, first long").groupBy("bucket").agg(F.min("first").alias("first"), F.max(F.col("first").isNull()).alias("none"))
-    # One row per range, of which there are at most ranges_per_partition times the shuffle partitions.
-    first = {r["bucket"]: None if r["none"] else r["first"] for r in found.collect()}
+            ids = pc.fill_null(batch.column(0), 0).to_pylist()
+            for b, key in zip(bucket_of(batch.column(0), batch.column(1)).tolist(), zip(ids, batch.column(1).to_pylist(), strict=True), strict=True):
+                if b not in seen or key < seen[b]:
+                    seen[b] = key
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int32()), *(pa.array([k[i] for k in seen.values()], pa.int64()) for i in (0, 1))], names=["bucket", "id", "h"])
+
+    found = rows.select("doc_id", "h").mapInArrow(firsts, "bucket int, id long, h long").groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("first"))
+    # One row per range, of which there are a few times as many as shuffle partitions.
+    first = {r["bucket"]: (r["first"]["id"], r["first"]["h"]) for r in found.collect()}
     order = sorted(first)
-    before = {first[b]: order[i - 1] for i, b in enumerate(order)}
+    before = {b: order[i - 1] for i, b in enumerate(order)}
 
     def tag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
-            bucket, ids = bucket_of(batch.column(0)), batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.zeros(len(ids), bool)), *batch.columns], schema=TAGGED)
-            also = [i for i, x in enumerate(ids) if x in before]
+            bucket = bucket_of(batch.column(0), batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.zeros(len(bucket), bool)), *batch.columns], schema=TAGGED)
+            also = []
+            for i, (b, x, h) in enumerate(zip(bucket.tolist(), pc.fill_null(batch.column(0), 0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if (x, h) == first[b] and b not in sent:
+                    sent.add(b)
+                    also.append(i)
             if also:
                 guests = batch.take(pa.array(also))
-                yield pa.RecordBatch.from_arrays([pa.array([before[ids[i]] for i in also], pa.int32()), pa.array(np.ones(len(also), bool)), *guests.columns], schema=TAGGED)
+                yield pa.RecordBatch.from_arrays([pa.array([before[int(bucket[i])] for i in also], pa.int32()), pa.array(np.ones(len(also), bool)), *guests.columns], schema=TAGGED)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list[tuple] = []
         for batch in batches:
             at = 0
-            for part in in_slices(batch.column(3)):
-                columns = [batch.column(i).slice(at, len(part)).to_pylist() for i in range(4)]
+            for part in in_slices(batch.column(4)):
+                columns = [batch.column(i).slice(at, len(part)).to_pylist() for i in range(5)]
                 at += len(part)
                 made = [*last, *zip(*columns, sketches(part, k), strict=True)]
                 last = made[-1:]
                 yield _emitted(made, k)
 
-    tagged = rows.mapInArrow(tag, "bucket int, guest boolean, doc_id long, text string")
-    return tagged.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text").mapInArrow(compare, OUT)
+    tagged = rows.mapInArrow(tag, "bucket int, guest boolean, doc_id long, h long, text string")
+    return tagged.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "h", "text").mapInArrow(compare, OUT)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -397,14 +397,33 @@ def test_sketches():
     assert none.resemblance(none) == 1.0 and none.resemblance(x) == 0.0
 
 
+def followed(spark, rows):
+    """(id, characters, digest of the edited text) of rows in the order of id, none first, and of the hash of their text."""
+    plain = [(i, t or "") for i, t in rows]
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in plain], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    plain.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    out = []
+    for k, (i, t) in enumerate(plain):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + plain[(k + 1) % len(plain)][1][:half]
+        out.append((i or 0, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_fingerprints_of_ids_that_many_rows_share(spark):
+    rng = random.Random(7)
+    rows = [(None, "".join(rng.choices("abc ", k=20))) for _ in range(120)] + [(4, "".join(rng.choices("abc ", k=20))) for _ in range(150)] + [(i, f"text {i}") for i in (1, 2, 3, 5, 6, 4)] + [(4, "same")] * 9
+    out = fingerprints.fingerprint_pairs(spark.createDataFrame(rows, DOCS))
+    assert sorted((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in out.collect()) == followed(spark, rows)
+
+
 def test_fingerprint_edge_cases(spark):
     one = fingerprints.fingerprint_pairs(spark.createDataFrame([(1, "ab")], DOCS)).first()
     assert one.edited_sha256 == hashlib.sha256(b"aa").hexdigest() and one.near_next == 1.0
     rows = [(None, "n"), (2, None), (2, "bb"), (2, "aa"), (9, "é" * 3)]
     df = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "text", "1 AS bucket", "2 AS guest")
     got = sorted((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in fingerprints.fingerprint_pairs(df).collect())
-    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    assert got == sorted([(0, 1, sha("n")), (2, 0, sha("")), (2, 2, sha("ab")), (2, 2, sha("bé")), (9, 3, sha("één"))])
+    assert got == followed(spark, rows)
     assert fingerprints.fingerprint_pairs(df.limit(0)).count() == 0
 
 
