@@ -24,6 +24,8 @@ from loomline.llm.shared import SPACES, blank_null, checkpointed, documents, few
 BLOCK_CHARS = 2048
 CLASS_ROWS = 1000
 HOT_SAMPLE = 0.05
+#: Copies of a row that are put out at once.
+SLICE_ROWS = 1 << 16
 
 
 def blocks_of(rows: DataFrame, block_chars: int) -> DataFrame:
@@ -88,7 +90,7 @@ def identities(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chars, copies (rows alike in id, length and content).
 
     The row with the most code points in its original text stays, then the smallest id. Should rows repeat id and text, all of
@@ -103,8 +105,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = rows.groupBy("_depth", "_name").agg(F.sum("_copies").alias("group_size"), best["doc_id"].alias("keep_id"), F.max("n_chars").alias("_most"))
     joined = rows.join(groups, ["_depth", "_name"])
     wins = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("_most"))
-    every = joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return every.select("doc_id", "keep_id", "group_size", (wins & (F.col("_i") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "n_chars", F.col("_copies").alias("copies"))
+    # A row stands for all of its copies: they are counted out in slices, and where there are many slices, by many tasks.
+    slices = joined.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / slice_rows))))
+    if not rows.filter(F.col("_copies") > slice_rows).isEmpty():
+        slices = slices.repartition(partitions(rows), "doc_id", "_name", "_slice")
+    last = F.least(F.lit(slice_rows), F.col("_copies") - F.col("_slice") * slice_rows).cast("int")
+    every = slices.withColumn("_i", F.explode(F.sequence(F.lit(1), last)))
+    return every.select("doc_id", "keep_id", "group_size", (wins & (F.col("_slice") == 0) & (F.col("_i") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "n_chars", F.col("_copies").alias("copies"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

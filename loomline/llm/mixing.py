@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -123,46 +124,44 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     return laid.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + extra).alias("taken"), "source", "passes", "runs")
 
 
+_WORD = re.compile(WORD_PATTERN)
+
+
+def _cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Each text from its word `start` to the one before its word `end`."""
+    out = []
+    for text, start, end in zip(texts, starts, ends, strict=True):
+        spans = islice(_WORD.finditer(text), int(start), int(end))
+        first = last = next(spans)
+        for last in spans:
+            pass
+        out.append(text[first.start() : last.end()])
+    return pd.Series(out, dtype=object)
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of `docs`: a row for each whole pass over a document, and one for each run of its words.
 
     A run's text is the document's text from its first to its last word; n_chars, where there is one, is counted anew.
-    Rows of the same id, source and size share what their mix gives, each in turn.
+    Rows of the same id, source and size share what their mix gives, each in turn. Rows travel as one struct, whatever their columns' names.
     """
-    word = re.compile(WORD_PATTERN)
     plan = checkpointed(mix_sources(docs, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_of"), "passes", "runs", "taken"))
-    own = docs.withColumn("_size", F.regexp_count(blank_null("text"), F.lit(WORD_PATTERN)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_of"))
+    own = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_own"), F.regexp_count(blank_null("text"), F.lit(WORD_PATTERN)).cast("long").alias("_size"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_of"))
     if not plan.groupBy("_id", "_of").count().filter("count > 1").isEmpty():
         plan = plan.withColumn("_at", F.row_number().over(Window.partitionBy("_id", "_of").orderBy(F.hash("runs"), "passes")))
-        own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_size").orderBy(F.xxhash64("text"))))
+        own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_own", "_size").orderBy(F.xxhash64("_doc.text"))))
         same = same & (F.col("_nth") == F.col("_at"))
-    joined = own.join(plan.filter("taken > 0"), same).select(*docs.columns, "passes", "runs")
+    joined = own.join(plan.filter("taken > 0"), same).select("_doc", "passes", "runs")
     whole = F.transform(F.sequence(F.lit(1).cast("long"), F.col("passes")), lambda _: F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end")))
     parts = F.concat(F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")), "runs")
-    rows = joined.withColumn("_run", F.explode(parts)).drop("passes", "runs")
-    columns, schema = docs.columns, docs.schema
-
-    def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in frames:
-            texts, sizes = [], []
-            for text, run in zip(t["text"], t["_run"], strict=True):
-                if run["start"] >= 0:
-                    first = last = None
-                    for i, m in enumerate(word.finditer(text)):
-                        if i == run["start"]:
-                            first = m.start()
-                        if i == run["end"] - 1:
-                            last = m.end()
-                            break
-                    text = text[first:last]
-                texts.append(text)
-                sizes.append(len(text or ""))
-            t = t.assign(text=texts)
-            yield (t.assign(n_chars=sizes) if "n_chars" in columns else t)[columns]
-
-    part = rows.filter("_run.start >= 0").mapInPandas(cut, schema)
-    return rows.filter("_run.start < 0").select(*columns).unionByName(part)
+    rows = joined.select("_doc", F.explode(parts).alias("_run"))
+    text = F.pandas_udf(_cut, "string")(F.col("_doc.text"), F.col("_run.start"), F.col("_run.end"))
+    part = rows.filter("_run.start >= 0").select("_doc", text.alias("_text"))
+    changed = F.col("_doc").withField("text", F.col("_text"))
+    if "n_chars" in docs.columns:
+        changed = changed.withField("n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return rows.filter("_run.start < 0").select("_doc.*").unionByName(part.select(changed.alias("_doc")).select("_doc.*"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

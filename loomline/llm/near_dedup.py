@@ -2,7 +2,7 @@
 
 Each document's distinct five-word shingles are hashed once; the hash range is cut into bins, and a bin's least hash is one
 entry of the signature. An empty bin takes the entry of a filled one, found by a probe sequence of its own (optimal
-densification). Entries are banded into buckets. Documents of equal sets are one class, and only the classes' first documents
+densification). Entries are banded into buckets. Documents of equal sets, told by their size and a 128-bit digest, are one class, and only the classes' first documents
 enter buckets. In a bucket each member is paired with one centre only, so pairs grow with members, not with their square; pairs
 are confirmed on full sets. Confirmed links are joined to components; buckets whose members then lie in more than one component
 get other centres once more. What is left open is compared outright: in each cluster of documents that share open buckets, all that
@@ -34,8 +34,8 @@ BANDS, ROWS = 32, 5
 #: Links of the contract: 100 * intersection >= 85 * union.
 SIMILARITY = 85
 ROUNDS = 2
-#: Documents in a block of the last comparison.
-BLOCK = 512
+#: Documents in a block of the last comparison, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Shingles that are compared at once.
 WIDE = 4096
 
@@ -177,11 +177,14 @@ def compared(open_: DataFrame, sets: DataFrame, similarity: int, block: int = BL
     """
     first = open_.groupBy("bucket").agg(F.min("id").alias("first"))
     clusters = components(open_.join(first, "bucket").select(F.col("id").alias("a"), F.col("first").alias("b")))
-    docs = checkpointed(open_.select("id", "component").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"))
-    sizes = docs.groupBy("cluster", "component").count()
-    plan = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("m"), F.max("count").alias("most"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
-    laid = docs.join(plan, "cluster").withColumn("nd", blocks(F.col("m"))).withColumn("nq", blocks(F.col("m") - F.col("most")))
+    ids = open_.select("id", "component").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+    docs = checkpointed(ids.join(sets.select("id", F.octet_length("shingles").alias("bytes")), "id"))
+    sizes = docs.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    main = F.max_by(F.struct("component", "n", "bytes"), F.struct("n", "component"))
+    plan = sizes.groupBy("cluster").agg(main.alias("_m"), F.sum("n").alias("m"), F.sum("bytes").alias("b")).select("cluster", "_m.*", "m", "b").withColumnsRenamed({"component": "main", "bytes": "main_bytes"})
+    # Blocks are bounded by documents and by bytes; one very long document fills its own.
+    blocks = lambda n, b: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(b / BLOCK_BYTES)).cast("int")
+    laid = docs.drop("bytes").join(plan, "cluster").withColumn("nd", blocks(F.col("m"), F.col("b"))).withColumn("nq", blocks(F.col("m") - F.col("n"), F.col("b") - F.col("main_bytes")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = laid.select("cluster", "id", "component", F.lit(False).alias("query"), every("nq").alias("q"), F.pmod(F.xxhash64("id"), "nd").cast("int").alias("d"))
     asked = laid.filter("component <> main").select("cluster", "id", "component", F.lit(True).alias("query"), F.pmod(F.xxhash64("id", F.lit(1)), "nq").cast("int").alias("q"), every("nd").alias("d"))
@@ -208,9 +211,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), blank_null(text_col).alias("text"))
     signs = written(signed(texts, bands, rows, words))
     known = signs.filter("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     members = checkpointed(classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id")).distinct().transform(_shared))
-    same = known.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = known.select("doc_id", "h1", "h2", "n_shingles").join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     sets = written(sets_of(texts, bloom(members.select("id").distinct(), "id"), words))
     links, open_ = checkpointed(sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)), members
     for turn in range(rounds):

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomline.llm.shared import blank_null, documents, written
 from loomline.llm.words import doc_shingles, in_slices, mixed
@@ -244,8 +245,8 @@ def _weighed(rows: DataFrame, model: Model, also: list[str] = ()) -> DataFrame:
             columns = [*zip(*got, strict=True)] or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.int64(), pa.int64()), strict=True)), *batch.columns[2:]], names=["doc_id", "weight", "hits", "words", *also])
 
-    rest = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    return rows.mapInArrow(weigh, "doc_id long, weight double, hits long, words long" + rest)
+    made = StructType.fromDDL("doc_id long, weight double, hits long, words long")
+    return rows.mapInArrow(weigh, StructType([*made.fields, *rows.schema.fields[2:]]))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
