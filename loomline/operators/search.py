@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,9 +103,24 @@ def skip_completion(language: Column, prefix: Column, terminators: dict[str, lis
     return (line != "") & (out | prefix.rlike(r"\w\z"))
 
 
-def is_lock_file(path: Column, patterns: list[str]) -> Column:
-    """XS21: any of the patterns matches the path."""
-    return path.rlike("|".join(f"(?:{p})" for p in patterns))
+# Files that package managers write to pin versions, and folders of theirs, wherever they are.
+LOCK_FILES = (
+    "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "pnpm-workspace.yaml", "bun.lockb", ".yarnrc.yml", ".pnp.js", ".pnp.cjs", "jspm.lock",
+    "Pipfile.lock", "poetry.lock", "pdm.lock", ".pdm-lock.toml", "conda-lock.yml", "pylock.toml", "Gemfile.lock", ".bundle/config", "composer.lock",
+    "gradle.lockfile", "lockfile.json", "dependency-lock.json", "dependency-reduced-pom.xml", "coursier.lock", "build.sbt.lock", "packages.lock.json", "paket.lock", "project.assets.json",
+    "Cargo.lock", "go.sum", "Gopkg.lock", "glide.lock", "vendor/vendor.json", "build.zig.zon.lock", "dune.lock", "opam.lock", "kotlin-js-store",
+    "Package.resolved", "Podfile.lock", "Cartfile.resolved", "pubspec.lock", "mix.lock", "rebar.lock", "stack.yaml.lock", "cabal.project.freeze", "elm-stuff/exact-dependencies.json",
+    "shard.lock", "Manifest.toml", "JuliaManifest.toml", "renv.lock", "packrat.lock", "nimble.lock", "dub.selections.json", "rocks.lock", "carton.lock", "cpanfile.snapshot",
+    "conan.lock", "vcpkg-lock.json", ".terraform.lock.hcl", "Berksfile.lock", "Puppetfile.lock", "flake.lock", "deno.lock", "devcontainer.lock.json",
+)
+LOCK_FOLDERS = ("kotlin-js-store", "elm-stuff", ".yarn/cache/", ".yarn/unplugged/", ".yarn/build-state.yml", ".yarn/install-state.gz")
+
+
+def is_lock_file(path: Column, patterns: Iterable[str] | None = None) -> Column:
+    """XS21: a lock file by its name or folder; or any of the given patterns matches."""
+    if patterns is None:
+        patterns = [r"(?:^|/)(?:" + "|".join(re.escape(x) for x in (*LOCK_FILES, *(f for f in LOCK_FOLDERS if not f.endswith("/")))) + r")(?:/|$)", r"(?:^|/)(?:" + "|".join(re.escape(f) for f in LOCK_FOLDERS if f.endswith("/")) + ")."]
+    return F.replace(path, F.lit("\\"), F.lit("/")).rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def glossary(texts: DataFrame, text: str, core: list[str], limit: int = 50, least: int = 4) -> DataFrame:

@@ -434,10 +434,11 @@ def _(t, spark):
     return t("part").select("p_partkey", T.without_overlap(F.concat(F.lit("x\n"), first), F.col("p_type")).alias("rest"))
 
 
-@query("xs21_lock_files", "SELECT p_partkey, p_size % 3 = 0 AS locked FROM part")
+@query("xs21_lock_files", "SELECT p_partkey, p_size % 5 IN (0, 3) AS locked FROM part")
 def _(t, spark):
-    path = F.concat(F.lit("a/b"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 3 == 0, "/package-lock.json").when(F.col("p_size") % 3 == 1, "/locker.py").otherwise("/package.json"))
-    return t("part").select("p_partkey", X.is_lock_file(path, [r"(^|/)package-lock\.json$"]).alias("locked"))
+    k = F.col("p_size") % 5
+    name = F.when(k == 0, "/package-lock.json").when(k == 1, "/locker.py").when(k == 2, "/package.json").when(k == 3, "/.yarn/cache/x.zip").otherwise("/xCargo.lock")
+    return t("part").select("p_partkey", X.is_lock_file(F.concat(F.lit("a/b"), F.col("p_partkey").cast("string"), name)).alias("locked"))
 
 
 @query("sf09_first_line", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN string_split(replace(text, ' ', chr(10)), chr(10))[1] ELSE replace(text, ' ', chr(10)) END AS line FROM conversations")

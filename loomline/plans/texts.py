@@ -128,9 +128,11 @@ def _(t, spark):
     return blocks.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "matches", F.sha2("text", 256).alias("digest"))
 
 
-@query("tx02_fuzzy_find")
+@query("tx02_fuzzy_find", """
+WITH m AS (SELECT DISTINCT p_name, 6 - length(regexp_extract(lower(p_name), 'e.*?i.*?g', 0)) AS score FROM part WHERE regexp_matches(lower(p_name), 'e.*?i.*?g'))
+SELECT p_name, score::INT AS score FROM m ORDER BY score DESC, length(p_name), p_name LIMIT 20""")
 def _(t, spark):
-    return X.fuzzy_find(t("part").select("p_name").distinct(), "p_name", "sring")
+    return X.fuzzy_find(t("part").select("p_name").distinct(), "p_name", "EIg").select("p_name", "score")
 
 
 @query("tx04_symbol_similarity", r"""

@@ -26,9 +26,14 @@ def _(t, spark):
     return V.search(_points(t), _query(t, 0), min_score=0.2).select("id", F.round("score", 6).alias("score"))
 
 
-@query("vs01_search_default", f"SELECT e.vec_id AS id, round({_COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND {_COS} >= 0.4 ORDER BY {_COS} DESC LIMIT 50")
+_THREE = "(SELECT list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE + b.embedding[i]::DOUBLE + c.embedding[i]::DOUBLE) AS embedding FROM embeddings a, embeddings b, embeddings c WHERE a.vec_id = 0 AND b.vec_id = 1 AND c.vec_id = 2)"
+
+
+@query("vs01_search_default", f"SELECT e.vec_id AS id, round({_COS}, 6) AS score FROM embeddings e, {_THREE} q WHERE {_COS} >= 0.4 ORDER BY {_COS} DESC, e.vec_id LIMIT 50")
 def _(t, spark):
-    return V.search(_points(t), _query(t, 0)).select("id", F.round("score", 6).alias("score"))
+    """What is like three vectors at once, by the default threshold and limit."""
+    whole = [float(sum(x)) for x in zip(*(_query(t, i) for i in range(3)), strict=True)]
+    return V.search(_points(t), whole).select("id", F.round("score", 6).alias("score"))
 
 
 @query("vs02_search_prefix", f"SELECT e.vec_id AS id, round({_COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 3 AND e.label = 1 AND {_COS} >= -1 ORDER BY {_COS} DESC LIMIT 20")
