@@ -1,6 +1,7 @@
 """Chat formatting with Spark expressions only.
 
-Turns of a conversation are collected as structs, sorted, and rendered to pieces; adjacent turns of one role share one block.
+Turns of a conversation are collected as structs and sorted. Adjacent turns of one role are merged by array aggregation into blocks: a role and
+the texts under it, found where the sorted array, laid against itself shifted by one, changes its role. Blocks are rendered to pieces.
 The template is
 
     ### {role}: {text}[<join/>{text of the next turn of the same role}...]</turn>\\n
@@ -8,8 +9,8 @@ The template is
 Texts are escaped so that no control string can occur inside them, and unescape() gives every text back exactly.
 A piece is a string with a flag; the concatenated pieces are the formatted text, the flagged ones its loss mask.
 
-Scale: one shuffle, on the conversation; all later work is linear in the conversation's length, as neighbours are read by
-index and pieces are joined once. The result of a conversation is one row, so its turns must meet in one task.
+Scale: one shuffle, on the conversation; all later work is linear in the conversation's length, as neighbours are zipped, a block
+is a slice of the array, and pieces are joined once. The result of a conversation is one row, so its turns must meet in one task.
 
 Defined results: null text and null role count as empty; turns with equal numbers are ordered by role, then text; repeated rows
 are turns of their own; null turn numbers come first; null conversation ids form one conversation; an empty table gives no rows.
@@ -41,25 +42,27 @@ def unescape(text: Column) -> Column:
 
 
 def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = ASSISTANT) -> DataFrame:
-    """One row per conversation: conv_id, formatted, pieces (array of piece, loss), n_blocks."""
+    """One row per conversation: conv_id, formatted, pieces (array of piece, loss), blocks (array of role, texts), n_blocks."""
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text")).alias("_t"))
-    got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("_t")).alias("_turns")).withColumn("_last", F.size("_turns") - 1)
-    before = lambda i: F.get("_turns", i - 1)["role"]
-    after = lambda i: F.get("_turns", i + 1)["role"]
-
-    def render(t: Column, i: Column) -> Column:
-        opens = (i == 0) | (before(i) != t["role"])
-        closes = (i == F.col("_last")) | (after(i) != t["role"])
-        piece = lambda text, loss: F.struct(text.alias("piece"), loss.alias("loss"))
-        return F.array(
-            piece(F.when(opens, F.concat(F.lit(HEAD), escape_role(t["role"]), F.lit(COLON))).otherwise(F.lit(JOIN)), F.lit(False)),
-            piece(escape(t["text"]), t["role"] == loss_role),
-            piece(F.when(closes, F.lit(END)).otherwise(F.lit("")), F.lit(False)),
-        )
-
-    made = got.select("conv_id", F.flatten(F.transform("_turns", render)).alias("pieces"))
-    blocks = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + (~p["loss"] & p["piece"].startswith(HEAD)).cast("long"))
-    return made.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "pieces", blocks.alias("n_blocks"))
+    got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("_t")).alias("_turns"))
+    roles = F.transform("_turns", lambda t: t["role"])
+    shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice(roles, F.lit(1), F.size("_turns") - 1))
+    heads = F.filter(F.transform(F.zip_with(roles, shifted, lambda x, y: F.when(~x.eqNullSafe(y), x)), lambda x, i: F.struct(i.alias("begin"), x.alias("role"))), lambda h: h["role"].isNotNull())
+    got = got.withColumn("_heads", heads)
+    ends = F.concat(F.transform(F.slice("_heads", F.lit(2), F.size("_heads")), lambda h: h["begin"]), F.array(F.size("_turns")))
+    spans = F.zip_with("_heads", ends, lambda h, e: F.struct(h["role"].alias("role"), h["begin"].alias("begin"), (e - h["begin"]).alias("n")))
+    merged = F.transform(spans, lambda r: F.struct(r["role"].alias("role"), F.transform(F.slice(F.col("_turns"), r["begin"] + 1, r["n"]), lambda t: t["text"]).alias("texts")))
+    piece = lambda text, loss: F.struct(text.alias("piece"), loss.alias("loss"))
+
+    def render(block: Column) -> Column:
+        loss = block["role"] == loss_role
+        head = F.concat(F.lit(HEAD), escape_role(block["role"]), F.lit(COLON))
+        texts = F.transform(block["texts"], lambda t, i: F.array(piece(F.when(i == 0, "").otherwise(JOIN), F.lit(False)), piece(escape(t), loss)))
+        return F.concat(F.array(piece(head, F.lit(False))), F.flatten(texts), F.array(piece(F.lit(END), F.lit(False))))
+
+    made = got.select("conv_id", merged.alias("blocks"))
+    made = made.select("conv_id", "blocks", F.flatten(F.transform("blocks", render)).alias("pieces"))
+    return made.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "pieces", "blocks", F.size("blocks").cast("long").alias("n_blocks"))
 
 
 def read_back(formatted: Column) -> Column:

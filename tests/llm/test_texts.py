@@ -264,12 +264,13 @@ def test_chat_round_trip(spark):
     def run(conversations):
         rows = [(c, n, role, text) for c, turns in enumerate(conversations) for n, (role, text) in enumerate(turns)]
         made = chat_format.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-        back = made.select("conv_id", "n_blocks", chat_format.read_back(F.col("formatted")).alias("t"), "pieces", "formatted").collect()
+        back = made.select("conv_id", "n_blocks", chat_format.read_back(F.col("formatted")).alias("t"), "pieces", "formatted", "blocks").collect()
         for r in back:
             turns = conversations[r.conv_id]
             assert [(x["role"], x["text"]) for x in r.t] == turns
             assert r.n_blocks == sum(i == 0 or turns[i - 1][0] != t[0] for i, t in enumerate(turns))
             assert "".join(p["piece"] for p in r.pieces) == r.formatted
+            assert [(b["role"], x) for b in r.blocks for x in b["texts"]] == turns and all(a["role"] != b["role"] for a, b in zip(r.blocks, r.blocks[1:], strict=False))
         seen.append(len(back))
 
     run()
