@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="loomline-")
+        place = spark._jvm.org.apache.hadoop.fs.Path(where)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
     return where

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomline.llm.shared import blank_null, documents, written
+from loomline.llm.shared import blank_null, documents, forget, written
 from loomline.llm.words import doc_shingles, in_slices, mixed
 
 THRESHOLD = 0.7
@@ -171,6 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_p
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
+        forget(sample)
         return Model()
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_p
     model.exceptions = (*EXCEPTIONS, *sorted(r["phrase"] for r in spared.filter(f"t = 0 and c >= {least_docs}").collect()))
     weighed = _weighed(sample.select("doc_id", "text", "toxic"), model, ["toxic"]).select("weight", "words", "toxic").toArrow()
     model.curve = fitted_curve(*(weighed.column(c).to_numpy().astype(float) for c in ("weight", "words", "toxic")))
+    forget(sample)
     return model
 
 
