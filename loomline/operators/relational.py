@@ -10,6 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from loomline.functions.text import semver
 
@@ -271,9 +272,23 @@ def merged_ranges(rows: DataFrame, by: list[str], start: str, end: str) -> DataF
 
 
 def range_intersections(a: DataFrame, b: DataFrame, by: str, start: str = "start", end: str = "end") -> DataFrame:
-    """JN19: the common part of overlapping ranges of one key. Positions may be numbers or (line, character) structs."""
+    """JN19: the common part of overlapping ranges of one key. Positions may be numbers or (line, character) structs.
+
+    Numbers are dealt into bins as wide as the mean range, so a key's ranges meet only those near them; a pair is made in the bin where the
+    later one starts. Structs are joined on the key alone.
+    """
     other = b.select(F.col(by).alias("_by"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-    return a.join(other, (F.col(by) == F.col("_by")) & (F.col(start) <= F.col("_e")) & (F.col("_s") <= F.col(end))).select(by, F.greatest(start, "_s").alias("start"), F.least(end, "_e").alias("end"))
+    overlap = (F.col(by) == F.col("_by")) & (F.col(start) <= F.col("_e")) & (F.col("_s") <= F.col(end))
+    common = [F.col(by), F.greatest(start, "_s").alias("start"), F.least(end, "_e").alias("end")]
+    if not isinstance(a.schema[start].dataType, NumericType):
+        return a.join(other, overlap).select(*common)
+    sizes = [x.agg(F.sum(F.greatest(F.col(e) - F.col(s), F.lit(0)).cast("double")), F.count(F.lit(1))).first() for x, s, e in ((a, start, end), (other, "_s", "_e"))]
+    width = max(1.0, sum(x[0] or 0.0 for x in sizes) / max(1, sum(x[1] for x in sizes)))
+    bin_ = lambda c: F.floor(F.col(c) / F.lit(width))
+    bins = lambda s, e: F.explode(F.sequence(bin_(s), F.greatest(bin_(s), bin_(e))))
+    left = a.select(by, start, end, bins(start, end).alias("_bin"))
+    right = other.select("_by", "_s", "_e", bins("_s", "_e").alias("_at"))
+    return left.join(right, overlap & (F.col("_bin") == F.col("_at")) & (F.col("_bin") == F.greatest(bin_(start), bin_("_s")))).select(*common)
 
 
 def enriched(rows: DataFrame, dimension: DataFrame, key: str, columns: Iterable[str]) -> DataFrame:

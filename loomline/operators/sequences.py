@@ -207,10 +207,21 @@ def log_elapsed(lines: DataFrame, key: str, pattern: str = r"\[(\d{4}-\d\d-\d\dT
     return rows.withColumn("elapsed", (F.unix_millis("_ts") - F.unix_millis(first)) / 1000.0).withColumn("message", F.regexp_replace("line", r"^(?:\[[^\]]*\]\s*)+", "")).drop("_ts")
 
 
+def counted(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with a number from 1, without gaps, in the order in which they lie: each partition is numbered alone, after what the ones before it
+    hold, of which there is one number per partition."""
+    rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = rows.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy("_at"))).join(F.broadcast(before), "_part")
+    return own.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_at", "_before")
+
+
 def numbered(rows: DataFrame, order: list[str], by: str | None = None) -> DataFrame:
     """WN22: each row's index in the whole order, kept when rows are grouped; numbered per key where one is given."""
-    w = Window.partitionBy(by) if by else Window
-    return rows.withColumn("index", F.row_number().over(w.orderBy(*order)) - 1)
+    if by:
+        return rows.withColumn("index", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
+    return counted(rows.orderBy(*order), "index").withColumn("index", F.col("index") - 1)
 
 
 def rewound(messages: DataFrame, by: str, cutoffs: DataFrame, inclusive: bool = False) -> DataFrame:

@@ -105,6 +105,11 @@ def _(t, spark):
     return S.numbered(t("lineitem"), ["l_orderkey", "l_linenumber"], "l_suppkey").select("l_orderkey", "l_linenumber", F.col("index").cast("long").alias("index"))
 
 
+@query("wn22_numbered_all", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS index FROM orders")
+def _(t, spark):
+    return S.numbered(t("orders"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", F.col("index").cast("long").alias("index"))
+
+
 @query("wn24_rewound", """
 WITH m AS (SELECT conv_id, turn AS seq, turn * 10 AS ts, role, 25 AS cutoff FROM conversations),
 a AS (SELECT *, max(CASE WHEN ts = cutoff THEN 1 ELSE 0 END) OVER w AS exact, max(CASE WHEN ts < cutoff THEN 1 ELSE 0 END) OVER w AS earlier, min(CASE WHEN role = 'user' AND ts >= cutoff THEN ts END) OVER w AS u FROM m WINDOW w AS (PARTITION BY conv_id))

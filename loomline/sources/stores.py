@@ -9,11 +9,12 @@ from io import BytesIO
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomline.operators.editing import seen_files
+from loomline.operators.sequences import counted
 
 # Folders that file listings pass over.
 SKIPPED_FOLDERS = ("node_modules", "__pycache__", "env", "venv", "target/dependency", "build/dependencies", "dist", "out", "bundle", "vendor", "tmp", "temp", "deps", "pkg", "Pods", ".git", ".*")
@@ -98,21 +99,12 @@ def sheet_text(data: bytes, rows: int = 50_000) -> str:
 # The evaluation store: tables are DataFrames; writing is replacing a table with what these return.
 
 
-def _counted(rows: DataFrame, name: str) -> DataFrame:
-    """Rows with a number from 1, without gaps: partitions are numbered alone, after what the ones before them hold, which is a row per partition."""
-    rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    numbered = rows.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy("_at"))).join(F.broadcast(before), "_part")
-    return numbered.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_at", "_before")
-
-
 def inserted(table: DataFrame, rows: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """SC5: the table with new rows, and those rows. Rows that have a key keep it; the others are numbered after the greatest key of both sides."""
     tops = [x.agg(F.max(key)).first()[0] or 0 for x in (table, rows)]
     missing = [c for c in table.columns if c not in rows.columns]
     full = rows.withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in missing})
-    made = _counted(full.filter(F.col(key).isNull()), "_new").withColumn(key, (F.col("_new") + max(tops)).cast(table.schema[key].dataType))
+    made = counted(full.filter(F.col(key).isNull()), "_new").withColumn(key, (F.col("_new") + max(tops)).cast(table.schema[key].dataType))
     made = full.filter(F.col(key).isNotNull()).withColumn(key, F.col(key).cast(table.schema[key].dataType)).select(table.columns).unionByName(made.select(table.columns))
     return table.unionByName(made), made
 
@@ -143,7 +135,7 @@ def copied_run(source: dict[str, DataFrame], target: dict[str, DataFrame], run_i
 
     def remapped(rows: DataFrame, table: DataFrame) -> DataFrame:
         top = table.agg(F.max("id")).first()[0] or 0
-        return _counted(rows.select(F.col("id").alias("_old")).orderBy("_old"), "_new").select("_old", (F.col("_new") + top).cast("int").alias("_new"))
+        return counted(rows.select(F.col("id").alias("_old")).orderBy("_old"), "_new").select("_old", (F.col("_new") + top).cast("int").alias("_new"))
 
     def rekeyed(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
         return rows.join(ids, F.col(column) == F.col("_old"), "left").withColumn(column, F.col("_new")).drop("_old", "_new")

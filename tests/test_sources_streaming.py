@@ -147,12 +147,12 @@ def test_upserts_read_and_rewrite_only_their_parts(spark, tmp_path):
     write = J.upserting(str(tmp_path / "t"), "user", "ts", parts=4)
     rows = lambda xs: spark.createDataFrame(xs, "user string, ts long, v string")
     write(rows([(f"u{i}", 1, "old") for i in range(40)]), 0)
-    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
     write(rows([("u3", 2, "new"), ("u3", 1, "late")]), 1)
     write(rows([("u3", 2, "new"), ("u3", 1, "late")]), 1)
     got = {r.user: r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()}
     assert len(got) == 40 and got["u3"] == "new" and got["u4"] == "old"
-    after = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
     assert len(before.keys() & after.keys()) >= 3
 
 
