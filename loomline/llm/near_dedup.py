@@ -215,14 +215,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = checkpointed(classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id")).distinct().transform(_shared))
     same = known.select("doc_id", "h1", "h2", "n_shingles").join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     sets = written(sets_of(texts, bloom(members.select("id").distinct(), "id"), words))
-    links, open_ = checkpointed(sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)), members
+    # What is linked so far, as stars: each document with the least of its component.
+    stars, open_ = None, members
+    joined = lambda edges: edges if stars is None else stars.unionByName(edges)
+    starred = lambda found: found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     for turn in range(rounds):
         # The least id is each bucket's first centre, the same one in many buckets; then ids in another order.
         order = F.col("id") if not turn else F.xxhash64("id", F.lit(turn))
         centres = open_.groupBy("bucket").agg(F.min_by("id", order).alias("centre"))
         pairs = open_.join(centres, "bucket").filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        links = checkpointed(links.unionByName(confirmed(pairs, sets, similarity)))
-        found = components(links)
+        found = components(joined(confirmed(pairs, sets, similarity)))
+        stars = starred(found)
         placed = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         split = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y and n > 2").select("bucket")
         open_ = checkpointed(placed.join(split, "bucket"))
@@ -230,8 +233,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if open_.isEmpty():
             break
     else:
-        links = checkpointed(links.unionByName(compared(open_, sets, similarity)))
-    found = components(links.unionByName(same))
+        stars = joined(compared(open_, sets, similarity))
+    found = components(joined(same))
     placed = signs.select("doc_id", "n_shingles").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
