@@ -102,7 +102,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = plain.select(F.struct("doc_id", "n_chars", F.unhex(F.sha2("_text", 256)).alias("sha")).alias("_key"), "_text")
     rows = checkpointed(identities(keyed, block_chars).groupBy("_key", "_depth", "_name").agg(F.sum("_copies").alias("_copies")).select("_key.*", "_depth", "_name", "_copies"))
     best = F.max_by(F.struct("doc_id"), F.struct("n_chars", F.col("doc_id").isNotNull(), -F.col("doc_id")))
-    groups = rows.groupBy("_depth", "_name").agg(F.sum("_copies").alias("group_size"), best["doc_id"].alias("keep_id"), F.max("n_chars").alias("_most"))
+    # Stored before they are joined: a join in the stage of its aggregate could not be split where one group is hot.
+    groups = checkpointed(rows.groupBy("_depth", "_name").agg(F.sum("_copies").alias("group_size"), best["doc_id"].alias("keep_id"), F.max("n_chars").alias("_most")))
     joined = rows.join(groups, ["_depth", "_name"])
     wins = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("_most"))
     # A row stands for all of its copies: they are counted out in slices, and where there are many slices, by many tasks.

@@ -213,7 +213,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = signs.filter("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     members = checkpointed(classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id")).distinct().transform(_shared))
-    same = known.select("doc_id", "h1", "h2", "n_shingles").join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # Stored before it is joined: a join in the stage of its aggregate could not be split where one class is hot.
+    named = checkpointed(classes.select("h1", "h2", "n_shingles", "rep"))
+    same = known.select("doc_id", "h1", "h2", "n_shingles").join(named, ["h1", "h2", "n_shingles"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     sets = written(sets_of(texts, bloom(members.select("id").distinct(), "id"), words))
     # What is linked so far, as stars: each document with the least of its component.
     stars, open_ = None, members
