@@ -12,6 +12,8 @@ SMART = {"\u201c": '"', "\u201d": '"', "\u2018": "'", "\u2019": "'", "\u2013": "
 ELLIPSIS = "\u2026"
 #: What scripts call white space, beyond what trim() knows.
 SPACE = r"[\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: The same, character by character, but for the space and what SMART turns into one.
+BLANKS = "\t\n\x0b\f\r\ufeff\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 # HTML entities and their characters; the ampersand's comes last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#91;", "["), ("&#93;", "]"), ("&lsqb;", "["), ("&rsqb;", "]"), ("&amp;", "&"))
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
@@ -30,10 +32,9 @@ def trimmed(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """SF1: plain quotes, dashes and dots, runs of white space as one space, trimmed."""
-    smart = replaced(F.translate(text, "".join(SMART), "".join(SMART.values())), [(ELLIPSIS, "...")])
-    plain = F.when(text.rlike(f"[{''.join(SMART)}{ELLIPSIS}]"), smart).otherwise(text)
-    # Only runs that are not one space already are replaced; after that a space is all that can stand at either end.
-    return F.trim(F.regexp_replace(plain, f"{SPACE}{{2,}}|(?! ){SPACE}", " "))
+    plain = F.replace(F.translate(text, "".join(SMART) + BLANKS, "".join(SMART.values()) + " " * len(BLANKS)), F.lit(ELLIPSIS), F.lit("..."))
+    # Every blank is a plain space by now, and only runs of them are left to be replaced; after that one is all that can stand at either end.
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
 def unescaped_html(text: Column) -> Column:

@@ -73,9 +73,9 @@ r AS (SELECT doc_id, island, min(pos) AS pos, any_value(t) AS t, count(*) - 1 AS
 e AS (SELECT *, '<previous line repeated ' || more || ' additional times>' || chr(10) AS note, max(pos) OVER (PARTITION BY doc_id) = pos AS final FROM r)
 SELECT doc_id, sha256(string_agg(CASE WHEN more > 0 AND length(note) < length(t) * (more + CASE WHEN final THEN 0 ELSE 1 END) THEN t || note ELSE repeat(t, (more + 1)::INT) END, '' ORDER BY pos)) AS encoded FROM e GROUP BY 1""")
 def _(t, spark):
-    # Texts of nothing are left out before, as a condition on the result would be worked out twice.
-    some = _words_as_lines(t).filter(F.exists("l", lambda x: x != ""))
-    return S.run_length_encoded(some, "l").select("doc_id", F.sha2("encoded", 256).alias("encoded"))
+    some = t("documents").filter("text <> ''")
+    encoded = S.run_length_encoded(F.replace("text", F.lit(" "), F.lit("\n")))
+    return some.select("doc_id", F.sha2(encoded, 256).alias("encoded"))
 
 
 @query("wn08_stop_at_repeats", f"""
