@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomline.session import kept
+
 TOKEN_SUMS = ("tokens_in", "tokens_out", "tokens_context", "cache_writes", "cache_reads", "cost", "duration")
 
 
@@ -56,11 +58,6 @@ def token_usage(messages: DataFrame, by: str = "task_id") -> DataFrame:
     )
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A round's result without the plan of the rounds before it; in spark.checkpoint.dir where that is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def tree_cost(spark: SparkSession, view: str, id_: str, parent: str, cost: str, roots: str) -> DataFrame:
     """AG8: per root its own cost and that of all descendants. A node reached by two paths counts twice; a path stops where it would repeat a node.
 
@@ -68,7 +65,7 @@ def tree_cost(spark: SparkSession, view: str, id_: str, parent: str, cost: str,
     rounds grow with the logarithm of the depth, and each costs as much as the table has rows. Other tables are followed path by path.
     """
     summed = dict(spark.sql(f"SELECT sum({cost}) AS s FROM {view}").dtypes)["s"]
-    rows = _kept(spark.sql(f"SELECT {id_} AS id, nullif({parent}, {id_}) AS up, CAST({cost} AS {summed}) AS cost, coalesce({roots}, false) AS root FROM {view}"))
+    rows = kept(spark.sql(f"SELECT {id_} AS id, nullif({parent}, {id_}) AS up, CAST({cost} AS {summed}) AS cost, coalesce({roots}, false) AS root FROM {view}"))
     n, ids, blank = rows.agg(F.count(F.lit(1)), F.count_distinct("id"), F.count_if(F.col("id").isNull())).first()
     if n != ids + blank or blank > 1:
         return _path_costs(rows, summed)
@@ -89,7 +86,7 @@ def _doubled(state: DataFrame, summed: str) -> tuple[DataFrame, DataFrame | None
     """
     seen = None
     while True:
-        pointed = _kept(state.filter("up IS NOT NULL").groupBy(F.col("up").alias("_id")).agg(
+        pointed = kept(state.filter("up IS NOT NULL").groupBy(F.col("up").alias("_id")).agg(
             F.sum(F.coalesce("cost", F.lit(0).cast(summed)) + F.col("below")).cast(summed).alias("_below"), F.sum("nodes").alias("_nodes"), F.sum("known").alias("_known"), F.count(F.lit(1)).alias("_live"),
         ))
         now = tuple(pointed.agg(F.count(F.lit(1)), F.coalesce(F.sum("_live"), F.lit(0))).first())
@@ -100,16 +97,16 @@ def _doubled(state: DataFrame, summed: str) -> tuple[DataFrame, DataFrame | None
         seen = now
         higher = state.select(F.col("id").alias("_up"), F.col("up").alias("_next"))
         more = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).cast(summed if c == "below" else "long").alias(c)
-        state = _kept(state.join(pointed, F.col("id") == F.col("_id"), "left").join(higher, F.col("up") == F.col("_up"), "left").select("id", F.col("_next").alias("up"), "cost", "root", more("below"), more("nodes"), more("known")))
+        state = kept(state.join(pointed, F.col("id") == F.col("_id"), "left").join(higher, F.col("up") == F.col("_up"), "left").select("id", F.col("_next").alias("up"), "cost", "root", more("below"), more("nodes"), more("known")))
 
 
 def _with_cycles(start: DataFrame, heads: DataFrame, summed: str) -> DataFrame:
     """Sums where some nodes are on cycles: each of those has all of its cycle, and what hangs on it, below it."""
-    marked = _kept(start.join(heads, F.col("id") == F.col("_id"), "left"))
+    marked = kept(start.join(heads, F.col("id") == F.col("_id"), "left"))
     state, _ = _doubled(marked.withColumn("up", F.when(F.col("_id").isNull(), F.col("up"))).drop("_id"), summed)
-    ring = _kept(marked.filter("_id IS NOT NULL").select("id", "up", F.col("id").alias("least")))
+    ring = kept(marked.filter("_id IS NOT NULL").select("id", "up", F.col("id").alias("least")))
     for _ in range(ring.count().bit_length()):
-        ring = _kept(ring.join(ring.select(F.col("id").alias("_up"), F.col("up").alias("_next"), F.col("least").alias("_least")), F.col("up") == F.col("_up")).select("id", F.col("_next").alias("up"), F.least("least", "_least").alias("least")))
+        ring = kept(ring.join(ring.select(F.col("id").alias("_up"), F.col("up").alias("_next"), F.col("least").alias("_least")), F.col("up") == F.col("_up")).select("id", F.col("_next").alias("up"), F.least("least", "_least").alias("least")))
     zero = F.lit(0).cast(summed)
     held = state.join(ring.select(F.col("id").alias("_id"), "least"), F.col("id") == F.col("_id"), "left")
     whole = held.filter("_id IS NOT NULL").groupBy(F.col("least").alias("_ring")).agg(F.sum(F.coalesce("cost", zero) + F.col("below")).cast(summed).alias("_all"), F.sum("nodes").alias("_nodes"), F.sum("known").alias("_known"))
@@ -120,11 +117,11 @@ def _with_cycles(start: DataFrame, heads: DataFrame, summed: str) -> DataFrame:
 def _path_costs(rows: DataFrame, summed: str) -> DataFrame:
     """Level by level, a row for each path; a level's rows are summed and forgotten."""
     below = rows.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("cost").alias("_cost"))
-    level, first, sums = _kept(rows.filter("root").select(F.col("id").alias("root"), "id", "cost", F.array("id").alias("path"))), True, []
+    level, first, sums = kept(rows.filter("root").select(F.col("id").alias("root"), "id", "cost", F.array("id").alias("path"))), True, []
     while not level.isEmpty():
-        sums.append(_kept(level.groupBy("root").agg(F.sum("cost").cast(summed).alias("cost"), F.count(F.lit(1)).alias("nodes")).withColumn("first", F.lit(first))))
+        sums.append(kept(level.groupBy("root").agg(F.sum("cost").cast(summed).alias("cost"), F.count(F.lit(1)).alias("nodes")).withColumn("first", F.lit(first))))
         step = level.join(below, F.col("_up") == F.col("id")).filter(~F.array_contains("path", F.col("_id")))
-        level, first = _kept(step.select("root", F.col("_id").alias("id"), F.col("_cost").alias("cost"), F.array_append("path", F.col("_id")).alias("path"))), False
+        level, first = kept(step.select("root", F.col("_id").alias("id"), F.col("_cost").alias("cost"), F.array_append("path", F.col("_id")).alias("path"))), False
     every = sums[0] if sums else rows.sparkSession.createDataFrame([], f"root {dict(rows.dtypes)['id']}, cost {summed}, nodes long, first boolean")
     for one in sums[1:]:
         every = every.unionByName(one)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.text import trimmed
+from loomline.session import kept
 
 OUTPUT_MARK = "Output:"
 
@@ -214,12 +215,15 @@ def log_elapsed(lines: DataFrame, key: str, pattern: str = r"\[(\d{4}-\d\d-\d\dT
 
 def counted(rows: DataFrame, name: str) -> DataFrame:
     """Rows with a number from 1, without gaps, in the order in which they lie: each partition is numbered alone, after what the ones before it
-    hold, of which there is one number per partition."""
-    rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    hold, of which there is one number per partition.
+
+    Rows and sizes are read from one stored copy: a sort that is run for each of them may cut its partitions at other places.
+    """
+    rows = kept(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    own = rows.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy("_at"))).join(F.broadcast(before), "_part")
-    return own.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_at", "_before")
+    place = F.col("_at").bitwiseAND((1 << 33) - 1)  # the lower bits count inside the partition
+    return rows.join(F.broadcast(before), "_part").withColumn(name, place + 1 + F.col("_before")).drop("_part", "_at", "_before")
 
 
 def numbered(rows: DataFrame, order: list[str], by: str | None = None) -> DataFrame:

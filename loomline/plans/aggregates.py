@@ -55,7 +55,7 @@ def _(t, spark):
 
 
 def _tree_costs(t, spark, roots):
-    n = S.numbered(t("orders").select("o_orderkey", F.round("o_totalprice").cast("long").alias("cost")), ["o_orderkey"]).select((F.col("index") + 1).cast("long").alias("id"), "cost")
+    n = S.numbered(t("orders").select("o_orderkey", F.round("o_totalprice").cast("long").alias("cost")), [F.asc_nulls_last("o_orderkey")]).select((F.col("index") + 1).cast("long").alias("id"), "cost")
     n.withColumn("parent", F.when(F.floor(F.col("id") / 2) != F.col("id"), F.floor(F.col("id") / 2))).createOrReplaceTempView("loomline_tree")
     return A.tree_cost(spark, "loomline_tree", "id", "parent", "cost", roots)
 

@@ -108,7 +108,7 @@ def _(t, spark):
 
 @query("wn22_numbered_all", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS index FROM orders")
 def _(t, spark):
-    return S.numbered(t("orders"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", F.col("index").cast("long").alias("index"))
+    return S.numbered(t("orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", F.col("index").cast("long").alias("index"))
 
 
 @query("wn24_rewound", """

@@ -24,3 +24,8 @@ def session(app: str = "loomline", master: str | None = None, **conf: str) -> Sp
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Rows made once, without the plan that made them; in spark.checkpoint.dir where that is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()

@@ -4,10 +4,12 @@ import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from loomline.catalog import QUERIES
 from loomline.operators import aggregates as A
 from loomline.operators import editing as E
+from loomline.operators import sequences as S
 from loomline.operators import vectors as V
 
 
@@ -116,6 +118,17 @@ def test_tree_costs_have_no_row_limit(spark, tmp_path):
     assert some == {i: got[i] for i in got if i % 100 == 1}
 
 
+def test_numbers_have_no_gaps_where_sorts_sample(spark, tmp_path):
+    n = 150_000
+    keys = random.Random(4).sample(range(10 * n), n)
+    folder = stored(tmp_path, "orders", {"o_orderkey": [*keys, None], "o_totalprice": [float(k % 97) for k in keys] + [5.0]})
+    spread = spark.read.parquet(f"{folder}/orders.parquet").repartition(8).withColumn("filler", F.sha2(F.col("o_orderkey").cast("string"), 512))
+    got = S.numbered(spread.filter("o_orderkey IS NOT NULL"), ["o_orderkey"]).select("index", "o_orderkey", "filler").orderBy("index").collect()
+    assert [r["index"] for r in got] == list(range(n)) and [r.o_orderkey for r in got] == sorted(keys)
+    costs = {r.root: r.own for r in QUERIES["ag08_all_tree_costs"](spark, folder).collect()}
+    assert costs == {i + 1: k % 97 for i, k in enumerate(sorted(keys))} | {n + 1: 5}
+
+
 def test_no_number_of_queries_is_refused(spark, tmp_path):
     n, rng = 10_050, random.Random(2)
     vectors = [[float(rng.randint(-3, 3)) for _ in range(3)] for _ in range(60)]
