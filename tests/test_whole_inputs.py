@@ -127,6 +127,7 @@ def test_numbers_have_no_gaps_where_sorts_sample(spark, tmp_path):
     assert [r["index"] for r in got] == list(range(n)) and [r.o_orderkey for r in got] == sorted(keys)
     costs = {r.root: r.own for r in QUERIES["ag08_all_tree_costs"](spark, folder).collect()}
     assert costs == {i + 1: k % 97 for i, k in enumerate(sorted(keys))} | {n + 1: 5}
+    assert {r.root: r.own for r in QUERIES["ag08_tree_cost"](spark, folder).collect()} == {i: costs[i] for i in range(1, n + 2, 100)}
 
 
 def test_no_number_of_queries_is_refused(spark, tmp_path):
