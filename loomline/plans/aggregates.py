@@ -177,7 +177,11 @@ WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 5 MINU
 s AS (SELECT *, sum(opens) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM b), z AS (SELECT burst, min(ts) AS start, count(*) AS events FROM s GROUP BY 1)
 SELECT start, events, user_id AS path, arg_max(event_type, (ts, event_type)) AS change FROM s JOIN z USING (burst) GROUP BY ALL""")
 def _(t, spark):
-    return J.debounced(t("events"), "user_id", "ts", "event_type", gap="5 minutes").select("start", F.col("events").cast("long").alias("events"), "path", "change")
+    e = t("events")
+    out = J.debounced(e, "user_id", "ts", "event_type", gap="5 minutes").select("start", F.col("events").cast("long").alias("events"), "path", "change")
+    # Events without a time are a burst each.
+    alone = e.filter("ts IS NULL").groupBy(F.col("user_id").alias("path")).agg(F.max("event_type").alias("change"))
+    return out.unionByName(alone.withColumns({"start": F.lit(None).cast(e.schema["ts"].dataType), "events": F.lit(1).cast("long")}))
 
 
 @query("st02_trailing_usage", "SELECT event_id, count(*) OVER w AS requests, round(sum(value) OVER w, 4) AS tokens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)")

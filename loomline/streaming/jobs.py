@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from loomline.session import kept
+
 
 def file_stream(spark: SparkSession, folder: str, schema: str, kind: str = "parquet", per_batch: int = 1) -> DataFrame:
     """SC17: a stream of the files that arrive in a folder."""
@@ -32,12 +34,15 @@ def without_repeats(events: DataFrame, keys: list[str], ts: str, delay: str = "1
 
 
 def debounced(events: DataFrame, path: str, ts: str, change: str, gap: str = "500 milliseconds", delay: str = "1 minute", per_path: bool = False) -> DataFrame:
-    """ST1: bursts of changes that are closed by a pause, with the last change of each path. One timer serves all paths; per_path gives
-    each its own, which lets bursts run in parallel."""
+    """ST1: bursts of changes that are closed by a pause of `gap` or more, with the last change of each path. One timer serves all paths; per_path
+    gives each its own. Streams with one timer close bursts in one task; batches find them in parallel."""
+    if not events.isStreaming and not per_path:
+        return _bursts(events, path, ts, change, gap)
     kind = events if not events.isStreaming else events.withWatermark(ts, delay)
     # Streams don't take a session window alone, nor beside a key that the optimizer sees to be constant.
     one = F.coalesce(F.length(F.col(path).cast("string")) * 0, F.lit(0))
-    keys = [F.session_window(ts, gap).alias("w"), (F.col(path) if per_path else one).alias("k")]
+    # Session windows join what is a whole gap apart, too.
+    keys = [F.session_window(ts, f"{gap} -1 microseconds").alias("w"), (F.col(path) if per_path else one).alias("k")]
     last = F.max_by(F.col(change), F.col(ts))
     if per_path:
         return kind.groupBy(*keys).agg(last.alias("change"), F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("start"), F.col("k").alias("path"), "change", "events")
@@ -47,6 +52,25 @@ def debounced(events: DataFrame, path: str, ts: str, change: str, gap: str = "50
     return burst.select(F.col("w.start").alias("start"), F.size("_e").alias("events"), F.explode(last).alias("x")).select("start", "events", F.col("x.p").alias("path"), F.col("x.c").alias("change"))
 
 
+def _bursts(events: DataFrame, path: str, ts: str, change: str, gap: str) -> DataFrame:
+    """ST1 on a batch: events are counted in bins as wide as the gap. A bin lies in one burst, and opens it unless the bin just before ends less
+    than a gap before its first event. Bins look for the last opening in their day; of days there is one row each, put in order in one task.
+    """
+    width = F.expr(f"INTERVAL '{gap}'")
+    rows = events.filter(F.col(ts).isNotNull()).select(F.window(ts, gap)["start"].alias("_bin"), F.col(path).alias("path"), F.col(ts).alias("_t"), F.col(change).alias("_c"))
+    bins = kept(rows.groupBy("_bin").agg(F.min("_t").alias("_from"), F.max("_t").alias("_to"), F.count(F.lit(1)).alias("_n")))
+    before = bins.select((F.col("_bin") + width).alias("_bin"), F.col("_to").alias("_ended"))
+    opens = F.col("_ended").isNull() | (F.col("_from") >= F.col("_ended") + width)
+    bins = bins.join(before, "_bin", "left").select("_bin", "_n", F.when(opens, F.col("_from")).alias("_opened"), F.window("_bin", "1 day")["start"].alias("_day"))
+    days = bins.groupBy("_day").agg(F.max("_opened").alias("_top"))
+    days = days.select("_day", F.max("_top").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    own = F.max("_opened").over(Window.partitionBy("_day").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bins = kept(bins.withColumn("_own", own).join(days, "_day").select("_bin", "_n", F.coalesce("_own", "_carried").alias("start")))
+    sizes = bins.groupBy("start").agg(F.sum("_n").alias("events"))
+    last = F.max(F.when(F.col("_c").isNotNull(), F.struct("_t", "_c"))).alias("_last")
+    return rows.join(bins.select("_bin", "start"), "_bin").groupBy("start", "path").agg(last).join(sizes, "start").select("start", "events", "path", F.col("_last._c").alias("change"))
+
+
 def usage_windows(events: DataFrame, ts: str, by: str, kind: str, count: str, size: str = "1 hour", slide: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
     """ST2: tokens and requests in sliding windows."""
     rows = events.withWatermark(ts, delay) if events.isStreaming else events

@@ -6,11 +6,12 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from loomline.catalog import QUERIES
+from loomline.catalog import ORACLES, QUERIES
 from loomline.operators import aggregates as A
 from loomline.operators import editing as E
 from loomline.operators import sequences as S
 from loomline.operators import vectors as V
+from tests.oracle import connect
 
 
 def stored(folder, name, columns):
@@ -130,6 +131,23 @@ def test_numbers_have_no_gaps_where_sorts_sample(spark, tmp_path):
     assert {r.root: r.own for r in QUERIES["ag08_tree_cost"](spark, folder).collect()} == {i: costs[i] for i in range(1, n + 2, 100)}
 
 
+def test_bursts_of_a_batch(spark, tmp_path):
+    """Pauses of a gap, of a microsecond less and more, days without a pause, times before 1970, ties and nulls."""
+    rng, at, rows = random.Random(8), -3 * 86_400_000_000, []
+    for i in range(4000):
+        at += rng.choice([0, 1, 299_999_999, 300_000_000 if i % 40 == 0 else 60_000_000, 300_000_001 if i % 300 == 0 else 7, 299_000_000])
+        rows.append((at, rng.choice([1, 2, None]), rng.choice(["a", "b", None])))
+    rows += [(None, 1, "a"), (None, 1, "b"), (None, 2, "a"), (None, None, None)]
+    rng.shuffle(rows)
+    stamps = pa.array([r[0] for r in rows], pa.timestamp("us"))
+    folder = stored(tmp_path, "events", {"event_id": list(range(len(rows))), "ts": stamps, "user_id": [r[1] for r in rows], "event_type": [r[2] for r in rows]})
+    bursts = QUERIES["st01_bursts"](spark, folder)
+    assert sorted(map(str, map(tuple, bursts.collect()))) == sorted(map(str, connect(folder).sql(ORACLES["st01_bursts"]).fetchall()))
+    assert bursts.filter("events > 100").count() and bursts.select("start").distinct().count() > 15
+    plan = bursts._jdf.queryExecution().executedPlan().toString().lower()
+    assert "session" not in plan and "collect_list" not in plan
+
+
 def test_no_number_of_queries_is_refused(spark, tmp_path):
     n, rng = 10_050, random.Random(2)
     vectors = [[float(rng.randint(-3, 3)) for _ in range(3)] for _ in range(60)]
