@@ -141,6 +141,18 @@ def lines_repeat(a: Column, b: Column) -> Column:
     return (F.length(x) > 4) & (F.length(y) > 4) & (F.levenshtein(x, y) / F.length(y) < 0.1)
 
 
+def repeated_pairs(rows: DataFrame, by: list[str], key: str, line: str, other: str = "other") -> DataFrame:
+    """TX9: (key, other) of rows of one group whose lines repeat, the lesser key first. Different lines of a group are compared once, however many
+    rows hold them, and rows are paired by equality with what was found."""
+    group = [F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]
+    own = [f"_b{i}" for i in range(len(by))]
+    held = rows.select(*group, F.col(line).alias("_x"), F.col(key))
+    one = held.filter(F.length("_x") > 4).select(*own, "_x").distinct()
+    close = one.join(one.withColumnRenamed("_x", "_y"), own).filter(lines_repeat(F.col("_x"), F.col("_y")))
+    first = held.join(close, [*own, "_x"])
+    return first.join(held.withColumnsRenamed({"_x": "_y", key: other}), [*own, "_y"]).filter(F.col(key) < F.col(other)).select(key, other)
+
+
 def stop_at_similar(lines: DataFrame, key: str, line: str) -> DataFrame:
     """WN11: up to a line like the given one; lines that only close a bracket must be equal to it and be preceded by none such."""
     text = trimmed(F.col("line"))

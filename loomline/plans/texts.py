@@ -151,10 +151,7 @@ def _(t, spark):
 
 @query("tx09_repeated_lines", "SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE length(a.p_name) > 4 AND length(b.p_name) > 4 AND levenshtein(a.p_name, b.p_name)::DOUBLE / length(b.p_name) < 0.1")
 def _(t, spark):
-    p = t("part")
-    b = p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("n"), F.col("p_brand").alias("br"), F.col("p_size").alias("sz"))
-    pairs = p.join(b, (F.col("p_brand") == F.col("br")) & (F.col("p_size") == F.col("sz")) & (F.col("p_partkey") < F.col("other")))
-    return pairs.filter(S.lines_repeat(F.col("p_name"), F.col("n"))).select("p_partkey", "other")
+    return S.repeated_pairs(t("part"), ["p_brand", "p_size"], "p_partkey", "p_name")
 
 
 @query("tx11_extreme_repetition")

@@ -148,6 +148,18 @@ def test_bursts_of_a_batch(spark, tmp_path):
     assert "session" not in plan and "collect_list" not in plan
 
 
+def test_repeated_lines_of_many_copies(spark, tmp_path):
+    """Copies are paired by equality: only different lines of a group are compared."""
+    rng = random.Random(6)
+    names = ["large ring", "orange plates", "orange plate", "orange plane", "brown", "pipe", "a" * 30, "a" * 28 + "bc", "a" * 27 + "bcd", None]
+    rows = [(rng.choice(names), rng.choice(["x", "y", None]), rng.choice([1, 2, None])) for _ in range(400)]
+    folder = stored(tmp_path, "part", {"p_partkey": rng.sample(range(1000), 400), "p_name": [r[0] for r in rows], "p_brand": [r[1] for r in rows], "p_size": [r[2] for r in rows]})
+    pairs = QUERIES["tx09_repeated_lines"](spark, folder)
+    assert sorted(map(tuple, pairs.collect())) == sorted(connect(folder).sql(ORACLES["tx09_repeated_lines"]).fetchall())
+    compared = pairs._jdf.queryExecution().optimizedPlan().toString().split("levenshtein", 1)[1]
+    assert compared.count("Aggregate") >= 2
+
+
 def test_no_number_of_queries_is_refused(spark, tmp_path):
     n, rng = 10_050, random.Random(2)
     vectors = [[float(rng.randint(-3, 3)) for _ in range(3)] for _ in range(60)]
