@@ -189,7 +189,8 @@ def truncated_line(line: Column, most: int = 500) -> Column:
 
 
 def wait_seconds(events: DataFrame, by: str, ts: str, limit: int) -> DataFrame:
-    """ST13: whole seconds to wait so that requests are `limit` seconds apart; never more than that."""
-    past = F.unix_millis(F.col(ts).cast("timestamp")) - F.unix_millis(F.lag(ts).over(Window.partitionBy(by).orderBy(ts)).cast("timestamp"))
+    """ST13: whole seconds to wait so that requests are `limit` seconds apart; never more than that. Times count in milliseconds, to which they are rounded."""
+    millis = lambda c: F.round(F.unix_micros(c.cast("timestamp")).cast("decimal(19,0)") / 1000).cast("long")
+    past = millis(F.col(ts)) - millis(F.lag(ts).over(Window.partitionBy(by).orderBy(ts)))
     wait = F.ceil(F.least(F.lit(float(limit)), F.greatest(F.lit(0.0), (limit * 1000 - past) / 1000)))
     return events.withColumn("wait", F.coalesce(wait, F.lit(0)))

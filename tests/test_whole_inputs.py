@@ -160,6 +160,14 @@ def test_repeated_lines_of_many_copies(spark, tmp_path):
     assert compared.count("Aggregate") >= 2
 
 
+def test_waits_round_times_to_milliseconds(spark, tmp_path):
+    pairs = [(at, at + 537_000_000 + d) for at in (690, 500, 499, -499, -500, -1_500, -537_000_500, 1_706_257_505_702_690, 9_000_000_000_000_500) for d in (-501, -500, -281, 0, 281, 500, 70_000_000)]
+    rows = [(u, at) for u, both in enumerate(pairs) for at in both]
+    folder = stored(tmp_path, "events", {"event_id": list(range(len(rows))), "user_id": [u for u, _ in rows], "ts": pa.array([at for _, at in rows], pa.timestamp("us"))})
+    got = sorted(map(tuple, QUERIES["st13_rate_limit"](spark, folder).collect()))
+    assert got == sorted(connect(folder).sql(ORACLES["st13_rate_limit"]).fetchall())
+
+
 def test_no_number_of_queries_is_refused(spark, tmp_path):
     n, rng = 10_050, random.Random(2)
     vectors = [[float(rng.randint(-3, 3)) for _ in range(3)] for _ in range(60)]
