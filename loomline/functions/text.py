@@ -253,10 +253,10 @@ def cut_at_stops(text: Column, stops: Iterable[str]) -> Column:
     return F.when(first.isNotNull(), F.substring(text, F.lit(1), first - 1)).otherwise(F.concat(F.substring(text, F.lit(1), F.greatest(full, F.lit(0))), rest))
 
 
-def cut_at_suffix(text: Column, suffix: Column, size: int = 20) -> Column:
+def cut_at_suffix(text: Column, suffix: Column, size: int = 20, blank: str = SPACE) -> Column:
     """WN15: the text, read character by character, before the place where its last `size` characters, and one more once there are more, are part of the
-    first size * 1.5 characters of what follows it; all of it where the suffix is shorter than `size`."""
-    target = F.substring(F.regexp_replace(suffix, f"^{SPACE}+", ""), 1, size * 3 // 2)
+    first size * 1.5 characters of what follows it; all of it where the suffix is shorter than `size`. What follows begins after its blanks."""
+    target = F.substring(F.regexp_replace(suffix, f"^{blank}+", ""), 1, size * 3 // 2)
     windows = F.transform(F.filter(F.sequence(F.lit(1), F.lit(size * 3 // 2 - size)), lambda i: i + size <= F.length(target)), lambda i: F.substring(target, i, F.lit(size + 1)))
     places = F.filter(F.transform(windows, lambda w: F.instr(text, w)), lambda p: p > 0)
     head = (F.length(text) >= size) & (F.instr(target, F.substring(text, 1, size)) > 0)

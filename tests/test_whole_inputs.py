@@ -168,6 +168,15 @@ def test_waits_round_times_to_milliseconds(spark, tmp_path):
     assert got == sorted(connect(folder).sql(ORACLES["st13_rate_limit"]).fetchall())
 
 
+def test_suffixes_that_start_with_a_newline(spark, tmp_path):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=150)) for _ in range(12)]
+    texts = [w[:40] + blank + w[40:] for w, blank in zip(words, ["\n", "\t", "\u00a0", "\r\n", " ", "\n ", " \n", "", "\n\n", "\u3000", "x", "\f"], strict=True)]
+    folder = stored(tmp_path, "benchmark", {"item_id": list(range(len(texts))), "text": texts})
+    got = sorted(map(tuple, QUERIES["wn15_cut_at_suffix"](spark, folder).collect()))
+    assert got == sorted(connect(folder).sql(ORACLES["wn15_cut_at_suffix"]).fetchall()) and len(got) == 10
+
+
 def test_no_number_of_queries_is_refused(spark, tmp_path):
     n, rng = 10_050, random.Random(2)
     vectors = [[float(rng.randint(-3, 3)) for _ in range(3)] for _ in range(60)]
