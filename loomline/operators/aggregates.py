@@ -58,11 +58,12 @@ def token_usage(messages: DataFrame, by: str = "task_id") -> DataFrame:
     )
 
 
-def tree_cost(spark: SparkSession, view: str, id_: str, parent: str, cost: str, roots: str) -> DataFrame:
+def tree_cost(spark: SparkSession, view: str, id_: str, parent: str, cost: str, roots: str, few: int = 250_000) -> DataFrame:
     """AG8: per root its own cost and that of all descendants. A node reached by two paths counts twice; a path stops where it would repeat a node.
 
-    There is no bound on levels or rows. Where ids are unique, each node has one parent, and sums are made for all nodes at once by doubling:
-    rounds grow with the logarithm of the depth, and each costs as much as the table has rows. Other tables are followed path by path.
+    There is no bound on levels or rows. Where ids are unique, each node has one parent, and sums are made for all nodes at once: leaves are summed
+    into their parents until few rows or few leaves are left, and the rest by doubling, where rounds grow with the logarithm of the depth and each
+    costs as much as there are rows. Other tables are followed path by path.
     """
     summed = dict(spark.sql(f"SELECT sum({cost}) AS s FROM {view}").dtypes)["s"]
     rows = kept(spark.sql(f"SELECT {id_} AS id, nullif({parent}, {id_}) AS up, CAST({cost} AS {summed}) AS cost, coalesce({roots}, false) AS root FROM {view}"))
@@ -71,13 +72,48 @@ def tree_cost(spark: SparkSession, view: str, id_: str, parent: str, cost: str,
         return _path_costs(rows, summed)
     zero = F.lit(0).cast(summed)
     start = rows.withColumn("up", F.when(F.col("id").isNotNull(), F.col("up"))).withColumns({"below": zero, "nodes": F.lit(1).cast("long"), "known": F.col("cost").isNotNull().cast("long")})
+    start, done = _raked(start, n, few, summed)
     state, heads = _doubled(start, summed)
     if heads is not None:
         state = _with_cycles(start, heads, summed)
+    for one in done:
+        state = state.select(one.columns).unionByName(one)
     own = F.coalesce("cost", zero)
     return state.filter("root").select(F.col("id").alias("root"), F.col("cost").alias("own"), F.col("below").alias("children"), F.when(F.col("known") > 0, own + F.col("below")).cast(summed).alias("total"), "nodes")
 
 
+def _passed_up(rows: DataFrame, summed: str) -> DataFrame:
+    """Per node that rows point at what they and all summed below them hold, and how many they are."""
+    return rows.filter("up IS NOT NULL").groupBy(F.col("up").alias("_id")).agg(
+        F.sum(F.coalesce("cost", F.lit(0).cast(summed)) + F.col("below")).cast(summed).alias("_below"), F.sum("nodes").alias("_nodes"), F.sum("known").alias("_known"), F.count(F.lit(1)).alias("_live"),
+    )
+
+
+def _more(summed: str) -> list[Column]:
+    return [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).cast(summed if c == "below" else "long").alias(c) for c in ("below", "nodes", "known")]
+
+
+def _raked(state: DataFrame, n: int, few: int, summed: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Sums leaves into their parents and sets them aside, round by round; returns what is left of the n rows, and the finished ones.
+
+    A round is made where more than few rows are left and a quarter of them are leaves, so all rounds together cost as much as four over all rows.
+    """
+    done = []
+    if n <= few:
+        return state, done
+    children = state.filter("up IS NOT NULL").groupBy(F.col("up").alias("_id")).agg(F.count(F.lit(1)).alias("_open"))
+    state = kept(state.join(children, F.col("id") == F.col("_id"), "left").select(*state.columns, F.coalesce("_open", F.lit(0)).alias("open")))
+    while n > few:
+        leaves = state.filter("open = 0")
+        ready = leaves.count()
+        if 4 * ready < n:
+            break
+        done.append(leaves.select("id", "cost", "root", "below", "nodes", "known"))
+        state = kept(state.filter("open > 0").join(_passed_up(leaves, summed), F.col("id") == F.col("_id"), "left").select("id", "up", "cost", "root", *_more(summed), (F.col("open") - F.coalesce("_live", F.lit(0))).alias("open")))
+        n -= ready
+    return state.drop("open"), done
+
+
 def _doubled(state: DataFrame, summed: str) -> tuple[DataFrame, DataFrame | None]:
     """Sums of all below each node, and the nodes on cycles if there are any; the sums of nodes on cycles are of no use then.
 
@@ -86,9 +122,7 @@ def _doubled(state: DataFrame, summed: str) -> tuple[DataFrame, DataFrame | None
     """
     seen = None
     while True:
-        pointed = kept(state.filter("up IS NOT NULL").groupBy(F.col("up").alias("_id")).agg(
-            F.sum(F.coalesce("cost", F.lit(0).cast(summed)) + F.col("below")).cast(summed).alias("_below"), F.sum("nodes").alias("_nodes"), F.sum("known").alias("_known"), F.count(F.lit(1)).alias("_live"),
-        ))
+        pointed = kept(_passed_up(state, summed))
         now = tuple(pointed.agg(F.count(F.lit(1)), F.coalesce(F.sum("_live"), F.lit(0))).first())
         if not now[0]:
             return state, None
@@ -96,8 +130,7 @@ def _doubled(state: DataFrame, summed: str) -> tuple[DataFrame, DataFrame | None
             return state, pointed.select("_id")
         seen = now
         higher = state.select(F.col("id").alias("_up"), F.col("up").alias("_next"))
-        more = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).cast(summed if c == "below" else "long").alias(c)
-        state = kept(state.join(pointed, F.col("id") == F.col("_id"), "left").join(higher, F.col("up") == F.col("_up"), "left").select("id", F.col("_next").alias("up"), "cost", "root", more("below"), more("nodes"), more("known")))
+        state = kept(state.join(pointed, F.col("id") == F.col("_id"), "left").join(higher, F.col("up") == F.col("_up"), "left").select("id", F.col("_next").alias("up"), "cost", "root", *_more(summed)))
 
 
 def _with_cycles(start: DataFrame, heads: DataFrame, summed: str) -> DataFrame:

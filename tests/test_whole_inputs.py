@@ -104,6 +104,19 @@ def test_every_tree_is_summed(spark):
         assert got == {i: plain_tree(rows, i) for i, *_ in rows if i is not None}, name
 
 
+def test_trees_are_summed_from_their_leaves(spark):
+    """Where no table is too small for that; the last with leaves first and the rest by doubling."""
+    shapes = {
+        "chain with a leaf at each node": ([(i, i - 1, i) for i in range(1, 31)] + [(100 + i, i, 1) for i in range(1, 31)], 0),
+        "trees on cycles": ([(i, i % 4 + 1 if i < 5 else i // 2, i) for i in range(1, 90)] + [(None, 3, 5)], 0),
+        "heap": ([(i, i // 2, None if i % 3 else i) for i in range(1, 150)], 40),
+    }
+    for name, (rows, few) in shapes.items():
+        spark.createDataFrame(rows, "id long, parent long, cost long").createOrReplaceTempView("raked_trees")
+        got = {r.root: (r.own, r.children, r.total, r.nodes) for r in A.tree_cost(spark, "raked_trees", "id", "parent", "cost", "id IS NOT NULL", few).collect()}
+        assert got == {i: plain_tree(rows, i) for i, *_ in rows if i is not None}, name
+
+
 def test_tree_costs_have_no_row_limit(spark, tmp_path):
     n = 600
     folder = stored(tmp_path, "orders", {"o_orderkey": list(range(10, 10 + n)), "o_totalprice": [float(i % 7) for i in range(n)]})
